@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op1_packing": "packing",
     "op2_language": "language",
+    "op4_substring_dedup": "rlz",
     "op9_decontaminate": "decontaminate",
 }
 

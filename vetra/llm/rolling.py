@@ -156,3 +156,19 @@ ALNUM_WORDS = class_table([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B,
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+
+
+def byte_grams(sums: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from every position on."""
+    return _grams(sums, k, _BASE)
+
+
+def word_grams(sums: np.ndarray, k: int) -> np.ndarray:
+    return _grams(sums, k, _WORD_BASE)
+
+
+def _grams(sums: np.ndarray, k: int, base: int) -> np.ndarray:
+    n = len(sums) - k
+    if n <= 0:
+        return np.empty(0, U)
+    return mix((sums[k:] - sums[:n]) * powers(base, len(sums))[1][:n])
