@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_packing": "packing",
     "op2_language": "language",
     "op4_substring_dedup": "rlz",
+    "op7_suffix_dedup": "suffix",
     "op9_decontaminate": "decontaminate",
 }
 
