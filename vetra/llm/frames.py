@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -66,3 +67,15 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(place)
     return place
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written to the shared folder and read again: lost executors lose nothing of it."""
+    path = f"{ensure_checkpoints(df.sparkSession)}/vetra-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has at most ``rows`` rows (of fixed width), else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_substring_dedup": "rlz",
     "op7_suffix_dedup": "suffix",
     "op9_decontaminate": "decontaminate",
+    "op10_minhash": "minhash",
 }
 
 

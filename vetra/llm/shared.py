@@ -91,8 +91,11 @@ def post(parts: DataFrame, anchors: Callable[[pa.Table], tuple[np.ndarray, np.nd
     return parts.groupBy("part").applyInArrow(run, POSTS)
 
 
-def tell(posts: DataFrame, hot: int) -> DataFrame:
-    """Masks of shared anchors (``a``) and of those with ``hot`` or more occurrences (``b``)."""
+def tell(posts: DataFrame, hot: int, powers: bool = False) -> DataFrame:
+    """Masks of shared anchors (``a``) and of those with ``hot`` or more occurrences (``b``).
+
+    With ``powers``, ``c`` has the binary logarithm of each shared anchor's occurrences.
+    """
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
@@ -104,7 +107,7 @@ def tell(posts: DataFrame, hot: int) -> DataFrame:
         out, at = [], 0
         for part, low in zip(group["part"].to_pylist(), lows):
             s = slice(at, at + len(low))
-            out.append((part, bucket, 0, blob(np.packbits(many[s])), blob(np.packbits(often[s])) if often[s].any() else b"", None, None))
+            out.append((part, bucket, 0, blob(np.packbits(many[s])), blob(np.packbits(often[s])) if often[s].any() else b"", blob(np.log2(total[s][many[s]]).astype(np.uint8)) if powers else None, None))
             at += len(low)
         return table_of(ANSWERS, out)
 
