@@ -7,7 +7,9 @@ import importlib
 _QUERIES = {
     "op1_packing": "packing",
     "op2_language": "language",
+    "op3_license_scan": "licenses",
     "op4_substring_dedup": "rlz",
+    "op6_warc_revisit": "warc",
     "op7_suffix_dedup": "suffix",
     "op9_decontaminate": "decontaminate",
     "op10_minhash": "minhash",
