@@ -81,7 +81,7 @@ class Classifier:
         self.languages = list(dictionaries)
         plainly = {"write_content_size": False, "write_checksum": False, "write_dict_id": False, "window_log": 18}
         fast = z.ZstdCompressionParameters.from_level(3, hash_log=16, chain_log=16, min_match=4, strategy=z.STRATEGY_GREEDY, search_log=4, **plainly)
-        thorough = z.ZstdCompressionParameters.from_level(19, min_match=3, **plainly)
+        thorough = z.ZstdCompressionParameters.from_level(19, hash_log=16, chain_log=16, min_match=3, **plainly)
 
         def coder(raw: bytes, params) -> z.ZstdCompressor:
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
