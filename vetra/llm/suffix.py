@@ -19,7 +19,7 @@ GRAM = 48
 #: instead of its contexts gathered in one suffix array.
 HOT = 4096
 #: Context bytes that one suffix array takes.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 512 << 10
 
 U = np.uint64
 
