@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_language": "language",
     "op3_license_scan": "licenses",
     "op4_substring_dedup": "rlz",
+    "op5_secrets": "secrets",
     "op6_warc_revisit": "warc",
     "op7_suffix_dedup": "suffix",
     "op9_decontaminate": "decontaminate",
