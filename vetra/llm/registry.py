@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_secrets": "secrets",
     "op6_warc_revisit": "warc",
     "op7_suffix_dedup": "suffix",
+    "op8_fingerprints": "fingerprint",
     "op9_decontaminate": "decontaminate",
     "op10_minhash": "minhash",
 }
