@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import rolling as R
-from .frames import table, texts
+from .frames import table, texts, workers_import, written
 
 #: Words of a shared span that is found for sure.
 SPAN = 10
@@ -21,6 +22,9 @@ GRAM = 5
 #: is taken in blocks, each against all documents.
 BLOCK_BYTES = 16 << 20
 
+_SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
+_ADDED = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(_SPAN))]
+
 
 def normal_words(data: np.ndarray, offsets: np.ndarray):
     low = R.LOWER[data]
@@ -143,10 +147,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     has a checked size; with several blocks each is matched in a scan of its
     own and their spans are united by row.
     """
+    return marked(texts(docs), benchmark, span, gram, block_bytes).drop("text")
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) and n_words, n_hit, items, spans; see :func:`contamination`."""
+    workers_import(docs.sparkSession)
     many = blocks(benchmark, block_bytes)
-    docs = texts(docs)
-    if len(many) > 1:
-        docs = docs.withColumn("row", F.struct(F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)), F.monotonically_increasing_id()))
 
     def scan(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,22 +168,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
                     pa.array([sorted({index.items[k] for k in found.get(i, ()) if index.items[k] is not None}) for i in rows], pa.list_(pa.string())),
                     pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ]
-                keys = [c for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *cols], names=[*keys, "n_words", "n_hit", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n_words", "n_hit", "items", "spans"])
 
-        row = "row struct<col1: long, col2: long>, " if len(many) > 1 else ""
-        return docs.mapInArrow(run, f"doc_id long, {row}n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+        return run
 
     if len(many) == 1:
-        return scan(many[0])
-    every = reduce(DataFrame.unionAll, [scan(b) for b in many])
-    every = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        return docs.mapInArrow(scan(many[0]), StructType([*docs.schema.fields, *_ADDED]))
+    docs = written(docs.withColumn("vetra_row", F.monotonically_increasing_id()), "numbered")
+    slim = docs.select("vetra_row", "text")
+    schema = StructType([*slim.schema.fields, *_ADDED])
+    every = reduce(DataFrame.unionAll, [slim.mapInArrow(scan(b), schema) for b in many]).groupBy("vetra_row")
+    every = every.agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     united = """aggregate(spans, CAST(array() AS array<struct<start: bigint, end: bigint>>), (a, x) ->
         CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
              THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
              ELSE concat(a, array(x)) END)"""
     every = every.withColumn("spans", F.expr(united))
-    return every.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "items", "spans")
+    every = every.select("vetra_row", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "items", "spans")
+    return docs.join(every, "vetra_row").drop("vetra_row")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .frames import table, texts
+from .frames import table, texts, workers_import
 
 #: Bounds of the labelled sample that the dictionaries are cut from: documents
 #: of each language, characters of each document, languages.
@@ -28,6 +29,8 @@ SHORT_CHARS = 400
 MARGIN = 0.003
 UNKNOWN = "und"
 
+_ADDED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()), StructField("accepted", BooleanType())]
+
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -124,7 +127,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     rows and null ids stay.  The dictionaries (bounded by DICTIONARY_BYTES and
     MAX_LANGUAGES) go out with the function.
     """
-    docs = texts(docs)
+    return label(texts(docs), dictionaries, margin).drop("text")
+
+
+def label(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
+    """``docs`` (with text, and any other columns) and lang_pred, score, margin, accepted; see :func:`identify`."""
+    workers_import(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)
@@ -132,12 +140,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             got = [model.predict(t.as_py()) for t in batch.column("text")]
             langs, scores, margins = zip(*got) if got else ((), (), ())
             accepted = [lang != UNKNOWN and m >= margin for lang, m in zip(langs, margins)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(accepted, pa.bool_())],
-                names=["doc_id", "lang_pred", "score", "margin", "accepted"],
-            )
+            more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "margin", "accepted"])
 
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, accepted boolean")
+    schema = StructType([*docs.schema.fields, *_ADDED])
+    return docs.mapInArrow(run, schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,8 +147,8 @@ def candidates(text: Column) -> Column:
     return F.filter(F.transform(tokens, one), lambda c: c.isNotNull())
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, a (start, end) array for each base kind, candidates; in the order of KINDS."""
+def found(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, a (start, end) array for each base kind, candidates; in the order of KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
     cols = []
@@ -157,7 +157,7 @@ def found(docs: DataFrame) -> DataFrame:
         cols.append(F.when(text.rlike(quick), spans).otherwise(none).alias(kind))
     nobody = F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:string,bin:int>>)")
     likely = text.rlike(TOKEN) & text.rlike("[0-9]")
-    return docs.select("doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")], *cols, F.when(likely, candidates(text)).otherwise(nobody).alias("tokens"))
+    return docs.select("doc_id", *keep, *cols, F.when(likely, candidates(text)).otherwise(nobody).alias("tokens"))
 
 
 def rejected(tokens: DataFrame, level: float) -> dict[str, int]:
@@ -187,7 +187,7 @@ def scan(docs: DataFrame, level: float = LEVEL, keep: tuple[str, ...] = ()) -> D
     Offsets are code points, ends exclusive.  A null text is empty.  Rows with
     null or repeated doc_id stay; nothing but counts of bins is shuffled.
     """
-    rows = written(found(texts(docs, *keep)), "tokens")
+    rows = written(found(texts(docs, *(k for k in keep if k != "text")), keep), "tokens")
     cut = rejected(rows, level)
     base = F.concat(*(F.col(k) for k in PATTERNS))
     if cut:
