@@ -25,8 +25,9 @@ COORDINATES = 64
 MATCHES = 32
 #: Classes that one task compares; a larger cluster is taken in pairs of blocks.
 BLOCK = 4000
-#: Rows of (doc_id, cluster, class) that are broadcast at most: 64 bytes each.
-BROADCAST_ROWS = 500_000
+#: Rows of (doc_id, cluster, class, blocks) that are broadcast at most: some 100
+#: bytes each.  With more, the texts are shuffled to them.
+BROADCAST_ROWS = 200_000
 
 U = np.uint64
 _RND = np.random.default_rng(19970613)
@@ -203,25 +204,27 @@ _EDGE = "u binary, v binary"
 def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, coordinates: int, matches: int, block: int) -> DataFrame:
     """(u, v): a forest over the classes of each cluster that has the components of all links.
 
-    ``clusters``: (cluster, class, doc_id, signature, blocks).  A cluster of
+    ``clusters``: (cluster, class, doc_id, blocks).  A cluster of
     several blocks is compared in all pairs of blocks.
     """
-    wanted = small(clusters.select("doc_id", "cluster", "class", "signature", "blocks"), BROADCAST_ROWS)
+    wanted = small(clusters.select("doc_id", "cluster", "class", "blocks"), BROADCAST_ROWS)
     with_text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            names, cluster, sig, blocks = (batch.column(n).to_pylist() for n in ("class", "cluster", "signature", "blocks"))
+            names, cluster, blocks = (batch.column(n).to_pylist() for n in ("class", "cluster", "blocks"))
             for a, cuts, h in shingles(batch.column("text"), k):
                 cuts, h = sets(cuts, h)
+                sigs = iter(signatures(cuts, h, coordinates))
                 for i, name in enumerate(_names(cuts, h)):
+                    sig = None if name is None else next(sigs).tobytes()
                     if name == names[a + i]:  # rows with one doc_id can have other texts
                         n = blocks[a + i]
                         own = int.from_bytes(name[:4], "little") % n
                         for x in range(n):
                             lo, hi = min(own, x), max(own, x)
-                            out.append((cluster[a + i], lo, hi, own, name, sig[a + i], h[cuts[i] : cuts[i + 1]].tobytes()))
+                            out.append((cluster[a + i], lo, hi, own, name, sig, h[cuts[i] : cuts[i + 1]].tobytes()))
             cols = list(zip(*out)) if out else [()] * 7
             kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["cluster", "lo", "hi", "own", "class", "signature", "content"])
@@ -239,7 +242,7 @@ def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, coordinate
         edges = [(names[r], x) for x, r in zip(names, roots)]
         return pa.Table.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["u", "v"])
 
-    rows = with_text.select("cluster", "class", "signature", "blocks", "text").mapInArrow(read, "cluster binary, lo int, hi int, own int, class binary, signature binary, content binary")
+    rows = with_text.select("cluster", "class", "blocks", "text").mapInArrow(read, "cluster binary, lo int, hi int, own int, class binary, signature binary, content binary")
     return rows.groupBy("cluster", "lo", "hi").applyInArrow(join, _EDGE)
 
 
@@ -270,7 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     entries = post.select("class", F.explode("tokens").alias("token"))
     heads = entries.groupBy("token").agg(F.min("class").alias("u"), F.max("class").alias("w")).where("u <> w").select("token", "u")
     meets = components(entries.join(heads, "token").select("u", F.col("class").alias("v")))
-    met = written(meets.select(F.col("v").alias("class"), F.col("label").alias("cluster")).join(post.select("class", "doc_id", "signature"), "class"), "met")
+    met = written(meets.select(F.col("v").alias("class"), F.col("label").alias("cluster")).join(post.select("class", "doc_id"), "class"), "met")
     sizes = met.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") / (block // 2))).cast("int")).drop("n")
     clusters = met.join(sizes, "cluster")
     edges = written(links(docs, clusters, shingle, percent, coordinates, matches, block), "links")
