@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,20 +59,20 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """keys, fingerprint: ``samples`` times eight hexadecimal digits for every key that has a term.
+    """keys, fingerprint: ``samples`` times eight hexadecimal digits for every key, zeros for one without terms.
 
     Terms are the words of a text (runs of anything but ASCII white space,
     lower case), weighted by how often they occur.  If ``rows`` is already
     partitioned by some of ``keys``, nothing is shuffled.
     """
-    terms = rows.select(*keys, F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''")
-    terms = terms.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("weight"))
-    bids = terms.groupBy(*keys).agg(*(F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(samples)))
+    terms = rows.select(*keys, F.explode(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+")).alias("word"))
+    terms = terms.select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("weight"))
+    bids = terms.groupBy(*keys).agg(*(F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("weight"), k))).alias(f"s{k}") for k in range(samples)))
     return bids.select(*keys, F.concat(*(_hex(F.col(f"s{k}")) for k in range(samples))).alias("fingerprint"))
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, text, range, extra: rows dealt by ranges of doc_id.
+    """doc_id, text, range, extra: rows dealt by ranges of doc_id, one to a partition.
 
     The first row of each range in falling order is also, as ``extra``, the
     last of the range above (of the lowest range for the top one), so every row has the next
@@ -97,12 +99,15 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(heads_), ["range", "order_id", "order_text"], "left")
     own = F.struct(F.col("range"), F.lit(0).alias("extra"))
     to = F.when(F.col("goes").isNotNull(), F.array(own, F.struct(F.col("goes").alias("range"), F.lit(1).alias("extra")))).otherwise(F.array(own))
-    return rows.select("doc_id", "text", "order_id", "order_text", F.explode(to).alias("to")).select("doc_id", "text", "order_id", "order_text", "to.range", "to.extra")
+    return rows.select("doc_id", "text", "order_id", "order_text", F.explode(to).alias("to")).select("doc_id", "text", "order_id", "order_text", "to.range", "to.extra").repartitionById(len(bounds) + 1, "range")
 
 
-def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def edits(docs: DataFrame, samples: int = SAMPLES, facts: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
+    With ``facts`` these columns, made of the edited text, stand for it, and
+    only they go on to the join with the fingerprints.
+
     ``edited`` is the text with its last floor(n_chars / 2) code points
     replaced by the first as many (or all) of the next document, in falling
     order of doc_id, the first following the last.  The likeness of two
@@ -115,24 +120,22 @@ def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     docs = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
     order = W.partitionBy("range").orderBy("extra", F.col("order_id").desc(), F.col("order_text").desc())
+    facts = {"edited": lambda e: e} if facts is None else facts
     rows = in_ranges(docs).select("range", "extra", "doc_id", "text", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("after"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("after"), F.lit(1), half))
     rows = rows.withColumn("edited", F.when(F.col("extra") == 0, edited))
     both = rows.select("range", "at", F.posexplode(F.when(F.col("extra") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "text"))
     prints = fingerprints(both, ["range", "at", "which"], "text", samples)
-    pair = prints.groupBy("range", "at").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("f"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("e"))
-    facts = rows.select("range", "at", "extra", "doc_id", F.length("text").cast("long").alias("n_chars"), "edited")
-    zero = F.lit("0" * 8 * samples)
-    out = facts.join(pair, ["range", "at"], "left").withColumns({"f": F.coalesce("f", zero), "e": F.coalesce("e", zero)})
-    out = out.withColumn("next", F.lead("f").over(W.partitionBy("range").orderBy("at"))).where("extra = 0")
-    return out.select(
-        "doc_id", "n_chars", "edited", F.col("f").alias("fingerprint"), F.col("e").alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("e"), samples).alias("near_edited"), likeness(F.col("f"), F.col("next"), samples).alias("near_next"),
+    pair = prints.groupBy("range", "at").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    own = rows.where("extra = 0").select("range", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), *(f(F.col("edited")).alias(k) for k, f in facts.items()))
+    beside = F.lead("fingerprint").over(W.partitionBy("range").orderBy("at"))
+    pair = pair.withColumn("next", beside).select(
+        "range", "at", "fingerprint", "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next"), samples).alias("near_next"),
     )
+    return own.join(pair, ["range", "at"]).select("doc_id", "n_chars", *facts, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = edits(table(spark, sf_dir, "documents"))
-    sha = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    return out.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return edits(table(spark, sf_dir, "documents"), facts={"edited_sha256": lambda e: F.sha2(e.cast("binary"), 256)})
