@@ -84,13 +84,14 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     bounds = sorted(set(found))
     rows = docs.select("doc_id", "text", key.alias("order_id"), F.xxhash64("text").alias("order_text"), F.lit(0).alias("range"))
     if bounds:
-        steps = 1 << max(0, len(bounds).bit_length())
-        table_ = F.array(*(F.lit(b) for b in bounds))
-        # unrolled binary search: the number of bounds that are not above the id
-        while steps:
-            at = F.col("range") + steps
-            rows = rows.withColumn("range", F.when((at <= len(bounds)) & (F.get(table_, F.least(at, F.lit(len(bounds))) - 1) <= F.col("order_id")), at).otherwise(F.col("range")))
-            steps >>= 1
+        # binary search for the number of bounds that are not above the id; one expression, however many bounds
+        steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+        table_, n = F.array(*(F.lit(b) for b in bounds)), len(bounds)
+
+        def step(at: Column, s: Column) -> Column:
+            return F.when((at + s <= n) & (F.get(table_, F.least(at + s, F.lit(n)) - 1) <= F.col("order_id")), at + s).otherwise(at)
+
+        rows = rows.withColumn("range", F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step))
     heads = rows.groupBy("range").agg(F.max(F.struct("order_id", "order_text")).alias("head")).collect()
     heads.sort(key=lambda r: r["range"])
     spark = docs.sparkSession
