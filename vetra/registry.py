@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import catalog
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
