@@ -207,13 +207,18 @@ def _ask(size: int, gram: int, buckets: int):
     def run(key: tuple, group: pa.Table, sent: pa.Table) -> pa.Table:
         part = key[0].as_py()
         runs = Runs(group, size, gram)
-        anchors = _cat([x[-1] for x in runs], U)
+        # the windows' minima are found once; only prefix sums are made again, where they are asked for
+        held = [(data, first, last, own) for _, data, _, _, _, first, last, own in runs]
+        anchors = _cat([x[-1] for x in held], U)
         many, often = S.read_masks(anchors, None, buckets, sent)
         seen: dict[tuple[int, int], list] = {}
         hot_w, hot_a, at = [], [], 0
-        for _, data, _, sums, _, first, last, own in runs:
+        for data, first, last, own in held:
             m, o = many[at : at + len(own)], often[at : at + len(own)]
             at += len(own)
+            if not m.any():
+                continue
+            sums = R.byte_prefix(data)
             i = np.flatnonzero(m & ~o)
             raw = data.tobytes() if len(i) else b""
             for k, c, f, l in zip(own[i].tolist(), runs.contexts(sums, first[i], last[i]).tolist(), first[i].tolist(), last[i].tolist()):
