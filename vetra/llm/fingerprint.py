@@ -126,8 +126,9 @@ def edits(docs: DataFrame, samples: int = SAMPLES, facts: dict[str, Callable[[Co
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("after"), F.lit(1), half))
     rows = rows.withColumn("edited", F.when(F.col("extra") == 0, edited))
-    both = rows.select("range", "at", F.posexplode(F.when(F.col("extra") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "text"))
-    prints = fingerprints(both, ["range", "at", "which"], "text", samples)
+    # doc_id goes along so that both uses of the dealt rows read the same columns, and the shuffle is done once
+    both = rows.select("range", "at", "doc_id", F.posexplode(F.when(F.col("extra") == 0, F.array("text", "edited")).otherwise(F.array("text"))).alias("which", "text"))
+    prints = fingerprints(both, ["range", "at", "doc_id", "which"], "text", samples)
     pair = prints.groupBy("range", "at").agg(F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
     own = rows.where("extra = 0").select("range", "at", "doc_id", F.length("text").cast("long").alias("n_chars"), *(f(F.col("edited")).alias(k) for k, f in facts.items()))
     beside = F.lead("fingerprint").over(W.partitionBy("range").orderBy("at"))
