@@ -56,3 +56,17 @@ def applicable(checks: DataFrame, dependency_changed: Column) -> DataFrame:
     """Supply-chain checks run only if a dependency file changed."""
     supply = F.col("name").rlike("^(" + "|".join(SUPPLY_CHAIN) + ")")
     return checks.where(~supply | dependency_changed)
+
+
+def documentation_only(changed: DataFrame, path: str = "path") -> DataFrame:
+    """One row (documentation_only): whether all changed paths are documentation; of no paths, false."""
+    from ..sources.files import is_documentation
+
+    return changed.agg(F.coalesce(F.every(is_documentation(F.col(path))), F.lit(False)).alias("documentation_only"))
+
+
+def workspace_fingerprint(repositories: DataFrame) -> DataFrame:
+    """One digest of (repository, status, fingerprint) rows in order; null where nothing changed anywhere."""
+    dirty = repositories.where("status <> ''")
+    one = F.concat_ws("\x00", "repository", "status", "fingerprint")
+    return dirty.agg(F.when(F.count("*") > 0, F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n").cast("binary"), 256)).alias("fingerprint"))
