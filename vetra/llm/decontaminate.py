@@ -194,3 +194,26 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL = {
+    "op9_decontaminate": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS rid, CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM benchmark),
+dw AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+bw AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM b),
+dg AS MATERIALIZED (SELECT rid, pos, list(w) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g FROM dw),
+bg AS (SELECT rid, pos, list(w) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS g FROM bw),
+bk AS MATERIALIZED (SELECT DISTINCT item, len(g) AS size, md5(array_to_string(g, ' ')) AS k FROM bg JOIN b ON b.rid = bg.rid WHERE len(g) = 10 OR (len(b.ws) < 10 AND pos = 1)),
+sz AS (SELECT DISTINCT size FROM bk),
+dk AS MATERIALIZED (SELECT rid, pos, size, md5(array_to_string(g[1:size], ' ')) AS k FROM dg, sz WHERE len(g) >= size),
+hit AS (SELECT dk.rid, dk.pos, bk.size, bk.item FROM dk JOIN bk ON bk.size = dk.size AND bk.k = dk.k),
+hw AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM (SELECT DISTINCT rid, pos, size FROM hit) x) y GROUP BY rid),
+it AS (SELECT rid, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY rid)
+SELECT doc_id, CAST(coalesce(len(ws), 0) AS BIGINT) AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw ON hw.rid = d.rid LEFT JOIN it ON it.rid = d.rid
+"""
+}

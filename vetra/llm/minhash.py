@@ -295,3 +295,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = {
+    "op10_minhash": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+g AS (SELECT rid, n, pos, list(w) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS g FROM w),
+s AS (SELECT DISTINCT rid, md5(array_to_string(g, ' ')) AS k FROM g WHERE len(g) = 4 OR (n < 4 AND pos = 1)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared FROM s a JOIN s b ON a.k = b.k AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT r.a AS rid, min(t.doc_id) AS component_id FROM r JOIN d t ON t.rid = r.b GROUP BY r.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN c ON c.rid = d.rid
+"""
+}

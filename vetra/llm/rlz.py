@@ -216,6 +216,20 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM) -
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+
+
+ORACLE_SQL = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, coalesce(doc_id, 9223372036854775807) AS id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+g AS (SELECT rid, id, pos, list(w) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g FROM w),
+k AS (SELECT rid, id, pos, md5(array_to_string(g, ' ')) AS k FROM g WHERE len(g) = 13),
+m AS (SELECT rid, pos, id, min(id) OVER (PARTITION BY k) AS first FROM k),
+c AS (SELECT DISTINCT rid, unnest(range(pos, pos + 13)) AS pos FROM m WHERE first < id),
+r AS (SELECT w.rid, count(*) AS n_words, count(c.pos) AS n_removed, string_agg(w.w, ' ' ORDER BY w.pos) FILTER (c.pos IS NULL) AS kept FROM w LEFT JOIN c ON c.rid = w.rid AND c.pos = w.pos GROUP BY w.rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON r.rid = d.rid
+"""
+}

@@ -437,3 +437,19 @@ def deduplicate(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, h
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = {
+    "op7_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, unnest(range(0, len(h) // 2 - 199)) AS pos FROM d WHERE len(h) >= 400),
+k AS (SELECT w.rid, pos, md5_number(substr(h, 2 * pos + 1, 400)) AS k FROM w JOIN d ON d.rid = w.rid),
+m AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY k) AS n FROM k) x WHERE n > 1),
+o AS (SELECT rid, pos, lag(pos) OVER (PARTITION BY rid ORDER BY pos) AS last FROM m),
+i AS (SELECT rid, pos, sum(CASE WHEN last IS NULL OR pos > last + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM o),
+s AS (SELECT rid, run, min(pos) AS a, max(pos) + 200 AS b FROM i GROUP BY ALL),
+e AS (SELECT s.rid, a, b, coalesce(lag(b) OVER (PARTITION BY s.rid ORDER BY a), 0) AS before, h FROM s JOIN d ON d.rid = s.rid),
+r AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept FROM e GROUP BY rid)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r ON r.rid = d.rid
+"""
+}
