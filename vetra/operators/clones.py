@@ -42,9 +42,10 @@ def duplicate_rows(found: DataFrame, key: str) -> DataFrame:
     The first occurrence of a text is a map-side minimum; a common block is one
     aggregate row a task and a skewed join side, never one window.
     """
-    h = F.xxhash64("block")
-    first = found.groupBy(h.alias("h"), "block").agg(F.min(F.struct(key, "line")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = found.select(key, "line", "block", h.alias("h")).join(first.select("h", "block", "f"), ["h", "block"])
+    # 128 bits stand for a block: six lines of text for every line would be most of the shuffle
+    keys = found.select(key, "line", F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(1), "block").alias("h2"))
+    first = keys.groupBy("h1", "h2").agg(F.min(F.struct(key, "line")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    later = keys.join(first.drop("n"), ["h1", "h2"])
     return later.where(F.col(key) != F.col(f"f.{key}")).select(key, "line", F.col(f"f.{key}").alias("first"), F.col("f.line").alias("first_line"))
 
 
