@@ -18,7 +18,7 @@ _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes of text handled at a time, so that the arrays stay near the CPU caches.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
