@@ -7,6 +7,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,23 @@ def encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
+    @cache
+    def exact() -> Tokenizer:
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return t
+
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in printable}
     shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    ranks = {bytes(shown[c] for c in word): i for word, i in vocab.items() if all(c in shown for c in word) and not word.startswith("<|")}
+    ranks = {bytes(shown[c] for c in word): i for word, i in vocab.items() if all(c in shown for c in word)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if _PLAIN.search(text):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
