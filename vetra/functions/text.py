@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: White space of all scripts, which Java's plain ``\s`` isn't.
-SPACE = "(?U)\\s"
+#: White space of all scripts, which Java's plain ``\s`` isn't: as a set of characters, and as a pattern.
+BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = "[\\t-\\r \\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
 def ascii_lower(s: Column) -> Column:
@@ -18,11 +19,11 @@ def lines_of(text: Column) -> Column:
     """Lines without their ends: a final line break opens no line, an empty text has none."""
     body = F.regexp_replace(text, "\\n\\z", "")
     whole = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
-    return F.transform(whole, lambda s: F.regexp_replace(s, "\\r\\z", ""))
+    return F.transform(whole, lambda s: F.when(F.endswith(s, F.lit("\r")), F.left(s, F.length(s) - 1)).otherwise(s))
 
 
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def normalized_line(s: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .closure import cut
 
 MIN_BYTES = 160
 MIN_DISTINCT = 3
@@ -29,8 +30,10 @@ def blocks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
     """
     raw = T.lines_of(F.col(text))
     kept = F.filter(F.transform(raw, lambda s, i: F.struct((i + 1).cast("long").alias("line"), T.normalized_line(s).alias("text"))), lambda x: x["text"].isNotNull())
-    rows = files.select(key, kept.alias("kept")).where(F.size("kept") >= size)
-    rows = rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("kept") - (size - 1)), lambda i: F.slice(F.col("kept"), i, F.lit(size)))).alias("run"))
+    rows = files.select(key, kept.alias("kept"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("kept") - (size - 1), F.lit(1))), lambda i: F.slice(F.col("kept"), i, F.lit(size)))
+    # no filter on the array: it would be pushed below and normalise every text twice
+    rows = rows.select(key, F.explode(F.when(F.size("kept") >= size, runs)).alias("run"))
     texts = F.transform("run", lambda x: x["text"])
     rows = rows.select(key, F.col("run")[0]["line"].alias("line"), F.array_join(texts, "\n").alias("block"), F.size(F.array_distinct(texts)).alias("n"))
     return rows.where((F.octet_length("block") >= MIN_BYTES) & (F.col("n") >= MIN_DISTINCT)).drop("n")
@@ -42,8 +45,9 @@ def duplicate_rows(found: DataFrame, key: str) -> DataFrame:
     The first occurrence of a text is a map-side minimum; a common block is one
     aggregate row a task and a skewed join side, never one window.
     """
-    # 128 bits stand for a block: six lines of text for every line would be most of the shuffle
-    keys = found.select(key, "line", F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(1), "block").alias("h2"))
+    # 128 bits stand for a block: six lines of text for every line would be most of the shuffle.
+    # They are used twice, so they are written once instead of normalising all texts again.
+    keys = cut(found.select(key, "line", F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(1), "block").alias("h2")), "blocks")
     first = keys.groupBy("h1", "h2").agg(F.min(F.struct(key, "line")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = keys.join(first.drop("n"), ["h1", "h2"])
     return later.where(F.col(key) != F.col(f"f.{key}")).select(key, "line", F.col(f"f.{key}").alias("first"), F.col("f.line").alias("first_line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,16 +29,18 @@ def anchored(events: DataFrame, keys: list[str], at: str, tie: str, window: int)
     """
     schema = events.select(*keys, at, tie).schema.add("recorded", "boolean")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, tie])
-        last, out = None, []
-        for t in pdf[at].tolist():
-            new = last is None or t - last >= window
-            last = t if new else last
-            out.append(new)
-        return pdf.assign(recorded=out)
-
-    return events.select(*keys, at, tie).groupBy(*keys).applyInPandas(walk, schema)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for pdf in batches:
+            out = []
+            for *key, t in zip(*(pdf[k].tolist() for k in keys), pdf[at].tolist()):
+                new = key != now or t - last >= window
+                now, last = key, t if new else last
+                out.append(new)
+            yield pdf.assign(recorded=out)
+
+    rows = events.select(*keys, at, tie).repartition(*keys).sortWithinPartitions(*keys, at, tie)
+    return rows.mapInPandas(walk, schema)
 
 
 def sticky(events: DataFrame, key: str, order: list[str], value, name: str) -> DataFrame:
