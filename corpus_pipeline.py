@@ -13,21 +13,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetra.llm import decontaminate, language, minhash, packing, secrets
-from vetra.llm.frames import NO_ID, ensure_checkpoints, small, table, workers_import, written
+from vetra.llm.frames import ensure_checkpoints, small, table, workers_import, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
 #: What stands in a text for a secret.
 MASK = "[SECRET]"
-#: Ids of dropped documents that are broadcast at most (8 bytes each); with more, the texts are shuffled.
+#: Numbers of rows in groups of near copies that are broadcast at most (16 bytes each); with more, the rows are shuffled.
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is dropped; a null id counts as an id."""
-    ids = small(written(dropped.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone")).distinct(), "dropped"), BROADCAST_IDS)
-    return docs.select(COLUMNS).join(ids, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == ids["gone"], "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """COLUMNS and ``row``, a number of its own for every row; written, so that the numbers stay."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """``row`` of all rows of each group of near copies but one: the smallest by (doc_id, row), null ids last."""
+    near = minhash.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), shingle=SHINGLE)
+    tied = written(near.where("NOT kept").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "tied")
+    group = tied.unionAll(tied.select(F.col("component").alias("row"), "component").distinct())
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    member = docs.select("row", "doc_id").join(small(group, BROADCAST_IDS), "row")
+    stays = member.groupBy("component").agg(F.min(place)["row"].alias("row"))
+    return group.join(stays, "row", "left_anti").select("row")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +48,10 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return _without(docs, minhash.near_duplicates(docs, shingle=SHINGLE).where("NOT kept"))
+    """One row of each group of near copies stays, that with the smallest doc_id; rows count by themselves, whatever their ids."""
+    docs = _numbered(docs)
+    gone = small(written(_copies(docs), "dropped"), BROADCAST_IDS)
+    return docs.join(gone, "row", "left_anti").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

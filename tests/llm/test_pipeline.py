@@ -76,3 +76,18 @@ def test_awkward_documents(spark):
     for _, stage in P.STAGES:
         assert stage(spark, none, SF).count() == 0
     assert P.redacted(spark, frame(spark, [(1, None, None, None, 7)]), SF).where(F.col("text").isNull() & (F.col("n_chars") == 7)).count() == 1
+
+
+def test_near_copies_go_by_row_and_not_by_id(spark):
+    def words(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [
+        (None, words("a"), "en", "null copy", 0), (7, words("a"), "en", "kept copy", 0), (None, words("b"), "en", "null alone", 0), (None, words("c"), "en", "null pair 1", 0), (None, words("c"), "en", "null pair 2", 0),
+        (3, words("d"), "en", "least", 0), (5, words("d") + " tail", "en", "near copy", 0), (5, words("e"), "en", "same id, other text", 0), (9, words("f"), "en", "twice 1", 0), (9, words("f"), "en", "twice 2", 0), (None, None, None, "no text", 0),
+    ]
+    got = [r.source for r in P.deduplicated(spark, frame(spark, rows), SF).collect()]
+    one_of = [{"null pair 1", "null pair 2"}, {"twice 1", "twice 2"}]
+    assert all(len(x & set(got)) == 1 for x in one_of)
+    assert sorted(x for x in got if not any(x in o for o in one_of)) == ["kept copy", "least", "no text", "null alone", "same id, other text"]
+    assert len(got) == 7
