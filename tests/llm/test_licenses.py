@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from cases import frame
 
@@ -43,3 +44,38 @@ def test_rules_in_order(spark):
 def test_awkward_and_empty(spark):
     assert licenses.scan(frame(spark)).count() == frame(spark).count()
     assert licenses.scan(frame(spark, [])).count() == 0
+
+
+MIT_TAIL = """
+
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+NOTICES = [
+    ("MIT", 4, MIT.replace("\n", " ") + MIT_TAIL),
+    ("GPL-3.0-or-later", 3, GPL.format(":", ",", 3)),
+    ("GPL-2.0-or-later", 3, GPL.format(";", ";", 2)),
+    ("MPL-2.0", 2, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-2-Clause", 3, BSD),
+    ("BSD-3-Clause", 4, BSD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", 5, APACHE),
+]
+
+
+def wrapped(text, width, mark):
+    return "\n".join(f"{mark}{line}" for part in text.split("\n") for line in (textwrap.wrap(part, width, break_on_hyphens=False) or [""]))
+
+
+def test_standard_notices_wrapped_and_unwrapped(spark):
+    forms = [(name, n, "Copyright someone.\n\n" + form) for name, n, t in NOTICES for form in (t, *(wrapped(t, w, mark) for w in (40, 61, 76) for mark in ("", "# ", " * ")))]
+    for (name, n, text), r in zip(forms, scan(spark, *(f[2] for f in forms))):
+        assert (r.licenses, r.n_matches, r.n_known) == (name, 1, n), text

@@ -75,7 +75,12 @@ RULES = [
 ]
 
 #: A text without any of these has none of the sentences.
-HINTS = "licen[sc]e|permission|copyright|warrant|redistribut|free software|unencumbered|of the mpl|source code form|rights reserved"
+HINTS = "licen[sc]e|permission|copyright|warrant|redistribut|free[^a-z0-9]+software|unencumbered|of[^a-z0-9]+the[^a-z0-9]+mpl|source[^a-z0-9]+code[^a-z0-9]+form|rights[^a-z0-9]+reserved"
+#: What may stand at the end of a known sentence: the address that its notice names.
+TAILS = {
+    "mpl2-copy": "https?[ \n](?:www[.])?mozilla[.]org[ \n]mpl[ \n]2[.]0",
+    "apache2-copy": "https?[ \n](?:www[.])?apache[.]org[ \n]licenses[ \n]license[ \n]2[.]0",
+}
 
 # A line break inside a sentence goes on with a small letter.
 _WRAP = "\\n[ \\t]*([a-z])"
@@ -91,11 +96,34 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s != "")
 
 
+# The number or letter of a list item before its sentence.
+_ITEM = "(?:(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[ \\n])?"
+
+
+def segments(text: Column, known: dict[str, str]) -> Column:
+    """Array of the known sentences of a text, each over one or more pieces of :func:`sentences`, with "" for any other piece.
+
+    A known sentence begins and ends with a piece (before it a list number,
+    after it the address of its notice may stand); the pieces inside are joined
+    whatever cut them, the longest sentence first.
+    """
+    tail = lambda s: f"(?:[ \n]{TAILS[known[s]]})?" if known[s] in TAILS else ""
+    words = lambda s: "[ \n]".join(w.replace(".", "[.]") for w in s.split(" "))
+    any_of = "|".join(words(s) + tail(s) for s in sorted(known, key=lambda s: (-len(s), s)))
+    joined = F.array_join(sentences(text), "\n")
+    # anchored to the start of a piece by what was matched before it
+    found = F.regexp_extract_all(joined, F.lit(f"(?:^|\n)(?:{_ITEM}({any_of})(?=\n|\\z)|[^\n]+)"), F.lit(1))
+    ends = "(" + "|".join(f"[ ]{t.replace('[ \n]', '[ ]')}" for t in TAILS.values()) + ")$"
+    return F.transform(found, lambda s: F.regexp_replace(F.translate(s, "\n", " "), ends, ""))
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """doc_id, n_known, sequence, licenses, n_matches for every row of ``docs``.
 
-    A sentence ends at a line break, or at one of ``.!?;:`` before a blank; a
-    line that starts with a small letter goes on with the last.  ``sequence``
+    A text is cut at line breaks and at ``.!?;:`` before a blank; a line that
+    starts with a small letter goes on with the last.  A known sentence is one
+    of these pieces or several that follow each other (see :func:`segments`), so
+    wrapped lines, marks inside it and list numbers don't hide it.  ``sequence``
     has the identifiers of the known sentences in order, with ``|`` between
     those that aren't neighbours.  The rules are tried in order on runs of
     neighbours, each match taking its sentences away; ``licenses`` has the
@@ -107,7 +135,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list | Non
     known = SENTENCES if known is None else known
     rules = RULES if rules is None else rules
     table_ = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    named = F.transform(sentences(F.col("text")), lambda s, i: F.struct(i.alias("at"), F.try_element_at(table_, s).alias("id")))
+    named = F.transform(segments(F.col("text"), known), lambda s, i: F.struct(i.alias("at"), F.try_element_at(table_, s).alias("id")))
     found = F.when(F.lower("text").rlike(HINTS), F.filter(named, lambda x: x["id"].isNotNull()))
     rows = texts(docs).select("doc_id", found.alias("found"))
     sequence = F.expr("""aggregate(found, named_struct('at', CAST(NULL AS int), 's', ''),
@@ -131,7 +159,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_sql(known: dict[str, str] = SENTENCES, rules: list = RULES) -> str:
-    """DuckDB SQL of :func:`scan` over ``documents``."""
+    """DuckDB SQL of :func:`scan` over ``documents``, for texts whose known sentences are single pieces."""
     steps = ",\n".join(
         f"s{k + 1} AS (SELECT * EXCLUDE (rest), replace(rest, '{w}', '|') AS rest, (length(rest) - length(replace(rest, '{w}', '|'))) // {len(w) - 1} AS n{k} FROM s{k})"
         for k, w in enumerate("".join(f"<{i}>" for i in ids) for _, ids in rules)
