@@ -22,7 +22,8 @@ NODES = (
     "path string, family string, node_id int, parent_id int, last_id int, kind string, name string, argument string, literal boolean, size int, "
     "start_line long, end_line long, loop_depth int, scope_id int, bounded boolean, in_return boolean, text string"
 )
-TEXT_LIMIT = 4000
+#: Characters of node texts in one frame of the table.
+FRAME_TEXT = 1 << 24
 
 #: Calls that run their argument for every element, by family (fixed values).
 ITERATION_CALLS = {
@@ -259,7 +260,7 @@ def table_rows(path: str, lang: str, source: str) -> list[tuple]:
         parent = stack[-1] if stack else None
         depth = sum(nodes[s].loop and not (nodes[s].start == x.start and nodes[s].end == x.end) for s in stack)
         scope = next((s for s in reversed(stack) if nodes[s].kind == "function"), None)
-        rows.append([path, lang, i, parent, i, x.kind, x.name, x.argument[:TEXT_LIMIT], x.literal, x.size, x.line, x.end_line, depth, scope, x.bounded, x.in_return, x.text[:TEXT_LIMIT]])
+        rows.append([path, lang, i, parent, i, x.kind, x.name, x.argument, x.literal, x.size, x.line, x.end_line, depth, scope, x.bounded, x.in_return, x.text])
         for s in stack:
             rows[s][4] = i
         stack.append(i)
@@ -271,13 +272,25 @@ def nodes(files: DataFrame) -> DataFrame:
 
     ``last_id`` closes the interval of a node's descendants, ``loop_depth``
     counts the loops and iteration calls around it, ``scope_id`` is its function.
+    ``text`` and ``argument`` are whole, as rules judge them: a file's rows have
+    its text once for each level of nesting.
     """
     names = [f.split()[0] for f in NODES.split(", ")]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"parent_id": "Int32", "scope_id": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [r for path, lang, text in zip(pdf["path"], pdf["family"], pdf["content"]) for r in table_rows(path, lang or "", text or "")]
-            yield pd.DataFrame(out, columns=names).astype({"parent_id": "Int32", "scope_id": "Int32"})
+            out, size = [], 0
+            for path, lang, text in zip(pdf["path"], pdf["family"], pdf["content"]):
+                for r in table_rows(path, lang or "", text or ""):
+                    out.append(r)
+                    size += len(r[7]) + len(r[16])
+                    if size >= FRAME_TEXT:
+                        yield frame(out)
+                        out, size = [], 0
+            yield frame(out)
 
     sql = F.element_at(F.split("path", "\\."), -1) == "sql"
     rows = files.where(is_source(F.col("path")) & ~sql).select("path", family(F.col("path")).alias("family"), "content")
