@@ -74,3 +74,27 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert hit >= 0.9 * len(good)
     assert all((s.start, s.end) == (4, 44) for i in range(len(good)) for s in got[i])
     assert not any(got[i] for i in range(len(good), len(rows)))
+
+
+def test_keys_of_one_case_and_in_parts(spark):
+    rnd = random.Random(23)
+    lower, upper, hexa = "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+
+    def some(letters, n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    kinds = {
+        "base36": lambda: some(lower, 40), "BASE36": lambda: some(upper, 40), "base32l": lambda: some("abcdefghijklmnopqrstuvwxyz234567", 40), "uuid": lambda: "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)),
+        "prefix": lambda: "pk_live_" + some(lower, 32), "prefix-": lambda: "key-" + some(lower, 32), "groups": lambda: "-".join(some(upper, 5) for _ in range(5)), "path": lambda: "files/private/" + some(lower, 36),
+    }
+    good = [(k, make()) for k, make in kinds.items() for _ in range(25)]
+    plain = ["some-long-article-title-2024-01-02", "2024-some-long-article-title-in-words", "usr/share/python3/some_module_name_v2", "internationalization-of-words-in-a-row"]
+    bad = ["abc1" * 10, "AB01" * 10, "a" * 39 + "1", "key_" + "ab1x" * 8] * 10
+    rows = [(i, f"see {t} here", None, None, 0) for i, t in enumerate([*(t for _, t in good), *plain, *bad])]
+    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in secrets.scan(frame(spark, rows)).collect()}
+    for kind in kinds:
+        at = [i for i, g in enumerate(good) if g[0] == kind]
+        hit = [i for i in at if got[i]]
+        assert len(hit) >= 0.9 * len(at), kind
+        assert all(got[i] == [(4, 4 + len(good[i][1]))] for i in hit)
+    assert not any(got[i] for i in range(len(good), len(rows)))

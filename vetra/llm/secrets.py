@@ -21,6 +21,10 @@ PATTERNS = {
 #: Tokens that the battery looks at.
 LEAST_TOKEN = 20
 TOKEN = f"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}"
+#: Tokens whose parts all belong to the key: UUIDs and four or more groups of one length and case.
+GROUPED = "^[0-9A-Fa-f]{8}(?:[-_][0-9A-Fa-f]{4}){3}[-_][0-9A-Fa-f]{12}$|" + "|".join(f"^{c}{{{n}}}(?:[-_]{c}{{{n}}}){{3,}}$" for n in range(4, 13) for c in ("[a-z0-9]", "[A-Z0-9]"))
+#: What goes from other tokens with marks inside: parts of letters only (prefixes, words), and the marks.
+NO_KEY = "(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])|[-_/+]+"
 #: Level of the false-discovery control.
 LEVEL = 0.05
 #: Bins of a p-value for each power of ten, and the last bin.
@@ -31,6 +35,9 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32l": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
@@ -81,12 +88,20 @@ def encoding(token: Column) -> Column:
         F.when(token.rlike("^[0-9a-f]+$") & digit & lower, "hex")
         .when(token.rlike("^[0-9A-F]+$") & digit & upper, "HEX")
         .when(token.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
+        .when(token.rlike("^[a-z2-7]+$") & digit & lower, "base32l")
+        .when(token.rlike("^[0-9A-Z]+$") & digit & upper, "BASE36")
+        .when(token.rlike("^[0-9a-z]+$") & digit & lower, "base36")
         .when(token.rlike("^[A-Za-z0-9]+$") & mixed, "base62")
         .when(token.rlike("^[A-Za-z0-9+/]+$") & mixed, "base64")
         .when(token.rlike("^[A-Za-z0-9_-]+$") & mixed, "base64url")
     )
 
 
+def core(token: Column) -> Column:
+    """The parts of a token with marks inside that can be a key, joined."""
+    return F.when(token.rlike(GROUPED), F.regexp_replace(token, "[-_]", "")).otherwise(F.regexp_replace(token, NO_KEY, ""))
+
+
 def battery(token: Column, alphabet: str) -> Column:
     """p-value of a token under independent, uniform symbols: three tests, Bonferroni.
 
@@ -131,17 +146,22 @@ def _stratum(name: Column, token: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, end, stratum, bin) of the tokens in some encoding."""
+    """Array of (start, end, stratum, bin) of the tokens in some encoding, or with a :func:`core` in one."""
+
+    def judged(token: Column, label: Column) -> Column:
+        name = encoding(token)
+        return F.when(name.isNotNull(), F.struct(name.alias("name"), F.concat(label, name).alias("label"), token.alias("token")))
 
     def one(x: Column) -> Column:
-        def named(name: Column) -> Column:
+        def named(key: Column) -> Column:
             p = F.lit(None).cast("double")
             for k, alphabet in ALPHABETS.items():
-                p = F.when(name == k, battery(x["token"], alphabet)).otherwise(p)
+                p = F.when(key["name"] == k, battery(key["token"], alphabet)).otherwise(p)
             bin_ = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * PER_DECADE).cast("int"), F.lit(LAST_BIN))
-            return F.when(name.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(name, x["token"]).alias("stratum"), bin_.alias("bin")))
+            return F.when(key.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(key["label"], key["token"]).alias("stratum"), bin_.alias("bin")))
 
-        return let(encoding(x["token"]), named)
+        parts = F.when(x["token"].rlike("[-_/+]"), let(core(x["token"]), lambda c: F.when(F.char_length(c) >= LEAST_TOKEN, judged(c, F.lit("parts:")))))
+        return let(F.coalesce(judged(x["token"], F.lit("")), parts), named)
 
     tokens = matches(text, TOKEN, 0, LEAST_TOKEN)
     return F.filter(F.transform(tokens, one), lambda c: c.isNotNull())
@@ -164,7 +184,7 @@ def rejected(tokens: DataFrame, level: float) -> dict[str, int]:
     """Benjamini-Hochberg in each stratum: the least bin whose tokens are not random.
 
     p-values are rounded up to the edges of their bins; what comes to the
-    driver is one row for a stratum (six alphabets, bands of doubling length).
+    driver is one row for a stratum (nine alphabets, whole or in parts, bands of doubling length).
     """
     bins = tokens.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
     below = W.partitionBy("stratum").orderBy(F.col("bin").desc())
@@ -179,8 +199,9 @@ def scan(docs: DataFrame, level: float = LEVEL, keep: tuple[str, ...] = ()) -> D
 
     The first three are matches of the fixed patterns.  ``random`` has runs of
     LEAST_TOKEN or more of ``[A-Za-z0-9+/_-]`` outside those matches that fit an
-    encoding (hexadecimal, base 32, 62 or 64, with digits and letters) and that
-    the battery can't tell from uniform random symbols: randomness is rejected
+    encoding (hexadecimal, base 32, 36, 62 or 64, with digits and letters), or
+    whose parts between ``+/_-`` do, less those of letters only if LEAST_TOKEN
+    characters are left (UUIDs, groups, keys behind a prefix), and that the battery can't tell from uniform random symbols: randomness is rejected
     at false-discovery ``level`` among the tokens of one encoding and length
     band of the whole table, and what is left is held to be random.
 
