@@ -30,20 +30,20 @@ def line_of(text: Column, prefix_length: Column) -> Column:
     return (F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
-def match_lines(files: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """(key, line) of every match of a pattern without groups."""
+def match_lines(files: DataFrame, key: str, text: str, pattern: str, shown: bool = False) -> DataFrame:
+    """(key, line) of every match of a pattern without groups; with ``shown`` what matched, too."""
     whole = f"(?s)(.*?)(?:({pattern})|\\z)"
     gaps, hits = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    start = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<int>))")
+    start = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<struct<at:int,hit:string>>))")
 
     def step(acc: Column, p: Column) -> Column:
         at = acc["at"] + F.length(p["gap"])
-        out = F.when(p["hit"] != "", F.concat(acc["out"], F.array(at))).otherwise(acc["out"])
+        out = F.when(p["hit"] != "", F.concat(acc["out"], F.array(F.struct(at.alias("at"), p["hit"].alias("hit"))))).otherwise(acc["out"])
         return F.struct((at + F.length(p["hit"])).alias("at"), out.alias("out"))
 
     places = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda a: a["out"])
-    rows = files.where(F.col(text).rlike(pattern)).select(key, text, F.explode(places).alias("at"))
-    return rows.select(key, line_of(F.col(text), F.col("at")).alias("line"))
+    rows = files.where(F.col(text).rlike(pattern)).select(key, text, F.explode(places).alias("x"))
+    return rows.select(key, line_of(F.col(text), F.col("x.at")).alias("line"), *([F.col("x.hit").alias("hit")] if shown else []))
 
 
 def select_all_lines(files: DataFrame, key: str = "path", text: str = "content") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import FINDING, RULES
-from ..sources.files import is_source, is_test_path
+from ..sources.files import extension, is_secret_text, is_source, is_test_path, lines
 from ..sources.syntax import table_rows, terminal
 from . import lexical
 from .closure import cut, summaries
@@ -239,7 +239,8 @@ def call_graph(nodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame
 def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = ()) -> DataFrame:
     """All findings of the syntax and lexical rules over files (path, content), before policy.
 
-    The node table is made once and written; every rule is a filter or a join on it.
+    The node table is made once and written; every syntax rule is a filter or a
+    join on it.  ``.sql`` files and texts that may hold secrets go through the line rules.
     """
     from ..sources import syntax
 
@@ -309,6 +310,11 @@ def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] =
     outermost = big.join(outer, (F.col("path") == F.col("p")) & (F.col("i") < F.col("node_id")) & (F.col("l") >= F.col("node_id")), "left_anti")
     emit("FG-ARCH-001", outermost.where((F.col("end_line") - F.col("start_line") + 1 >= LITERAL_LINES) | (F.col("size") >= LITERAL_ELEMENTS)))
     emit("FG-PARSE-001", n.where("kind = 'error'").withColumn("text", F.col("argument")))
+    line = F.col("line")
+    as_node = [line.alias("start_line"), line.alias("end_line"), line.alias("node_id")]
+    sql = files.where(F.coalesce(extension(F.col("path")) == "sql", F.lit(False)))
+    emit("FG-DB-005", lexical.match_lines(sql, "path", "content", lexical.SELECT_ALL, shown=True).select("path", *as_node, F.col("hit").alias("text")))
+    emit("FG-SEC-001", lexical.credential_lines(lines(files.where(is_secret_text(F.col("path"))))).select("path", *as_node, F.col("evidence").alias("text")))
     return reduce(DataFrame.unionByName, out).to(files.sparkSession.createDataFrame([], FINDING).schema)
 
 
