@@ -89,3 +89,33 @@ def test_components(spark):
         groups.setdefault(find(v), set()).add(label)
         mine.setdefault(label, set()).add(find(v))
     assert all(len(x) == 1 for x in groups.values()) and all(len(x) == 1 for x in mine.values())
+
+
+def test_shared_passages_are_no_clusters_and_large_clusters_are_dealt_out(spark):
+    rnd = random.Random(9)
+    passages = [" ".join(f"p{p}w{i}" for i in range(20)) for p in range(12)]
+    rows = [(i, " ".join([*rnd.sample(passages, 4), *(f"own{i}w{j}" for j in range(30))]), "en", "s", 0) for i in range(150)]
+    base = [f"b{i}" for i in range(200)]
+    for n in range(60):
+        own = list(base)
+        for _ in range(rnd.randint(1, 5)):
+            own[rnd.randrange(200)] = f"y{rnd.random()}"
+        rows.append((1000 + n, " ".join(own), "en", "s", 0))
+    want = sorted(brute([(r[0], r[1]) for r in rows], 4))
+    assert len({c for d, _, c, _ in want if d < 1000}) == 150
+    for block in (2000, 10):
+        assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows), block=block).collect())) == want
+
+
+def test_recall_near_the_threshold(spark):
+    rnd = random.Random(21)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(200)]
+        other = list(words)
+        for at in range(rnd.randrange(10), 200, 41):
+            other[at] = f"z{g}x{at}"
+        rows += [(2 * g, " ".join(words), "en", "s", 0), (2 * g + 1, " ".join(other), "en", "s", 0)]
+    want = sorted(brute([(r[0], r[1]) for r in rows], 4))
+    assert sum(not k for *_, k in want) == 60
+    assert sorted(map(tuple, minhash.near_duplicates(frame(spark, rows)).collect())) == want

@@ -57,3 +57,17 @@ def test_factors_after_documents_without_words(spark):
     docs = frame(spark, [(i, "" if i % 2 else text, "en", "s", 0) for i in range(40)])
     for r in rlz.deduplicate(docs).collect():
         assert [(f.start, f.words, f.source, f.source_start) for f in r.factors] == ([(0, 30, 0, 0)] if r.doc_id and r.doc_id % 2 == 0 else [])
+
+
+def test_a_factor_goes_on_through_smaller_sources(spark):
+    long = [f"w{i}" for i in range(100)]
+    docs = [(1, " ".join(["a", *long[40:55], "b"])), (2, " ".join(long)), (3, " ".join(["x", *long, "y"])), (4, " ".join([*long[80:], *long[:30]]))]
+    got = {r.doc_id: [(f.start, f.words, f.source, f.source_start) for f in r.factors] for r in rlz.deduplicate(frame(spark, [(d, t, "en", "s", 0) for d, t in docs])).collect()}
+    assert got == {1: [], 2: [(40, 15, 1, 1)], 3: [(1, 100, 2, 0)], 4: [(0, 20, 2, 80), (20, 30, 2, 0)]}
+
+
+def test_removed_words_are_those_of_factors(spark, monkeypatch):
+    assert rlz.factors([(0, 20, 5, 0), (3, 40, 6, 0), (10, 25, 7, 0), (38, 60, 8, 0), (70, 90, 9, 0)]) == [(0, 20, 5, 0), (3, 40, 6, 0), (38, 60, 8, 0), (70, 90, 9, 0)]
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = frame(spark, [(1, text, "en", "s", 0), (2, text, "en", "s", 0)])
+    assert {r.doc_id: r.n_removed for r in rlz.deduplicate(docs).collect()} == {1: 0, 2: 40}

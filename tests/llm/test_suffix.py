@@ -48,19 +48,35 @@ def test_repeats_with_one_name_are_one_string(spark):
         assert len({n for _, _, n in own}) == 1
 
 
+def groups(contexts, starts, many, least):
+    """All strings of ``least`` or more that start at several places (a many context counts twice) and can't be longer to the right or the left."""
+    places = {}
+    for k, c in enumerate(contexts):
+        for i in range(starts[k]):
+            for j in range(i + least, len(c) + 1):
+                places.setdefault(c[i:j], set()).add((k, i))
+    out = {}
+    for s, at in places.items():
+        n = sum(2 if many[k] else 1 for k, _ in at)
+        right = {contexts[k][i + len(s) : i + len(s) + 1] if i + len(s) < len(contexts[k]) else (k, i) for k, i in at}
+        right_open = len(right) > 1 or any(isinstance(x, tuple) for x in right)
+        before = {contexts[k][i - 1] if i else None for k, i in at}
+        if n > 1 and right_open and (None in before or len(before) > 1):
+            out[s] = at
+    return out
+
+
 def test_maximal_repeats_against_brute_force():
     rnd = random.Random(3)
-    for _ in range(60):
-        contexts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(4, 40))) for _ in range(rnd.randint(2, 6))]
+    for _ in range(200):
+        contexts = list({bytes(rnd.choice(b"ab") for _ in range(rnd.randint(4, 30))) for _ in range(rnd.randint(2, 6))})
         least = rnd.randint(2, 5)
         starts = [len(c) - least + 1 for c in contexts]
         if min(starts) < 1:
             continue
-        n = Counter(c[i : i + least] for c in contexts for i in range(len(c) - least + 1))
-        want = {(k, i + j) for k, c in enumerate(contexts) for i in range(len(c) - least + 1) if n[c[i : i + least]] > 1 for j in range(least)}
-        found = suffix.maximal_repeats(contexts, starts, least)
-        assert {(k, s + j) for k, s, length, _ in found for j in range(length)} == want
-        names = {}
-        for k, s, length, name in found:
-            names.setdefault(name, set()).add(contexts[k][s : s + length])
-        assert all(len(v) == 1 for v in names.values())
+        many = [rnd.random() < 0.4 for _ in contexts]
+        got = {}
+        for k, s, length, name in zip(*(x.tolist() for x in suffix.maximal_repeats(contexts, starts, many, least))):
+            got.setdefault(name, set()).add((contexts[k][s : s + length], k, s))
+        assert all(len({x for x, _, _ in own}) == 1 for own in got.values())
+        assert {next(iter(own))[0]: {(k, s) for _, k, s in own} for own in got.values()} == groups(contexts, starts, many, least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(hook)
         a = hook.select(F.col("v").alias("u"), F.col("label").alias("a"))
         b = hook.select("v", F.col("label").alias("b"))
-        edges = written(
+        done, edges = edges, written(
             edges.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
             "edges",
         )
+        discard(done)
     if not maps:
         return edges.select("v", F.col("u").alias("label"))
     out = maps[0]

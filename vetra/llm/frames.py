@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,22 +61,84 @@ def binary_column(values: Iterable[bytes]) -> pa.Array:
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; one of our own only where it is unset."""
+    """The shared checkpoint folder of the session; one of our own only where it is unset and all tasks run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
-        place = os.path.join(os.environ.get("VETRA_SHARED_DIR", "/tmp/vetra-checkpoints"))
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        place = "/tmp/vetra-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+#: Folders of the tables that :func:`written` made and nothing has discarded, in order.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again: lost executors lose nothing of it."""
     path = f"{ensure_checkpoints(df.sparkSession)}/vetra-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.vetra_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever the cluster keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables of :func:`written` that nothing will read again."""
+    for df in frames:
+        delete(df.sparkSession, df.vetra_path)
+
+
+def tables_made() -> int:
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, mark: int) -> None:
+    """Removes the tables made since :func:`tables_made` gave ``mark``; what was computed from them has to be written."""
+    for path in _made[mark:]:
+        delete(spark, path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast if it has at most ``rows`` rows (of fixed width), else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def in_runs(rows: DataFrame, keys: list[str], run: Callable[[tuple, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the rows of each key, as applyInArrow does, but with many small keys to one Python call.
+
+    Rows are dealt and sorted by the key; a task holds the rows of one key at a time.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in batches:
+            marks = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            at = 0
+            out = []
+            for i, mark in enumerate(marks):
+                if mark != last:
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    if held:
+                        out.append(run(last, pa.Table.from_batches(held)))
+                    last, held, at = mark, [], i
+            if at < len(marks):
+                held.append(batch.slice(at))
+            if out:
+                yield from pa.concat_tables(out).combine_chunks().to_batches()
+        if held:
+            yield from run(last, pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import rolling as R
 from . import shared as S
 from .components import components
-from .frames import NO_ID, id_array, shuffle_width, small, table, texts, written
+from .frames import NO_ID, id_array, in_runs, small, table, texts, written
 
 #: Words of a shingle, of the dealt query; pipeline stages take five.
 SHINGLE = 4
@@ -23,9 +23,11 @@ PERCENT = 80
 #: some ten million pairs.
 COORDINATES = 64
 MATCHES = 32
-#: Classes that one task compares; a larger cluster is taken in pairs of blocks.
-BLOCK = 4000
-#: Rows of (doc_id, cluster, class, blocks) that are broadcast at most: some 100
+#: Classes that one task compares; a larger posting list or cluster is dealt out, see :func:`forest`.
+BLOCK = 2000
+#: Members of a large group that every slice of it is compared with.
+HUBS = 8
+#: Rows of (doc_id, hash of the text, cluster, class) that are broadcast at most: some 100
 #: bytes each.  With more, the texts are shuffled to them.
 BROADCAST_ROWS = 200_000
 
@@ -78,16 +80,14 @@ def _names(cuts: np.ndarray, h: np.ndarray) -> list[bytes | None]:
     return [pair[i].tobytes() if n[i] else None for i in range(len(n))]
 
 
-_SKETCH = "part int, doc_id long, n_shingles long, class binary, signature binary"
+_SKETCH = "part int, doc_id long, text_hash long, n_shingles long, class binary, signature binary"
 
 
-def sketches(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
-    """One small row for each document; a null doc_id becomes NO_ID."""
-    parts = shuffle_width(docs.sparkSession) * S.PARTS_PER_PARTITION
+def sketches(docs: DataFrame, k: int, coordinates: int, parts: int) -> DataFrame:
+    """One small row for each document; a null doc_id becomes NO_ID.  Equal sets have one class and one part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = id_array(batch.column("doc_id"))
             sizes, names, sigs = [], [], []
             for _, cuts, h in shingles(batch.column("text"), k):
                 cuts, h = sets(cuts, h)
@@ -96,35 +96,36 @@ def sketches(docs: DataFrame, k: int, coordinates: int) -> DataFrame:
                 sizes.append(np.diff(cuts))
                 names += own
                 sigs += [None if x is None else next(sig).tobytes() for x in own]
-            part = R.mix(ids.astype(U)) % U(parts)
+            part = [0 if x is None else int.from_bytes(x[:8], "little") % parts for x in names]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(ids), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["part", "doc_id", "n_shingles", "class", "signature"],
+                [pa.array(part, pa.int32()), pa.array(id_array(batch.column("doc_id"))), batch.column("text_hash"), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["part", "doc_id", "text_hash", "n_shingles", "class", "signature"],
             )
 
-    return docs.mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _SKETCH)
+
+
+def _matrix(column: pa.Array, coordinates: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, coordinates)
 
 
 def _tokens(column: pa.Array, coordinates: int) -> np.ndarray:
     """Hash of every (coordinate, value) pair: rows x coordinates."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    sig = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, coordinates)
-    return R.mix(sig.astype(U) | (np.arange(1, coordinates + 1, dtype=U) << U(32)))
+    return R.mix(_matrix(column, coordinates).astype(U) | (np.arange(1, coordinates + 1, dtype=U) << U(32)))
 
 
-_POSTED = "class binary, doc_id long, signature binary, tokens array<long>"
+_POSTED = "class binary, doc_id long, text_hash long, n_shingles long, signature binary, tokens array<long>"
 
 
-def posted(known: DataFrame, coordinates: int, matches: int) -> DataFrame:
+def posted(known: DataFrame, coordinates: int, matches: int, buckets: int) -> DataFrame:
     """Classes that share at least ``matches`` pairs with others, with the pairs they are posted under.
 
     The pairs of a class are ordered by how many classes share them, rarest
     first; of m shared ones the first m - matches + 1 are enough: two classes
     with ``matches`` collisions have one of these in common.
     """
-    buckets = shuffle_width(known.sparkSession)
-    firsts = known.groupBy("part", "class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"))
+    one = F.min(F.struct("doc_id", "text_hash", "n_shingles", "signature")).alias("one")
+    firsts = known.groupBy("part", "class").agg(one).select("part", "class", "one.*")
 
     def anchors(group: pa.Table):
         return _tokens(group["signature"], coordinates).ravel(), None
@@ -147,103 +148,143 @@ def posted(known: DataFrame, coordinates: int, matches: int) -> DataFrame:
         ok = np.flatnonzero(count >= matches)
         order = np.lexsort((mine[ok], rank[ok]), axis=1)
         lists = [mine[i][o[: count[i] - matches + 1]].astype(np.int64) for i, o in zip(ok, order)]
-        own = group.take(pa.array(ok))
-        return pa.Table.from_arrays(
-            [own["class"].combine_chunks(), own["doc_id"].combine_chunks(), own["signature"].combine_chunks(), pa.array(lists, pa.list_(pa.int64()))],
-            names=["class", "doc_id", "signature", "tokens"],
-        )
+        own = group.take(pa.array(ok)).drop_columns(["part"])
+        return own.append_column("tokens", pa.array(lists, pa.list_(pa.int64()))).select(["class", "doc_id", "text_hash", "n_shingles", "signature", "tokens"])
 
     return firsts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(choose, _POSTED)
 
 
-def compare(names: list[bytes], signature: np.ndarray, contents: list[np.ndarray], percent: int, matches: int, other: np.ndarray | None = None) -> list[int]:
-    """Roots of the classes under confirmed links; no pair of one component is looked at again.
+def compare(sizes: np.ndarray, signature: np.ndarray, contents: list[np.ndarray] | None, percent: int, matches: int, label: np.ndarray) -> np.ndarray:
+    """Labels of the members under links; pairs that carry one label already aren't looked at.
 
-    Collisions are counted over whole signatures; pairs of enough collisions
-    are confirmed on their sets, the most alike first.  With ``other`` (the
-    block of each class) only pairs of different blocks count.
+    Collisions are counted over whole signatures (the prefix that brought a
+    pair together and all the lists it skipped).  Pairs of enough collisions and
+    of sizes that can be alike are links or, with ``contents``, are confirmed
+    on their sets, the most alike first.
     """
-    parent = list(range(len(names)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    label = np.arange(len(names))  # roots, refreshed at unions
-    sizes = np.array([len(x) for x in contents])
-    for i in range(1, len(names)):
-        far = label[:i] != label[i]
-        if other is not None:
-            far &= other[:i] != other[i]
-        j = np.flatnonzero(far)
+    label = label.copy()
+    for i in range(1, len(sizes)):
+        j = np.flatnonzero(label[:i] != label[i])
         if not len(j):
             continue
-        fit = 100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])
-        j = j[fit]
+        j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
         hits = (signature[j] == signature[i]).sum(axis=1)
-        j = j[hits >= matches]
-        for x in j[np.argsort(-hits[hits >= matches], kind="stable")].tolist():
+        j, hits = j[hits >= matches], hits[hits >= matches]
+        for x in j[np.argsort(-hits, kind="stable")].tolist():
             if label[x] == label[i]:
                 continue
-            a, b = (contents[i], contents[x]) if sizes[i] < sizes[x] else (contents[x], contents[i])
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            both = int(np.count_nonzero(b[at] == a))
-            if 100 * both >= percent * (int(sizes[i] + sizes[x]) - both):
-                p, q = sorted((find(i), find(x)))
-                parent[q] = p
-                label[label == q] = p
-    return [find(i) for i in range(len(names))]
+            if contents is not None:
+                a, b = (contents[i], contents[x]) if sizes[i] < sizes[x] else (contents[x], contents[i])
+                at = np.searchsorted(b, a)
+                at[at == len(b)] = 0
+                both = int(np.count_nonzero(b[at] == a))
+                if 100 * both < percent * (int(sizes[i] + sizes[x]) - both):
+                    continue
+            label[label == label[x]] = label[i]
+    return label
 
 
 _EDGE = "u binary, v binary"
 
 
-def links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, coordinates: int, matches: int, block: int) -> DataFrame:
-    """(u, v): a forest over the classes of each cluster that has the components of all links.
+def _linked(percent: int, matches: int, coordinates: int):
+    """Links inside one group of rows (class, n_shingles, signature, perhaps content and label), as stars."""
 
-    ``clusters``: (cluster, class, doc_id, blocks).  A cluster of
-    several blocks is compared in all pairs of blocks.
-    """
-    wanted = small(clusters.select("doc_id", "cluster", "class", "blocks"), BROADCAST_ROWS)
-    with_text = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(wanted, "doc_id")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            names, cluster, blocks = (batch.column(n).to_pylist() for n in ("class", "cluster", "blocks"))
-            for a, cuts, h in shingles(batch.column("text"), k):
-                cuts, h = sets(cuts, h)
-                sigs = iter(signatures(cuts, h, coordinates))
-                for i, name in enumerate(_names(cuts, h)):
-                    sig = None if name is None else next(sigs).tobytes()
-                    if name == names[a + i]:  # rows with one doc_id can have other texts
-                        n = blocks[a + i]
-                        own = int.from_bytes(name[:4], "little") % n
-                        for x in range(n):
-                            lo, hi = min(own, x), max(own, x)
-                            out.append((cluster[a + i], lo, hi, own, name, sig, h[cuts[i] : cuts[i + 1]].tobytes()))
-            cols = list(zip(*out)) if out else [()] * 7
-            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["cluster", "lo", "hi", "own", "class", "signature", "content"])
-
-    def join(key: tuple, group: pa.Table) -> pa.Table:
-        names, sig, raw, own = (group[n].to_pylist() for n in ("class", "signature", "content", "own"))
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        names = group["class"].to_pylist()
         first = {}
         for i, x in enumerate(names):
             first.setdefault(x, i)
         at = sorted(first.values(), key=lambda i: names[i])
+        own = group.take(pa.array(at))
         names = [names[i] for i in at]
-        matrix = np.frombuffer(b"".join(sig[i] for i in at), np.uint32).reshape(-1, coordinates)
-        blocks = np.array([own[i] for i in at]) if key[1] != key[2] else None
-        roots = compare(names, matrix, [np.frombuffer(raw[i], U) for i in at], percent, matches, blocks)
-        edges = [(names[r], x) for x, r in zip(names, roots)]
+        raw = own["content"].to_pylist() if "content" in own.column_names else None
+        known = own["label"].to_pylist() if "label" in own.column_names else names
+        label = compare(
+            own["n_shingles"].to_numpy(), _matrix(own["signature"], coordinates), raw and [np.frombuffer(x, U) for x in raw], percent, matches,
+            np.unique(np.array([x.hex() for x in known]), return_inverse=True)[1],
+        )
+        head = {}
+        edges = [(head.setdefault(x, n), n) for x, n in zip(label.tolist(), names)]
+        edges = [e for e in edges if e[0] != e[1]]
         return pa.Table.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary())], names=["u", "v"])
 
-    rows = with_text.select("cluster", "class", "blocks", "text").mapInArrow(read, "cluster binary, lo int, hi int, own int, class binary, signature binary, content binary")
-    return rows.groupBy("cluster", "lo", "hi").applyInArrow(join, _EDGE)
+    return run
+
+
+def forest(rows: DataFrame, percent: int, matches: int, coordinates: int, block: int, hubs: int = HUBS) -> tuple[DataFrame, bool]:
+    """(u, v): links that connect all that the links of each ``grp`` of ``rows`` connect; whether a group was dealt out.
+
+    A group of more than ``block`` classes is dealt into slices, each compared
+    inside and with a few hubs, which connects most copies of one text.
+    Members that the largest component of the group doesn't hold are then
+    compared with every slice, in blocks of their own.
+    """
+    run = _linked(percent, matches, coordinates)
+    large = written(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > block), "large")
+    if large.isEmpty():
+        return written(in_runs(rows, ["grp"], run, _EDGE), "links"), False
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    slices = F.coalesce(F.ceil(F.col("n") / (block // 2)), F.lit(1)).cast("int")
+    rows = rows.join(large, "grp", "left").withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int"))
+    hub = rows.where("n IS NOT NULL").groupBy("grp", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(hubs)).alias("h")).agg(F.min("class").alias("class")).select("grp", "class")
+    apart = [c for c in rows.columns if c != "slice"]
+    to_all = rows.join(hub, ["grp", "class"], "left_semi").select(*apart, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    drop = ["n", "slices"]
+    one = written(in_runs(rows.unionByName(to_all).drop(*drop), ["grp", "slice"], run, _EDGE), "links")
+    labels = components(one).select(F.col("v").alias("class"), "label")
+    big = rows.where("n IS NOT NULL")
+    held = big.select("grp", "class", "slices").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    held = written(held, "held")
+    main = held.groupBy("grp", "label").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max(F.struct("k", "label"))["label"].alias("main"))
+    held = held.join(main, "grp")
+    rest = held.where("label <> main").groupBy("grp").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / (block // 2)).cast("int")).drop("k")
+    held = held.join(rest, "grp").withColumn("left", F.col("label") != F.col("main")).select("grp", "class", "label", "left", "blocks")
+    held = written(held, "rest")
+    if held.isEmpty():
+        return one, True
+    every = big.join(held, ["grp", "class"])
+    own = F.pmod(F.xxhash64("class", F.lit(2)), F.col("blocks")).cast("int")
+    cols = [c for c in every.columns if c not in ("slice", "left", "blocks", "n", "slices")]
+    to_blocks = every.select(*cols, "slice", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    to_slices = every.where("left").select(*cols, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), own.alias("blk"))
+    two = written(in_runs(to_blocks.unionByName(to_slices), ["grp", "slice", "blk"], run, _EDGE), "links")
+    return written(one.unionAll(two), "links"), True
+
+
+def candidates(post: DataFrame, percent: int, matches: int, coordinates: int, block: int) -> DataFrame:
+    """(u, v): pairs of classes with at least ``matches`` collisions that connect all such pairs.
+
+    Classes are merged list by list under the pairs they are posted under;
+    lists of the same classes are merged once.
+    """
+    entries = post.select("class", F.explode("tokens").alias("grp"))
+    lists = entries.groupBy("grp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("a"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("b")).where("n > 1")
+    lists = lists.groupBy("n", "a", "b").agg(F.min("grp").alias("grp")).select("grp")
+    members = entries.join(lists, "grp").join(post.select("class", "n_shingles", "signature"), "class")
+    return forest(written(members.select("grp", "class", "n_shingles", "signature"), "lists"), percent, matches, coordinates, block)[0]
+
+
+def contents(docs: DataFrame, clusters: DataFrame, k: int, coordinates: int) -> DataFrame:
+    """(grp, class, n_shingles, signature, content) of the classes of ``clusters`` (grp, class, doc_id, text_hash)."""
+    wanted = small(clusters, BROADCAST_ROWS)
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").join(wanted, ["doc_id", "text_hash"])
+    rows = rows.groupBy("grp", "class").agg(F.min("text").alias("text"))  # repeated rows count once, before the shuffle
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, sigs, raw = [], [], []
+            for _, cuts, h in shingles(batch.column("text"), k):
+                cuts, h = sets(cuts, h)
+                sizes += np.diff(cuts).tolist()
+                sigs += [x.tobytes() for x in signatures(cuts, h, coordinates)]
+                raw += [h[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grp"), batch.column("class"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(raw, pa.binary())],
+                names=["grp", "class", "n_shingles", "signature", "content"],
+            )
+
+    return rows.mapInArrow(read, "grp binary, class binary, n_shingles long, signature binary, content binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
@@ -257,30 +298,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     ``kept`` says that it is the row's own.
 
     Rows with equal sets are one class from the start, whatever their number.
-    Classes meet under the rarest (coordinate, value) pairs of their signatures
-    (see :func:`posted`); clusters of classes that meet, directly or through
-    others, are compared in tasks of at most two blocks.  A null doc_id is
-    larger than any other; a row that reaches only null ids has a null
-    component_id and stays.  Rows with a repeated doc_id are judged by their
-    own texts.  An empty table gives no rows.
+    Classes meet in the posting lists of the rarest (coordinate, value) pairs of
+    their signatures (see :func:`posted`), where collisions are counted; pairs
+    with ``matches`` or more, and what they connect, are confirmed on full
+    sets.  A null doc_id is larger than any other; a row that reaches only null
+    ids has a null component_id and stays.  Rows with a repeated doc_id are
+    judged by their own texts.  An empty table gives no rows.
     """
     docs = texts(docs)
-    every = written(sketches(docs, shingle, coordinates), "sketches")
+    width = S.width(docs)
+    every = written(sketches(docs, shingle, coordinates, width * S.PARTS_PER_PARTITION), "sketches")
     known = every.where("class IS NOT NULL")
-    post = written(
-        posted(known, coordinates, matches).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("tokens").alias("tokens")), "posted"
-    )
-    entries = post.select("class", F.explode("tokens").alias("token"))
-    heads = entries.groupBy("token").agg(F.min("class").alias("u"), F.max("class").alias("w")).where("u <> w").select("token", "u")
-    meets = components(entries.join(heads, "token").select("u", F.col("class").alias("v")))
-    met = written(meets.select(F.col("v").alias("class"), F.col("label").alias("cluster")).join(post.select("class", "doc_id"), "class"), "met")
-    sizes = met.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("blocks", F.when(F.col("n") <= block, 1).otherwise(F.ceil(F.col("n") / (block // 2))).cast("int")).drop("n")
-    clusters = met.join(sizes, "cluster")
-    edges = written(links(docs, clusters, shingle, percent, coordinates, matches, block), "links")
-    if sizes.where("blocks > 1").isEmpty():
-        label = edges.select(F.col("v").alias("class"), F.col("u").alias("label"))
-    else:
-        label = components(edges).select(F.col("v").alias("class"), "label")
+    post = written(posted(known, coordinates, matches, width), "posted")
+    meets = components(candidates(post, percent, matches, coordinates, block))
+    clusters = meets.select(F.col("v").alias("class"), F.col("label").alias("grp")).join(post.select("class", "doc_id", "text_hash"), "class")
+    clusters = written(clusters, "clusters")
+    links, dealt = forest(written(contents(docs, clusters, shingle, coordinates), "contents"), percent, matches, coordinates, block)
+    label = components(links).select(F.col("v").alias("class"), "label") if dealt else links.select(F.col("v").alias("class"), F.col("u").alias("label"))
     least = known.groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     goal = written(least.select("class", "label", "least", "n"), "classes")
     ids = goal.groupBy("label").agg(F.min("least").alias("component"), F.sum("n").alias("rows"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93
+_SECOND_BASE = 0x8EBC6AF09C88C6E3
 _VALUES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -77,6 +78,21 @@ def word_ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return ranges(sums, starts, ends, _WORD_BASE)
 
 
+def second_values(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Other values of words, from their hashes, lengths and outer bytes; for :func:`second_grams`."""
+    facts = ((ends - starts).astype(U) << U(16)) | (data[starts].astype(U) << U(8)) | data[ends - 1].astype(U)
+    return mix((hashes ^ U(0x94D049BB133111EB)) * U(0xA0761D6478BD642F) + facts * U(0xE7037ED1A0B428DB))
+
+
+def second_prefix(values: np.ndarray) -> np.ndarray:
+    return prefix(values, _SECOND_BASE)
+
+
+def second_grams(sums: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits for the hash of the k words from every position on."""
+    return (_grams(sums, k, _SECOND_BASE) >> U(32)).astype(np.uint32)
+
+
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
     """Position of the smallest of h[i:i+w] for every full window.
 

@@ -2,10 +2,10 @@
 
 Documents are dealt into parts by a hash.  A part posts the distinct hashes of
 its anchors, packed per bucket; a bucket answers each part with a bit mask.
-What travels is 5 bytes for each distinct anchor of a part and a bit back, a
+What travels is 6 bytes for each distinct anchor of a part and a bit back, a
 frequent anchor costs one entry a part (it is counted before the shuffle), and
 no task holds more than one part or one bucket.  Both numbers follow
-``spark.sql.shuffle.partitions``.
+``spark.sql.shuffle.partitions`` and, beyond it, the planner's size of the rows.
 """
 
 from __future__ import annotations
@@ -22,19 +22,26 @@ from .frames import shuffle_width
 U = np.uint64
 #: Parts of the documents for each shuffle partition.
 PARTS_PER_PARTITION = 2
+#: Bytes of text that a part or bucket should have at most, and bytes of text for one of a file (columns are compressed).
+PART_BYTES = 256 << 20
+UNPACKED = 4
+#: Counts of an anchor in one part stop here; any count that matters (of hot anchors) is lower.
+MOST = 65535
 
 POSTS = "bucket int, part int, a binary, b binary, c binary, d binary"
 ANSWERS = "part int, bucket int, kind int, a binary, b binary, c binary, d binary"
 
 
-def in_parts(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, text): rows dealt by a hash of both columns."""
-    n = shuffle_width(docs.sparkSession) * PARTS_PER_PARTITION
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"), "doc_id", "text")
+def width(docs: DataFrame) -> int:
+    """Shuffle partitions of the session, or more if the planner's size of the rows asks for more."""
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    asked = planned * UNPACKED // PART_BYTES if planned < 1 << 55 else 0  # the planner's size of rows it knows nothing about
+    return max(shuffle_width(docs.sparkSession), asked)
 
 
-def buckets_of(docs: DataFrame) -> int:
-    return shuffle_width(docs.sparkSession)
+def in_parts(docs: DataFrame, n: int) -> DataFrame:
+    """(part, doc_id, text): rows dealt by a hash of both columns."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("part"), "doc_id", "text")
 
 
 def order_by_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -62,14 +69,14 @@ def cut(keys: np.ndarray, buckets: int) -> Iterable[tuple[int, int, int]]:
 
 
 def distinct(h: np.ndarray, owner: np.ndarray | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in bucket order and how often each occurs, at most 255.
+    """Distinct keys in bucket order and how often each occurs, at most MOST.
 
     With ``owner`` (a row number for each hash) rows are counted instead.
     """
     keys = order_by_bucket(h, buckets)
     if owner is None:
         keys, n = np.unique(keys, return_counts=True)
-        return keys, np.minimum(n, 255).astype(np.uint8)
+        return keys, np.minimum(n, MOST).astype(np.uint16)
     order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
     first = np.ones(len(keys), bool)
@@ -78,7 +85,7 @@ def distinct(h: np.ndarray, owner: np.ndarray | None, buckets: int) -> tuple[np.
     fresh[1:] |= owner[1:] != owner[:-1]
     at = np.flatnonzero(first)
     n = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-    return keys[at], np.minimum(n, 255).astype(np.uint8)
+    return keys[at], np.minimum(n, MOST).astype(np.uint16)
 
 
 def post(parts: DataFrame, anchors: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]], buckets: int) -> DataFrame:
@@ -100,7 +107,7 @@ def tell(posts: DataFrame, hot: int, powers: bool = False) -> DataFrame:
     def run(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         lows = [np.frombuffer(x.as_py(), np.uint32) for x in group["a"]]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in group["b"]]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in group["b"]]).astype(np.int64)
         _, inverse = np.unique(np.concatenate(lows), return_inverse=True)
         total = np.bincount(inverse, weights=counts)[inverse]
         many, often = total >= 2, total >= hot

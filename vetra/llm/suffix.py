@@ -109,12 +109,14 @@ def interval_tree(lcp: list[int], left: list[int], least: int) -> list[tuple[int
     return out
 
 
-def maximal_repeats(contexts: list[bytes], starts: list[int], least: int):
-    """(context, start, length, group) of every occurrence of the maximal repeats.
+def maximal_repeats(contexts: list[bytes], starts: list[int], many: list[bool], least: int):
+    """Arrays (context, start, length, group) of every occurrence of every maximal repeat.
 
     Suffixes start at 0 .. starts[k] - 1 of context k.  The first start of a
     context has an unknown left character, so a repeat that runs on beyond it
-    is kept there.  Of nested repeats at one place the longest is put out.
+    is kept there.  A context that stands in several places (``many``) is a
+    repeat by itself.  All groups are put out, nested ones too, each with all
+    its suffixes.
     """
     sizes = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"".join(contexts), np.uint8)
@@ -126,25 +128,26 @@ def maximal_repeats(contexts: list[bytes], starts: list[int], least: int):
     at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + base[owner]
     order = np.argsort(levels[-1][1][at], kind="stable")
     sa, owner = at[order], owner[order]
-    lcp = np.zeros(len(sa), np.int64)
-    lcp[1:] = common_prefix(levels, text, ends, sa[:-1], sa[1:])
-    deep = lcp >= least
-    if not deep.any():
-        return []
-    left = np.where(sa == base[owner], -2, np.where(sa > 0, text[sa - 1], 0).astype(np.int64))
+    lcp = np.zeros(len(sa) + 1, np.int64)
+    lcp[1:-1] = common_prefix(levels, text, ends, sa[:-1], sa[1:])
+    deep = lcp[:-1] >= least
+    whole = sa == base[owner]
+    left = np.where(whole, -2, np.where(sa > 0, text[sa - 1], 0).astype(np.int64))
+    # copies of a whole context, where no other suffix has all of it
+    alone = whole & np.array(many, bool)[owner] & (np.maximum(lcp[:-1], lcp[1:]) < sizes[owner])
+    firsts, lasts, lengths = [np.flatnonzero(alone)], [np.flatnonzero(alone)], [sizes[owner[alone]]]
     # stretches of suffixes that hang together at the least length
     heads = np.flatnonzero(deep & ~np.r_[False, deep[:-1]]) - 1
     tails = np.flatnonzero(deep & ~np.r_[deep[1:], False])
-    best, group = np.zeros(len(sa), np.int64), np.zeros(len(sa), np.int64)
-    for h, t in zip(heads.tolist(), tails.tolist()):
-        found = interval_tree([0, *lcp[h + 1 : t + 1].tolist()], left[h : t + 1].tolist(), least)
-        for length, first, last in sorted(found):
-            best[h + first : h + last + 1] = length
-            group[h + first : h + last + 1] = h + first
-    hit = np.flatnonzero(best)
-    first = sa[group[hit]]
-    names = R.byte_ranges(R.byte_prefix(text), first, first + best[hit])
-    return list(zip(owner[hit].tolist(), (sa[hit] - base[owner[hit]]).tolist(), best[hit].tolist(), names.tolist()))
+    found = [(h + first, h + last, length) for h, t in zip(heads.tolist(), tails.tolist()) for length, first, last in interval_tree([0, *lcp[h + 1 : t + 1].tolist()], left[h : t + 1].tolist(), least)]
+    if found:
+        for x, y in zip((firsts, lasts, lengths), zip(*found)):
+            x.append(np.array(y, np.int64))
+    first, last, length = (np.concatenate(x) for x in (firsts, lasts, lengths))
+    names = R.byte_ranges(R.byte_prefix(text), sa[first], sa[first] + length)
+    n = last - first + 1
+    hit = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return owner[hit], sa[hit] - base[owner[hit]], np.repeat(length, n), np.repeat(names, n)
 
 
 # ---- contexts of shared anchors ---------------------------------------------
@@ -257,25 +260,32 @@ def _ask(size: int, gram: int, buckets: int):
     return run
 
 
-def _contested(keys: np.ndarray, ctx: np.ndarray, many: np.ndarray, starts: np.ndarray, bodies: list[bytes], size: int):
-    """Occurrences inside distinct contexts, for the anchors that have several."""
+def _repeats(keys: np.ndarray, ctx: np.ndarray, many: np.ndarray, starts: np.ndarray, bodies: list[bytes], size: int):
+    """Arrays (context, start, length, name) of the repeats inside distinct contexts, anchor by anchor."""
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
+    single = order[edge[:-1][np.diff(edge) == 1]]
+    single = single[many[single]]  # an anchor with one context that stands in several places: the context is the only group
+    out = [(single, np.zeros(len(single), np.int64), np.array([len(bodies[i]) for i in single.tolist()], np.int64), ctx[single])]
     batch: list[int] = []
     total = 0
+
+    def flush():
+        o, at, length, name = maximal_repeats([bodies[i] for i in batch], [int(starts[i]) for i in batch], [bool(many[i]) for i in batch], size)
+        out.append((np.array(batch, np.int64)[o], at, length, name))
+
     for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        own = order[s:e].tolist()
-        if len(own) > 1 and not all(many[i] for i in own):
+        if e - s > 1:
+            own = order[s:e].tolist()
             batch += own
             total += sum(len(bodies[i]) for i in own)
-        if batch and (total >= ARRAY_BYTES or e == len(k)):
-            for o, at, length, name in maximal_repeats([bodies[i] for i in batch], [int(starts[i]) for i in batch], size):
-                yield batch[o], at, length, name
-            batch, total = [], 0
+            if total >= ARRAY_BYTES:
+                flush()
+                batch, total = [], 0
     if batch:
-        for o, at, length, name in maximal_repeats([bodies[i] for i in batch], [int(starts[i]) for i in batch], size):
-            yield batch[o], at, length, name
+        flush()
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _answer(size: int):
@@ -319,15 +329,16 @@ def _answer(size: int):
             theirs.append((part, mine))
         if number:
             pairs = np.array(list(number), U)
-            repeats: dict[int, list] = {i: [(0, len(bodies[i]), int(pairs[i, 1]))] for i, m in enumerate(many) if m}
-            for i, at, length, name in _contested(pairs[:, 0], pairs[:, 1], np.array(many), np.array(starts), bodies, size):
-                if not many[i]:
-                    repeats.setdefault(i, []).append((at, length, name))
+            i, at, length, name = _repeats(pairs[:, 0], pairs[:, 1], np.array(many), np.array(starts), bodies, size)
+            order = np.argsort(i, kind="stable")
+            i, at, length, name = i[order], at[order].astype(np.uint32), length[order].astype(np.uint32), name[order]
+            edge = np.searchsorted(i, np.arange(len(bodies) + 1))
             for part, mine in theirs:
-                rows = [(i, *r) for i in mine for r in repeats.get(i, ())]
-                if rows:
-                    i, at, length, name = zip(*rows)
-                    out.append((part, bucket, 1, S.blob(pairs[list(i), 1]), S.blob(np.array(at, np.uint32)), S.blob(np.array(length, np.uint32)), S.blob(np.array(name, U))))
+                mine = np.array(mine, np.int64)
+                n = edge[mine + 1] - edge[mine]
+                j = np.repeat(edge[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                if len(j):
+                    out.append((part, bucket, 1, S.blob(pairs[i[j], 1]), S.blob(at[j]), S.blob(length[j]), S.blob(name[j])))
         return S.table_of(S.ANSWERS, out)
 
     return run
@@ -413,21 +424,24 @@ def deduplicate(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, h
     A byte of the UTF-8 text goes if a string of ``min_bytes`` bytes around it
     also starts anywhere else in the corpus, the same document included.
     ``spans`` are the maximal runs of such bytes.  ``repeats`` lists, by start,
-    the maximal repeats they are made of: rows with one ``repeat`` value, over
-    all documents, are all the occurrences of one string.
+    the maximal repeats they are made of, nested ones too: rows with one
+    ``repeat`` value, over all documents, are all the occurrences of one string.
 
     Every window of ``min_bytes`` belongs to the context of its smallest
     ``gram``; contexts with one anchor meet in one suffix array, where a repeat
     ends with its context at the latest, so a longer one is a chain of
     overlapping repeats.  Anchors with ``hot`` or more occurrences send hashes
-    of their windows, counted before the shuffle, instead of contexts.
+    of their windows, counted before the shuffle, instead of contexts; their
+    windows that occur again are groups of ``min_bytes`` bytes.  Contexts are
+    told apart by two hashes, 128 bits.
 
     A null or empty text has no bytes.  Null and repeated doc_ids stay, and
     copies of a row are repeats of each other.  An empty table gives no rows.
     """
     gram = min(gram, min_bytes)
-    parts = S.in_parts(texts(docs))
-    buckets = S.buckets_of(docs)
+    docs = texts(docs)
+    buckets = S.width(docs)
+    parts = S.in_parts(docs, buckets * S.PARTS_PER_PARTITION)
     masks = S.shared_masks(parts, _anchors_of(min_bytes, gram), buckets, hot)
     asked = parts.groupBy("part").cogroup(masks.groupBy("part")).applyInArrow(_ask(min_bytes, gram, buckets), S.POSTS)
     answers = asked.groupBy("bucket").applyInArrow(_answer(min_bytes), S.ANSWERS)
