@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+from functools import reduce
 
 from cases import SF, awkward, frame
 
@@ -61,40 +64,116 @@ def test_patterns_on_awkward_texts(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def some(rnd, letters, n):
+    return "".join(rnd.choice(letters) for _ in range(n))
+
+
+def among_text(spark, tokens):
+    """Spans of each token as (start, end), the tokens standing in documents of their own among the table's."""
+    rows = [(10**6 + i, f"see {t} here", None, None, 0) for i, t in enumerate(tokens)]
+    docs = frame(spark, rows).select("doc_id", "text").unionAll(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in secrets.scan(docs).where("doc_id >= 1000000").collect()}
+    return [got[10**6 + i] for i in range(len(tokens))]
+
+
 def test_random_tokens_are_told_from_structured_ones(spark):
     rnd = random.Random(11)
-    letters = secrets.ALPHABETS["base62"]
-    good = ["".join(rnd.choice(letters) for _ in range(40)) for _ in range(40)]
+    good = [some(rnd, secrets.ALPHABETS["base62"], 40) for _ in range(40)]
     good = [g for g in good if re.search("[0-9]", g)]
     bad = [rnd.choice(["Abc1Abc1Abc1Abc1Abc1Abc1Abc1Abc1Abc1Abc1", "AAAAAAAAAAAAAAAAAAAAaaaaaaaaaaaaaaaaaaa1", "Aa0Aa0Aa0Aa0Aa0Aa0Aa0Aa0Aa0Aa0Aa0Aa0Aa0x"]) for _ in range(40)]
     plain = ["internationalization-of-words-in-a-row", "donaudampfschifffahrtsgesellschaft", "1" * 40]
-    rows = [(i, f"see {t} here", None, None, 0) for i, t in enumerate([*good, *bad, *plain])]
-    got = {r.doc_id: r.random for r in secrets.scan(frame(spark, rows)).collect()}
-    hit = sum(bool(got[i]) for i in range(len(good)))
-    assert hit >= 0.9 * len(good)
-    assert all((s.start, s.end) == (4, 44) for i in range(len(good)) for s in got[i])
-    assert not any(got[i] for i in range(len(good), len(rows)))
+    got = among_text(spark, [*good, *bad, *plain])
+    assert sum(bool(g) for g in got[: len(good)]) >= 0.9 * len(good)
+    assert all(s == (4, 44) for g in got[: len(good)] for s in g)
+    assert not any(got[len(good) :])
 
 
-def test_keys_of_one_case_and_in_parts(spark):
-    rnd = random.Random(23)
-    lower, upper, hexa = "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+WORDS = "user account handler order message queue string buffer factory parser token index value table column window stream session number create update delete select request response error system config render".split()
 
-    def some(letters, n):
-        return "".join(rnd.choice(letters) for _ in range(n))
 
-    kinds = {
-        "base36": lambda: some(lower, 40), "BASE36": lambda: some(upper, 40), "base32l": lambda: some("abcdefghijklmnopqrstuvwxyz234567", 40), "uuid": lambda: "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)),
-        "prefix": lambda: "pk_live_" + some(lower, 32), "prefix-": lambda: "key-" + some(lower, 32), "groups": lambda: "-".join(some(upper, 5) for _ in range(5)), "path": lambda: "files/private/" + some(lower, 36),
+def planted(rnd):
+    """(kind, token): random keys of several kinds and what isn't one."""
+    lower, upper, hexa, b62 = secrets.ALPHABETS["base36"], secrets.ALPHABETS["BASE36"], secrets.ALPHABETS["hex"], secrets.ALPHABETS["base62"]
+    keys = {
+        "base62 of 40": lambda: some(rnd, b62, 40), "base62 of 24": lambda: some(rnd, b62, 24), "base64 of 44": lambda: some(rnd, secrets.ALPHABETS["base64"], 44), "base36": lambda: some(rnd, lower, 40), "BASE36": lambda: some(rnd, upper, 40),
+        "base32l": lambda: some(rnd, "abcdefghijklmnopqrstuvwxyz234567", 40), "HEX hash": lambda: some(rnd, hexa, 40).upper(), "uuid": lambda: "-".join(some(rnd, hexa, n) for n in (8, 4, 4, 4, 12)), "prefix": lambda: "pk_live_" + some(rnd, lower, 32),
+        "prefix-": lambda: "key-" + some(rnd, lower, 32), "groups": lambda: "-".join(some(rnd, upper, 5) for _ in range(5)), "path": lambda: "files/private/" + some(rnd, lower, 36),
+    }
+    others = {
+        "CamelCase1": lambda: "".join(w.title() for w in rnd.sample(WORDS, 4)) + str(rnd.randint(1, 99)), "snake_case_1": lambda: "_".join([*rnd.sample(WORDS, 4), str(rnd.randint(1, 99))]), "words1": lambda: "".join(rnd.sample(WORDS, 4)) + str(rnd.randint(1, 9)),
+        "dated-title": lambda: "-".join([*rnd.sample(WORDS, 3), "2024", f"{rnd.randint(1, 12):02}"]), "path/v2": lambda: "/".join([*rnd.sample(WORDS, 3), "v2", rnd.choice(WORDS)]), "number": lambda: f"A{rnd.randint(10**20, 10**21)}",
     }
-    good = [(k, make()) for k, make in kinds.items() for _ in range(25)]
-    plain = ["some-long-article-title-2024-01-02", "2024-some-long-article-title-in-words", "usr/share/python3/some_module_name_v2", "internationalization-of-words-in-a-row"]
-    bad = ["abc1" * 10, "AB01" * 10, "a" * 39 + "1", "key_" + "ab1x" * 8] * 10
-    rows = [(i, f"see {t} here", None, None, 0) for i, t in enumerate([*(t for _, t in good), *plain, *bad])]
-    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in secrets.scan(frame(spark, rows)).collect()}
-    for kind in kinds:
-        at = [i for i, g in enumerate(good) if g[0] == kind]
-        hit = [i for i in at if got[i]]
-        assert len(hit) >= 0.9 * len(at), kind
-        assert all(got[i] == [(4, 4 + len(good[i][1]))] for i in hit)
-    assert not any(got[i] for i in range(len(good), len(rows)))
+    return [(k, make()) for kinds in (keys, others) for k, make in kinds.items() for _ in range(40)], set(keys), set(others)
+
+
+def test_precision_and_recall_on_planted_tokens(spark):
+    tokens, keys, others = planted(random.Random(23))
+    tokens = [(k, t) for k, t in tokens if k not in ("base62 of 24",) or re.search("[0-9]", t)]
+    got = among_text(spark, [t for _, t in tokens])
+    share = {k: sum(bool(g) for (kind, _), g in zip(tokens, got) if kind == k) / sum(kind == k for kind, _ in tokens) for k in keys | others}
+    print(share)
+    assert all(share[k] >= 0.9 for k in keys), share
+    wrong, right = (sum(bool(g) for (kind, _), g in zip(tokens, got) if kind in kinds) for kinds in (others, keys))
+    assert wrong <= 0.05 * (wrong + right), share
+    assert all(share[k] <= 0.1 for k in others), share
+
+
+def test_battery_and_surprise_against_scalar_code(spark):
+    from pyspark.sql import functions as F
+
+    def erfc_p(z):
+        return math.erfc(abs(z) / math.sqrt(2))
+
+    def battery(token, alphabet):
+        x, n, a = [alphabet.index(c) + 1 for c in token], len(token), len(alphabet)
+        chi = sum(k * k for k in Counter(x).values()) * a / n - n
+        df = a - 1
+        ps = [erfc_p(((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+        up = [y > a / 2 for y in x]
+        high, low = sum(up), n - sum(up)
+        spread = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
+        runs = 1 + sum(p != q for p, q in zip(up, up[1:]))
+        ps.append(erfc_p((runs - 2 * high * low / n - 1) / math.sqrt(spread)) if spread > 0 else 0.0)
+        m = sum(x) / n
+        within = sum((y - m) ** 2 for y in x)
+        ps.append(erfc_p((sum((p - m) * (q - m) for p, q in zip(x, x[1:])) / within + 1 / n) * math.sqrt(n)) if within else 0.0)
+        return min(1.0, 3 * min(ps))
+
+    rnd = random.Random(8)
+    counts = {a + b: rnd.randint(0, 50) for a in secrets.SYMBOLS for b in secrets.SYMBOLS if rnd.random() < 0.6}
+    table = secrets.chances(counts)
+
+    def surprise(token, alphabet):
+        text, before = 0.0, " "
+        for c in token.lower():
+            c = c if c.isalnum() else " "
+            text += table[secrets.SYMBOLS.index(before) * 37 + secrets.SYMBOLS.index(c)]
+            before = c
+        folded = sum(not c.isdigit() for c in token) if len(alphabet) > 60 else 0
+        return max(0.0, (-text - len(token) * math.log(len(alphabet)) + folded * math.log(2)) / math.log(10))
+
+    rows = [(k, some(rnd, a, n)) for k, a in secrets.ALPHABETS.items() for n in (20, 33, 64)]
+    df = spark.createDataFrame(rows, "name string, token string")
+    p = reduce(lambda acc, k: F.when(F.col("name") == k, secrets.battery(F.col("token"), secrets.ALPHABETS[k])).otherwise(acc), secrets.ALPHABETS, F.lit(None).cast("double"))
+    for r in df.select("name", "token", p.alias("p"), secrets.surprise(F.col("token"), F.col("name"), F.array(*(F.lit(x) for x in table))).alias("s")).collect():
+        assert abs(r.p - battery(r.token, secrets.ALPHABETS[r.name])) < 1e-5
+        assert abs(r.s - surprise(r.token, secrets.ALPHABETS[r.name])) < 1e-6
+
+
+def test_false_discovery_control_against_scalar_code(spark):
+    rnd = random.Random(4)
+    bins = {s: [max(0, int(rnd.gauss(m, 12))) for _ in range(n)] for s, m, n in (("a", 10, 200), ("b", 40, 30), ("c", 0, 5))}
+    df = spark.createDataFrame([(i, [(0, 1, s, b, 0.5)]) for s, own in bins.items() for i, b in enumerate(own)], "doc_id int, tokens array<struct<start:int,end:int,stratum:string,bin:int,p:double>>")
+    want = {}
+    for s, own in bins.items():
+        ps = sorted((10 ** (-b / secrets.PER_DECADE), b) for b in own)
+        passed = [b for i, (p, b) in enumerate(ps, 1) if p <= 0.05 * sum(q <= p for q, _ in ps) / len(ps)]
+        if passed:
+            want[s] = min(passed)
+    assert secrets.discovered(df, 0.05) == want and "b" in want
+
+
+def test_long_texts_with_many_matches(spark):
+    text = " ".join(f"token = abcdef{i:010d} x" for i in range(30000))
+    got = secrets.scan(frame(spark, [(1, text, None, None, 0)])).selectExpr("size(assign) AS n", "assign[29999].`end` AS e", "size(hex) AS h").first()
+    assert (got.n, got.e, got.h) == (30000, len(text) - 2, 30000)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +24,6 @@ DICTIONARY_BYTES = 110_000
 #: A text is compressed in blocks of so many characters, each against every
 #: dictionary, so that a long text doesn't become its own dictionary.
 BLOCK_CHARS = 2000
-#: Texts of fewer characters go through the slow, thorough match finder.
-SHORT_CHARS = 400
 #: Narrowest relative gap between the two shortest encodings that is accepted.
 MARGIN = 0.003
 UNKNOWN = "und"
@@ -32,7 +31,9 @@ UNKNOWN = "und"
 _ADDED = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()), StructField("accepted", BooleanType())]
 
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Rows of a language that the first pass of :func:`fit` should leave, as a multiple of the sample.
+SPARE = 4
 
 
 def plain(text: str) -> str:
@@ -49,21 +50,25 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
     Reads (doc_id, text, lang) of rows that are not held out and have a text
     with a letter and a language.  The sample is the first ``sample_docs``
-    rows of a language by a hash of doc_id, ``sample_chars`` characters from
-    the middle of each, at most MAX_LANGUAGES languages: a bound on what
-    reaches the driver that doesn't depend on the corpus.
+    rows of a language by a hash of doc_id and text (of the rows whose hash is
+    in the lowest SPARE * ``sample_docs`` / count of its range), ``sample_chars``
+    characters from the middle of each, of the MAX_LANGUAGES languages with most
+    rows: a bound on what is shuffled and reaches the driver that doesn't depend
+    on the corpus.  No such row: no dictionary.
     """
     train = texts(docs, "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "excerpt")
     size = F.length("text")
-    rows = (
-        train.select("lang", "doc_id", F.substring("text", F.greatest(F.lit(1), ((size - sample_chars) / 2).cast("int")), F.lit(sample_chars)).alias("excerpt"))
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= sample_docs)
-        .orderBy("n", "lang")
-        .limit(sample_docs * MAX_LANGUAGES)
-        .collect()
-    )
+    excerpt = F.substring("text", F.greatest(F.lit(1), ((size - sample_chars) / 2).cast("int")), F.lit(sample_chars))
+    rank = F.xxhash64("doc_id", F.xxhash64("text"))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return {}
+    # a row is in the sample only if its hash is low: what a language has beyond that never leaves its scan
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SPARE * sample_docs / r["n"]))))
+    low = F.try_element_at(share, F.col("lang"))
+    order = W.partitionBy("lang").orderBy("rank", "doc_id", "excerpt")
+    picked = train.select("lang", "doc_id", rank.alias("rank"), excerpt.alias("excerpt")).where(((F.col("rank") / F.lit(2.0**64)) + 0.5) <= low)
+    rows = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("n", "lang").limit(sample_docs * MAX_LANGUAGES).collect()
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         parts.setdefault(r["lang"], []).append(plain(r["excerpt"]).strip().encode())
@@ -82,22 +87,16 @@ class Classifier:
         import zstandard as z
 
         self.languages = list(dictionaries)
-        plainly = {"write_content_size": False, "write_checksum": False, "write_dict_id": False, "window_log": 18}
-        fast = z.ZstdCompressionParameters.from_level(3, hash_log=16, chain_log=16, min_match=4, strategy=z.STRATEGY_GREEDY, search_log=4, **plainly)
-        thorough = z.ZstdCompressionParameters.from_level(19, hash_log=16, chain_log=16, min_match=3, **plainly)
-
-        def coder(raw: bytes, params) -> z.ZstdCompressor:
-            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+        params = z.ZstdCompressionParameters.from_level(
+            3, hash_log=16, chain_log=16, min_match=4, strategy=z.STRATEGY_GREEDY, search_log=4, window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        self.coders = []
+        for lang in self.languages:
+            d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
-            return z.ZstdCompressor(dict_data=d, compression_params=params)
-
-        self.coders = [coder(dictionaries[x], fast) for x in self.languages]
-        self.short = [coder(dictionaries[x], thorough) for x in self.languages]
+            self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=params))
 
     def sizes(self, text: str) -> list[int]:
-        if len(text) < SHORT_CHARS:
-            block = text.encode("utf-8", "replace")
-            return [len(c.compress(block)) for c in self.short]
         total = [0] * len(self.coders)
         for at in range(0, len(text), BLOCK_CHARS):
             block = text[at : at + BLOCK_CHARS].encode("utf-8", "replace")
@@ -131,8 +130,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 
 def label(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """``docs`` (with text, and any other columns) and lang_pred, score, margin, accepted; see :func:`identify`."""
+    """``docs`` (with text, and any other columns) and lang_pred, score, margin, accepted; see :func:`identify`.
+
+    Columns of ``docs`` that have one of these four names give way.
+    """
     workers_import(docs.sparkSession)
+    docs = docs.drop(*(f.name for f in _ADDED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .frames import table, texts
+from .frames import table, texts, written
 
 WINDOW = 1024
 OPEN_WINDOWS = 64
@@ -33,7 +33,8 @@ def encoder(path: str):
     """Texts -> id arrays, equal to the tokenizer file's ``encode`` without special tokens.
 
     The ranks of the same vocabulary drive a faster merge loop; a text with a
-    character outside :data:`_PLAIN` goes to the tokenizer itself.
+    character outside :data:`_PLAIN`, or with an added token spelled out (which
+    is one id), goes to the tokenizer itself.
     """
     import public_tokenizers
     import tiktoken
@@ -41,12 +42,11 @@ def encoder(path: str):
 
     @cache
     def exact() -> Tokenizer:
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
+        return Tokenizer.from_file(path)
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        model = json.load(f)
+    vocab, added = model["model"]["vocab"], [t["content"] for t in model.get("added_tokens", [])]
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in printable}
     shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
@@ -54,7 +54,7 @@ def encoder(path: str):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if _PLAIN.search(text):
+        if _PLAIN.search(text) or any(t in text for t in added):
             return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
@@ -158,7 +158,8 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS
     is that one id.  A null doc_id is kept as null.  Repeated rows are packed
     once each.  An empty table gives no rows.  Every scan partition keeps
     ``open_windows`` windows; what it leaves open is merged by groups of
-    :data:`MERGE_WIDTH` partitions, so no task holds more than their leftovers.
+    :data:`MERGE_WIDTH` partitions, so no task holds more than their leftovers;
+    finished pieces are not shuffled.
     ``fill`` is the number of tokens in the piece's sequence.
     """
     docs = texts(docs)
@@ -181,15 +182,14 @@ def pack(docs: DataFrame, window: int = WINDOW, open_windows: int = OPEN_WINDOWS
         yield _rows(part // MERGE_WIDTH, packer.done, packer.leftovers())
 
     def finish(key: tuple, group: pa.Table) -> pa.Table:
-        ready = group.filter(pa.compute.is_null(group["ids"])).drop_columns(["grp", "ids"])
-        left = group.filter(pa.compute.is_valid(group["ids"])).select(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-        pieces = list(zip(*(left[c].to_pylist() for c in left.column_names)))
+        pieces = list(zip(*(group[c].to_pylist() for c in ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])))
         done = merge(pieces, window, (1 << 62) | (key[0].as_py() << 32))
-        cols = list(zip(*done)) if done else [()] * 8
-        merged = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=ready.column_names)
-        return pa.concat_tables([ready, merged])
+        cols = list(zip(*done)) if done else [()] * len(names)
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return docs.mapInArrow(place, _SCHEMA).groupBy("grp").applyInArrow(finish, _RESULT)
+    placed = written(docs.mapInArrow(place, _SCHEMA), "placed")
+    names = [f.name for f in placed.schema.fields[1:-1]]
+    return placed.where("ids IS NULL").select(names).unionAll(placed.where("ids IS NOT NULL").groupBy("grp").applyInArrow(finish, _RESULT))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

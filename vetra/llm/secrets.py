@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,8 +27,18 @@ TOKEN = f"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}"
 GROUPED = "^[0-9A-Fa-f]{8}(?:[-_][0-9A-Fa-f]{4}){3}[-_][0-9A-Fa-f]{12}$|" + "|".join(f"^{c}{{{n}}}(?:[-_]{c}{{{n}}}){{3,}}$" for n in range(4, 13) for c in ("[a-z0-9]", "[A-Z0-9]"))
 #: What goes from other tokens with marks inside: parts of letters only (prefixes, words), and the marks.
 NO_KEY = "(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])|[-_/+]+"
-#: Level of the false-discovery control.
+#: Level of the false-discovery control: the share of text among the runs reported.
 LEVEL = 0.05
+#: A run whose randomness the battery rejects at this level is structured.
+ODD = 0.001
+#: Symbols of the model of text: what isn't a letter or digit is a blank.
+SYMBOLS = " abcdefghijklmnopqrstuvwxyz0123456789"
+#: What is added to each count of a pair, and the least chances of a digit after a digit and after another symbol.
+SMOOTH = 0.5
+NUMBER = 0.09
+NUMBER_BEGINS = 0.01
+#: The least chance of a letter after any symbol: identifiers may be in another language than the corpus.
+LETTER = 0.008
 #: Bins of a p-value for each power of ten, and the last bin.
 PER_DECADE = 16
 LAST_BIN = 320
@@ -49,26 +61,59 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def running(values: Column, start: Column, join: Callable[[Column, Column], Column], stretch: int = 256) -> Column:
+    """For each element what ``join`` makes of those before it, from ``start`` on; in two levels, so that long arrays aren't copied for each element."""
+
+    def of(v: Column) -> Column:
+        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / stretch).cast("int")
+        whole = F.transform(F.sequence(F.lit(0), last), lambda c: F.aggregate(F.slice(v, c * stretch + 1, F.lit(stretch)), start, join))
+        heads = F.aggregate(whole, F.array(start), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+        def at(h: Column) -> Column:
+            def one(_: Column, i: Column) -> Column:
+                c = F.floor(i / stretch).cast("int")
+                return F.aggregate(F.slice(v, c * stretch + 1, i - c * stretch), F.get(h, c), join)
+
+            return F.transform(v, one)
+
+        return let(heads, at)
+
+    return let(values, of)
+
+
 def matches(text: Column, pattern: str, inner: int, least: int) -> Column:
     """Array of (start, end, token) of the leftmost matches that don't overlap, in code points.
 
-    One pass cuts the text into (gap, match) pairs; positions are running sums
-    of their lengths.  Matches whose inner group is shorter than ``least`` are
-    dropped after they have taken their place.
+    The text is cut at the matches; positions are running sums of the lengths
+    of gaps and matches.  Matches whose inner group is shorter than ``least``
+    are dropped after they have taken their place.
     """
-    whole = f"(?s)(.*?)(?:({pattern})|\\z)"
-    gaps, hits = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
-    cores = F.regexp_extract_all(text, F.lit(whole), F.lit(2 + inner)) if inner else hits
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), cores.alias("core"))
-    empty = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,token:string>>))")
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    cores = F.regexp_extract_all(text, F.lit(pattern), F.lit(inner)) if inner else hits
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), cores.alias("core"))
+
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])), F.lit(0), lambda x, y: x + y)
+
+        def one(x: Column, b: Column) -> Column:
+            start = b + F.char_length(x["gap"])
+            span = F.struct(start.alias("start"), (start + F.char_length(x["hit"])).alias("end"), x["hit"].alias("token"))
+            return F.when(F.char_length(x["core"]) >= least, span)
+
+        return F.filter(F.zip_with(p, before, one), lambda m: m.isNotNull())
+
+    return let(pairs, placed)
+
+
+def touches(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of ``spans`` (in order, without overlaps) shares a place with [start, end): a binary search."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("token"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["core"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, k: Column) -> Column:
+        there = F.get(spans, F.least(at + k, F.size(spans)) - 1)["start"]
+        return F.when((at + k <= F.size(spans)) & (there < end), at + k).otherwise(at)
 
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    before = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(24)))), F.lit(0), step)
+    return F.coalesce(let(before, lambda n: F.get(spans, F.greatest(n, F.lit(1)) - 1)["end"] > F.when(n > 0, start)), F.lit(False))
 
 
 def two_sided(z: Column) -> Column:
@@ -140,13 +185,72 @@ def battery(token: Column, alphabet: str) -> Column:
     return let(codes, tests)
 
 
+def pairs_of(docs: DataFrame) -> DataFrame:
+    """(pair, n): how often two symbols follow each other in the words of the texts; a blank is before and after each word.
+
+    Words are runs of letters and digits (a-z, lowered, and 0-9) under
+    LEAST_TOKEN, so that no key is text to itself; they are counted first, and
+    what is cut into pairs is each word once.
+    """
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).where(F.length("word").between(1, LEAST_TOKEN - 1)).groupBy("word").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("pair")
+    return words.select("n", pair).groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def chances(counts: dict[str, int]) -> list[float]:
+    """Natural logarithm of the chance of a symbol after another in text, by :func:`code` of both.
+
+    Chances are those of the counted pairs, smoothed, but a letter has LETTER at
+    least, a digit NUMBER after a digit and NUMBER_BEGINS after any other symbol,
+    and marks may follow each other freely: chances that are too large only
+    make the test more careful.
+    """
+    out = []
+    for a in SYMBOLS:
+        total = sum(counts.get(a + b, 0) for b in SYMBOLS)
+        for b in SYMBOLS:
+            p = (counts.get(a + b, 0) + SMOOTH) / (total + SMOOTH * len(SYMBOLS))
+            if b.isdigit():
+                p = max(p, NUMBER if a.isdigit() else NUMBER_BEGINS)
+            elif b != " ":
+                p = max(p, LETTER)
+            out.append(0.0 if a == b == " " else math.log(p))
+    return out
+
+
+def surprise(key: Column, name: Column, table_: Column) -> Column:
+    """How many powers of ten a key is likelier as independent, uniform symbols of its encoding than as text; 0 at least.
+
+    The ratio of both chances is 1 at most on average over text, so by Markov's
+    inequality text reaches ten to the power of the result in at most one of as many cases: a p-value, whatever the length.
+    """
+    low = F.translate(F.lower(key), "+/_-", "    ")
+    codes = F.transform(F.split(low, ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
+    n = F.char_length(key)
+    letters, marks = F.length(F.regexp_replace(key, "[^A-Za-z]", "")), F.length(F.regexp_replace(key, "[A-Za-z0-9]", ""))
+    size = F.lit(0.0)
+    for k, alphabet in ALPHABETS.items():
+        folded = letters + marks if len(alphabet) > 60 else F.lit(0)  # both cases of a letter, and both marks, are one symbol here
+        size = F.when(name == k, n * math.log(len(alphabet)) - folded * math.log(2.0)).otherwise(size)
+
+    def of(c: Column) -> Column:
+        steps = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(c, F.lit(1), F.size(c) - 1)), c, lambda a, b: F.get(table_, a * len(SYMBOLS) + b))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+
+    return F.greatest(F.lit(0.0), (-let(codes, of) - size) / math.log(10.0))
+
+
 def _stratum(name: Column, token: Column) -> Column:
     """Encoding and length band: tokens are held against others of like power."""
     return F.concat(name, F.lit(":"), F.floor(F.log2(F.char_length(token))).cast("string"))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (start, end, stratum, bin) of the tokens in some encoding, or with a :func:`core` in one."""
+def candidates(text: Column, table_: Column) -> Column:
+    """Array of (start, end, stratum, bin, p) of the tokens in some encoding, or with a :func:`core` in one.
+
+    ``bin`` is the surprise over text in steps of 1 / PER_DECADE, ``p`` the battery's p-value.
+    """
 
     def judged(token: Column, label: Column) -> Column:
         name = encoding(token)
@@ -157,8 +261,8 @@ def candidates(text: Column) -> Column:
             p = F.lit(None).cast("double")
             for k, alphabet in ALPHABETS.items():
                 p = F.when(key["name"] == k, battery(key["token"], alphabet)).otherwise(p)
-            bin_ = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * PER_DECADE).cast("int"), F.lit(LAST_BIN))
-            return F.when(key.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(key["label"], key["token"]).alias("stratum"), bin_.alias("bin")))
+            bin_ = F.least(F.floor(surprise(key["token"], key["name"], table_) * PER_DECADE).cast("int"), F.lit(LAST_BIN))
+            return F.when(key.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(key["label"], key["token"]).alias("stratum"), bin_.alias("bin"), p.alias("p")))
 
         parts = F.when(x["token"].rlike("[-_/+]"), let(core(x["token"]), lambda c: F.when(F.char_length(c) >= LEAST_TOKEN, judged(c, F.lit("parts:")))))
         return let(F.coalesce(judged(x["token"], F.lit("")), parts), named)
@@ -167,7 +271,7 @@ def candidates(text: Column) -> Column:
     return F.filter(F.transform(tokens, one), lambda c: c.isNotNull())
 
 
-def found(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def found(docs: DataFrame, table_: list[float], keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns ``keep``, a (start, end) array for each base kind, candidates; in the order of KINDS."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
@@ -175,22 +279,22 @@ def found(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     for kind, (pattern, inner, least, quick) in PATTERNS.items():
         spans = F.transform(matches(text, pattern, inner, least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
         cols.append(F.when(text.rlike(quick), spans).otherwise(none).alias(kind))
-    nobody = F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:string,bin:int>>)")
+    nobody = F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:string,bin:int,p:double>>)")
     likely = text.rlike(TOKEN) & text.rlike("[0-9]")
-    return docs.select("doc_id", *keep, *cols, F.when(likely, candidates(text)).otherwise(nobody).alias("tokens"))
+    return docs.select("doc_id", *keep, *cols, F.when(likely, candidates(text, F.array(*(F.lit(x) for x in table_)))).otherwise(nobody).alias("tokens"))
 
 
-def rejected(tokens: DataFrame, level: float) -> dict[str, int]:
-    """Benjamini-Hochberg in each stratum: the least bin whose tokens are not random.
+def discovered(tokens: DataFrame, level: float) -> dict[str, int]:
+    """Benjamini-Hochberg in each stratum: the least bin whose tokens aren't text.
 
     p-values are rounded up to the edges of their bins; what comes to the
     driver is one row for a stratum (nine alphabets, whole or in parts, bands of doubling length).
     """
     bins = tokens.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n"))
-    below = W.partitionBy("stratum").orderBy(F.col("bin").desc())
-    sums = bins.select("stratum", "bin", F.sum("n").over(below).alias("below"), F.sum("n").over(W.partitionBy("stratum")).alias("m"))
+    beyond = W.partitionBy("stratum").orderBy(F.col("bin").desc())
+    sums = bins.select("stratum", "bin", F.sum("n").over(beyond).alias("beyond"), F.sum("n").over(W.partitionBy("stratum")).alias("m"))
     edge = F.pow(F.lit(10.0), -F.col("bin") / PER_DECADE)
-    cut = sums.where(edge <= level * F.col("below") / F.col("m")).groupBy("stratum").agg(F.min("bin").alias("bin"))
+    cut = sums.where(edge <= level * F.col("beyond") / F.col("m")).groupBy("stratum").agg(F.min("bin").alias("bin"))
     return {r["stratum"]: r["bin"] for r in cut.collect()}
 
 
@@ -201,23 +305,27 @@ def scan(docs: DataFrame, level: float = LEVEL, keep: tuple[str, ...] = ()) -> D
     LEAST_TOKEN or more of ``[A-Za-z0-9+/_-]`` outside those matches that fit an
     encoding (hexadecimal, base 32, 36, 62 or 64, with digits and letters), or
     whose parts between ``+/_-`` do, less those of letters only if LEAST_TOKEN
-    characters are left (UUIDs, groups, keys behind a prefix), and that the battery can't tell from uniform random symbols: randomness is rejected
-    at false-discovery ``level`` among the tokens of one encoding and length
-    band of the whole table, and what is left is held to be random.
+    characters are left (UUIDs, groups, keys behind a prefix).  Such a run is
+    reported if it isn't text and is random.  Not text: its :func:`surprise`
+    over the corpus's own words is a discovery at false-discovery ``level``
+    among the runs of one encoding and length band of the whole table, so of
+    the runs reported at most that share is expected to be text.  Random: none
+    of the battery's tests rejects independent, uniform symbols at ODD.
 
     Offsets are code points, ends exclusive.  A null text is empty.  Rows with
-    null or repeated doc_id stay; nothing but counts of bins is shuffled.
+    null or repeated doc_id stay; nothing but counts of words, pairs of symbols and bins is shuffled.
     """
-    rows = written(found(texts(docs, *(k for k in keep if k != "text")), keep), "tokens")
-    cut = rejected(rows, level)
-    base = F.concat(*(F.col(k) for k in PATTERNS))
+    docs = texts(docs, *(k for k in keep if k != "text"))
+    table_ = chances({r["pair"]: r["n"] for r in pairs_of(docs).collect()})  # at most len(SYMBOLS) ** 2 rows
+    rows = written(found(docs, table_, keep), "tokens")
+    cut = discovered(rows, level)
     if cut:
         least = F.create_map(*(F.lit(x) for pair in sorted(cut.items()) for x in pair))
-        structured = lambda t: F.coalesce(t["bin"] >= F.try_element_at(least, t["stratum"]), F.lit(False))
+        no_text = lambda t: F.coalesce(t["bin"] >= F.try_element_at(least, t["stratum"]), F.lit(False))
     else:
-        structured = lambda t: F.lit(False)
-    free = lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"]))
-    random = F.transform(F.filter("tokens", lambda t: ~structured(t) & free(t)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+        no_text = lambda t: F.lit(False)
+    taken = lambda t: reduce(Column.__or__, (touches(F.col(k), t["start"], t["end"]) for k in PATTERNS))
+    random = F.transform(F.filter("tokens", lambda t: no_text(t) & (t["p"] > ODD) & ~taken(t)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return rows.select("doc_id", *keep, *PATTERNS, random.alias("random"))
 
 
