@@ -61,15 +61,19 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def _masked(text: Column, spans: Column) -> Column:
     """The text with every span (in order, overlaps allowed) replaced by MASK."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(MASK)).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] >= acc["at"]) | ((acc["at"] == 0) & (s["start"] == 0) & (acc["out"] == "")), fresh).otherwise(longer)
+    def of(s: Column) -> Column:
+        before = secrets.running(F.transform(s, lambda x: x["end"]), F.lit(0), F.greatest)
 
-    return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+        def join(chars: Column) -> Column:
+            piece = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+            # a span that begins inside another one, or at its end after the first, adds to its mask
+            pieces = F.zip_with(s, before, lambda x, b: F.when(x["start"] >= b, F.concat(piece(b, x["start"]), F.lit(MASK))).otherwise(""))
+            return F.concat(F.array_join(pieces, ""), piece(F.array_max(F.transform(s, lambda x: x["end"])), F.size(chars)))
+
+        return secrets.let(F.split(text, ""), join)
+
+    return secrets.let(spans, of)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
