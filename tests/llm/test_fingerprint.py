@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -58,18 +59,57 @@ def test_collision_rate_is_generalised_jaccard(spark):
 
 
 def test_awkward(spark):
-    rows = [r for r in awkward() if r[0] is not None and r[0] != 44]
-    got = {r.doc_id: r for r in fingerprint.edits(frame(spark, rows)).collect()}
-    docs = sorted(((r[0], r[1] or "") for r in rows), reverse=True)
-    for (d, t), e in zip(docs, edited(docs)):
-        assert got[d].edited == e and 0 <= got[d].near_edited <= 1
+    """Every row, null and repeated ids too: rows of one id follow each other by a hash of their texts."""
+    docs = frame(spark)
+    out = fingerprint.edits(docs)
+    key = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    rows = [(r.doc_id, r.text) for r in sorted(key, key=lambda r: (r.k, r.h), reverse=True)]
+    want = sorted(str((d, len(t), e)) for (d, t), e in zip(rows, edited(rows)))
+    assert sorted(str((r.doc_id, r.n_chars, r.edited)) for r in out.collect()) == want
+    got = {r.doc_id: r for r in out.collect()}
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
     assert got[41].fingerprint == "0" * 8 * fingerprint.SAMPLES
-    assert fingerprint.edits(frame(spark)).count() == frame(spark).count()
     assert fingerprint.edits(frame(spark, [])).count() == 0
     one = fingerprint.edits(frame(spark, [(5, "abcd efgh", None, None, 0)])).collect()
     assert [(r.edited, r.near_next) for r in one] == [("abcd abcd", 1.0)]
 
 
+def test_one_id_takes_several_ranges(spark):
+    docs = frame(spark, [(None if i % 3 else i, f"text number {i}", None, None, 0) for i in range(600)])
+    dealt = fingerprint.in_ranges(docs.select("doc_id", "text")).where("extra = 0").groupBy("range").count().collect()
+    assert sum(r["count"] for r in dealt) == 600 and max(r["count"] for r in dealt) < 150
+    assert fingerprint.edits(docs).count() == 600
+
+
+def test_samples_against_scalar_code(spark):
+    """Bids of gamma samples, computed one by one from the same hashes."""
+    text, samples = "the cat and the dog and the bird saw the other bird of the north", 12
+    terms = Counter(text.split())
+    hashes = {(r.word, r.k): r.h for r in spark.createDataFrame([(w,) for w in terms], "word string").select("word", F.xxhash64("word").alias("term"), F.explode(F.sequence(F.lit(-samples), F.lit(samples - 1))).alias("k")).select("word", "k", F.xxhash64("term", "k").alias("h")).collect()}
+
+    def uniforms(word, k):
+        h = hashes[word, k] & (2**64 - 1)
+        return [((h >> (21 * i) & (2**21 - 1)) + 1) / 2**21 for i in range(3)]
+
+    want = []
+    for k in range(samples):
+        bids = []
+        for word, w in terms.items():
+            u2, u3, u4 = uniforms(word, k)
+            e1, e2 = -math.log(uniforms(word, -1 - k)[0]), -math.log(u2)
+            r, c = e1 + e2, -math.log(u3 * u4)
+            b = e1 / r
+            t = math.floor(math.log(w) / r + b)
+            bids.append(c / math.exp(r * (t - b + 1)))
+        want.append(min(bids))
+    df = spark.createDataFrame(list(terms.items()), "word string, n int").select(F.xxhash64("word").alias("term"), F.col("n").cast("double").alias("w"))
+    got = df.agg(*(F.min(fingerprint.sample(F.col("term"), F.col("w"), k)).alias(f"s{k}") for k in range(samples))).first()
+    assert np.allclose(list(got), want, rtol=1e-9)
+    prints = fingerprint.fingerprints(spark.createDataFrame([(0, text)], "i int, text string"), ["i"], "text", samples).first().fingerprint
+    digits = spark.createDataFrame([tuple(got)], ", ".join(f"s{k} double" for k in range(samples))).select(*(F.substring(F.lpad(F.hex(F.xxhash64(f"s{k}")), 16, "0"), 1, 8).alias(f"s{k}") for k in range(samples))).first()
+    assert prints == "".join(digits)
+
+
 def test_no_python_on_the_main_path(spark):
     plan = fingerprint.op8_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -13,10 +13,8 @@ from .frames import shuffle_width, table, texts
 
 #: Samples of a fingerprint; its likeness has a deviation of at most 1 / (2 * sqrt(SAMPLES)).
 SAMPLES = 32
-#: Ranges of doc_id for each shuffle partition, and their largest number: what
-#: comes to the driver is one row for each.
+#: Ranges of doc_id for each shuffle partition; what comes to the driver is one row for each.
 RANGES_PER_PARTITION = 4
-MAX_RANGES = 8192
 
 _BITS = 21
 _UNIT = float(1 << _BITS)
@@ -71,6 +69,20 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str, samples: int = SAM
     return bids.select(*keys, F.concat(*(_hex(F.col(f"s{k}")) for k in range(samples))).alias("fingerprint"))
 
 
+def _bounds(keys: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Borders (order_id, order_text) of ``n`` ranges with about as many rows each, in order.
+
+    An id that takes several ranges is cut by the hash of the text, which is spread evenly.
+    """
+    found = keys.agg(F.percentile_approx("order_id", [i / n for i in range(1, n)], F.lit(100_000)).alias("q")).first()["q"] or []
+    out = []
+    for q in sorted(set(found)):
+        k = found.count(q)
+        out.append((q, -(1 << 63)))
+        out += [(q, -(1 << 63) + j * ((1 << 64) // k)) for j in range(1, k)]
+    return out
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, text, range, extra: rows dealt by ranges of doc_id, one to a partition.
 
@@ -78,18 +90,18 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     last of the range above (of the lowest range for the top one), so every row has the next
     document beside it.
     """
-    n = min(MAX_RANGES, RANGES_PER_PARTITION * shuffle_width(docs.sparkSession))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    found = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], F.lit(100_000)).alias("q")).first()["q"] or []
-    bounds = sorted(set(found))
-    rows = docs.select("doc_id", "text", key.alias("order_id"), F.xxhash64("text").alias("order_text"), F.lit(0).alias("range"))
+    n = RANGES_PER_PARTITION * shuffle_width(docs.sparkSession)
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order_id"), F.xxhash64("text").alias("order_text"), F.lit(0).alias("range"))
+    bounds = _bounds(rows, n)
     if bounds:
-        # binary search for the number of bounds that are not above the id; one expression, however many bounds
+        # binary search for the number of bounds that are not above the row; one expression, however many bounds
         steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-        table_, n = F.array(*(F.lit(b) for b in bounds)), len(bounds)
+        ids, hashes, m = F.array(*(F.lit(b) for b, _ in bounds)), F.array(*(F.lit(h) for _, h in bounds)), len(bounds)
 
         def step(at: Column, s: Column) -> Column:
-            return F.when((at + s <= n) & (F.get(table_, F.least(at + s, F.lit(n)) - 1) <= F.col("order_id")), at + s).otherwise(at)
+            i = F.least(at + s, F.lit(m)) - 1
+            there = (F.get(ids, i) < F.col("order_id")) | ((F.get(ids, i) == F.col("order_id")) & (F.get(hashes, i) <= F.col("order_text")))
+            return F.when((at + s <= m) & there, at + s).otherwise(at)
 
         rows = rows.withColumn("range", F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step))
     heads = rows.groupBy("range").agg(F.max(F.struct("order_id", "order_text")).alias("head")).collect()
