@@ -21,7 +21,7 @@ def scan(spark, *texts):
 
 def test_every_sentence_has_a_hint_and_is_normal():
     for s in licenses.SENTENCES:
-        assert re.search(licenses.HINTS, s), s
+        assert re.search(licenses.hints(licenses.SENTENCES), s), s
         assert re.fullmatch(r"[a-z0-9.]+( [a-z0-9.]+)*", s) and not re.search(r"[.](?= |$)(?<!v[.])", s), s
     assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
 
@@ -79,3 +79,19 @@ def test_standard_notices_wrapped_and_unwrapped(spark):
     forms = [(name, n, "Copyright someone.\n\n" + form) for name, n, t in NOTICES for form in (t, *(wrapped(t, w, mark) for w in (40, 61, 76) for mark in ("", "# ", " * ")))]
     for (name, n, text), r in zip(forms, scan(spark, *(f[2] for f in forms))):
         assert (r.licenses, r.n_matches, r.n_known) == (name, 1, n), text
+
+
+def test_other_notices_and_tags(spark):
+    lgpl = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General")
+    got = scan(
+        spark, lgpl.format(";", ";", "2.1"), GPL.replace("GNU General", "GNU Affero General").format(":", ",", "3"), "// SPDX-License-Identifier: GPL-2.0-or-later\n", "This project is licensed under the BSD 3-Clause License.",
+        "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    )
+    assert [r.licenses for r in got] == ["LGPL-2.1-or-later", "AGPL-3.0-or-later", "GPL-2.0-or-later", "BSD-3-Clause", "AGPL-3.0-only", "EPL-2.0"]
+
+
+def test_sentences_and_rules_of_the_caller(spark):
+    docs = frame(spark, [(1, "Use is allowed for anyone.", None, None, 0), (2, "1 2 x", None, None, 0)])
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs, {"use is allowed for anyone": "x", "1 2 x": "y"}, [("Own", ["x"]), ("Two", ["y"])]).collect()}
+    assert got == {1: "Own", 2: "Two"}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,8 @@ from .frames import table, texts, workers_import, written
 SPAN = 10
 #: Words of a fingerprinted gram; the window then has SPAN - GRAM + 1 grams.
 GRAM = 5
-#: Bytes of benchmark text that go out to the tasks at once; a larger benchmark
-#: is taken in blocks, each against all documents.
+#: Bytes of benchmark text that go out to the tasks; the fingerprints and
+#: windows of a larger benchmark are tables that are joined.
 BLOCK_BYTES = 16 << 20
 
 _SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -118,20 +117,96 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str | None, str | None]]]:
-    """The benchmark in blocks of at most ``limit`` bytes (or one longer item)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out: list[list] = []
-    block: list = []
-    size = 0
-    for r in items.orderBy("item_id", "text").toLocalIterator():
-        more = len((r["text"] or "").encode()) + 32
-        if block and size + more > limit:
-            out.append(block)
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += more
-    return [*out, block] if block or not out else out
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+
+
+def _windows_of(benchmark: DataFrame, span: int, gram: int) -> DataFrame:
+    """(item, size, print, words): every window of the benchmark, its fingerprint and its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, size, at, least, low, starts, ends in _runs(batch.column("text"), [], span, gram, whole=True):
+                form = b" ".join(low[s:e].tobytes() for s, e in zip(starts[at : at + size], ends[at : at + size]))
+                out.append((batch.column("item")[row].as_py(), size, least, form))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["item", "size", "print", "words"])
+
+    return _items(benchmark).mapInArrow(run, "item string, size int, print long, words binary").distinct()
+
+
+def _runs(column: pa.Array, sizes: list[int], span: int, gram: int, whole: bool = False):
+    """(row, size, first word, fingerprint, bytes, word starts, word ends) of windows.
+
+    With ``whole`` the rows are items: all windows of ``span`` words, or the one
+    of fewer.  Else all windows of ``span`` and of each of ``sizes``.  The
+    fingerprint of a window of ``span`` is its smallest gram, of a shorter one
+    its own hash.
+    """
+    data, offsets = R.text_buffers(column)
+    for a, b in R.chunks(offsets):
+        low, starts, ends, first = normal_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        if not len(starts):
+            continue
+        sums = R.word_prefix(R.byte_ranges(R.byte_prefix(low), starts, ends))
+        grams = R.word_grams(sums, gram)
+        least = grams[R.sliding_argmin(grams, span - gram + 1)] if len(starts) >= span else np.empty(0, R.U)
+        for row in range(a, b):
+            f, l = int(first[row - a]), int(first[row - a + 1])
+            own = {min(span, l - f)} if whole else {span, *sizes}
+            for size in sorted(own):
+                if not 0 < size <= l - f:
+                    continue
+                at = np.arange(f, l - size + 1)
+                prints = least[at] if size == span else R.word_ranges(sums, at, at + size)
+                for i, h in zip(at.tolist(), prints.astype(np.int64).tolist()):
+                    yield (row, size, i, h, low, starts, ends) if whole else (row, size, i - f, h)
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> DataFrame:
+    """vetra_row, items, spans (not united) of the rows of ``docs`` (vetra_row, text) with a hit, by joins of fingerprints and then of words."""
+    windows = written(_windows_of(benchmark, span, gram), "windows")
+    sizes = [r["size"] for r in windows.select("size").distinct().collect() if r["size"] < span]  # at most span - 1 of them
+    prints = windows.select("size", "print").distinct()
+
+    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("vetra_row").to_numpy()
+            found: list[tuple] = []
+            for row, size, at, h in _runs(batch.column("text"), sizes, span, gram):
+                if found and found[-1][:3] == (row, size, h) and found[-1][4] == at - 1:
+                    found[-1] = (row, size, h, found[-1][3], at)
+                else:
+                    found.append((row, size, h, at, at))
+            cols = [np.array(c, np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[cols[0]]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4])], names=["vetra_row", "size", "print", "first", "last"]
+            )
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            rows = batch.column("vetra_row").to_pylist()
+            asked = batch.column("asked").to_pylist()
+            data, offsets = R.text_buffers(batch.column("text"))
+            for a, b in R.chunks(offsets):
+                low, starts, ends, first = normal_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for row in range(a, b):
+                    f = int(first[row - a])
+                    for x in asked[row]:
+                        for at in range(x["first"], x["last"] + 1):
+                            i, j = f + at, f + at + x["size"]
+                            out.append((rows[row], x["size"], at, b" ".join(low[s:e].tobytes() for s, e in zip(starts[i:j], ends[i:j]))))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["vetra_row", "size", "at", "words"])
+
+    met = docs.mapInArrow(fingerprints, "vetra_row long, size int, print long, first long, last long").join(prints, ["size", "print"], "left_semi")
+    asked = met.groupBy("vetra_row").agg(F.collect_list(F.struct("size", "first", "last")).alias("asked"))
+    seen = docs.join(asked, "vetra_row").mapInArrow(words, "vetra_row long, size int, at long, words binary")
+    hits = seen.join(windows.select("item", "size", "words"), ["size", "words"])
+    span_ = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
+    return hits.groupBy("vetra_row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(span_)).alias("spans"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -143,17 +218,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     of the span - gram + 1 grams of each window is a fingerprint on both
     sides, so no shared window is missed), then compared word by word.  A null
     or empty document has no words.  Items with equal ids count once.  Rows
-    with repeated or null doc_id are judged one by one.  The index of a block
-    has a checked size; with several blocks each is matched in a scan of its
-    own and their spans are united by row.
+    with repeated or null doc_id are judged one by one.  A benchmark of
+    ``block_bytes`` or less goes out to the scan of the documents as an index;
+    of a larger one, fingerprints are joined with those of the documents, then
+    the words of windows with a fingerprint in common.
     """
     return marked(texts(docs), benchmark, span, gram, block_bytes).drop("text")
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) and n_words, n_hit, items, spans; see :func:`contamination`."""
+    """``docs`` (doc_id, text and any other columns) and n_words, n_hit, items, spans; see :func:`contamination`.
+
+    Columns of ``docs`` that have one of these four names give way.
+    """
     workers_import(docs.sparkSession)
-    many = blocks(benchmark, block_bytes)
+    docs = docs.drop(*(f.name for f in _ADDED))
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 32)).first()[0] or 0
 
     def scan(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +252,23 @@ def marked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int =
 
         return run
 
-    if len(many) == 1:
-        return docs.mapInArrow(scan(many[0]), StructType([*docs.schema.fields, *_ADDED]))
-    docs = written(docs.withColumn("vetra_row", F.monotonically_increasing_id()), "numbered")
-    slim = docs.select("vetra_row", "text")
-    schema = StructType([*slim.schema.fields, *_ADDED])
-    every = reduce(DataFrame.unionAll, [slim.mapInArrow(scan(b), schema) for b in many]).groupBy("vetra_row")
-    every = every.agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    if size <= block_bytes:
+        block = [(r["item"], r["text"]) for r in _items(benchmark).orderBy("item", "text").collect()]
+        return docs.mapInArrow(scan(block), StructType([*docs.schema.fields, *_ADDED]))
+    counted = docs.withColumn("vetra_row", F.monotonically_increasing_id()).mapInArrow(scan([]), StructType([*docs.schema.fields, StructField("vetra_row", LongType()), *_ADDED]))
+    counted = written(counted.drop("n_hit", "items", "spans"), "numbered")
+    found = _joined(counted.select("vetra_row", "text"), benchmark, span, gram)
     united = """aggregate(spans, CAST(array() AS array<struct<start: bigint, end: bigint>>), (a, x) ->
         CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
              THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
              ELSE concat(a, array(x)) END)"""
-    every = every.withColumn("spans", F.expr(united))
-    every = every.select("vetra_row", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("n_hit"), "items", "spans")
-    return docs.join(every, "vetra_row").drop("vetra_row")
+    found = found.withColumn("spans", F.expr(united))
+    out = counted.join(found, "vetra_row", "left")
+    spans = F.coalesce("spans", F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)"))
+    return out.select(
+        *(F.col(f.name) for f in docs.schema.fields), "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), spans.alias("spans"),
+    )
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

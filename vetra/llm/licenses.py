@@ -44,7 +44,61 @@ SENTENCES = {
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this is free and unencumbered software released into the public domain": "unlicense-name",
     "all rights reserved": "reserved",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
+    "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-liability",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit0-grant",
+    "apache license version 2.0 january 2004": "apache2-title",
+    "terms and conditions for use reproduction and distribution": "apache2-terms",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu lesser general public license version 2.1 february 1999": "lgpl21-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "fsf-verbatim",
+    "mozilla public license version 2.0": "mpl2-title",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "distributed under the boost software license version 1.0": "bsl1-name",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl1-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at": "epl2-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution and is available at": "epl1-copy",
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-grant",
 }
+#: Licences that short statements name, and the words they use for them.
+NAMED = {
+    "MIT": ["mit license", "mit licence"], "Apache-2.0": ["apache license 2.0", "apache 2.0 license", "apache license version 2.0"], "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license"], "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license"],
+    "ISC": ["isc license"], "MPL-2.0": ["mozilla public license 2.0", "mozilla public license version 2.0", "mpl 2.0"], "GPL-3.0-only": ["gnu general public license version 3", "gpl v3", "gplv3"], "GPL-2.0-only": ["gnu general public license version 2", "gpl v2", "gplv2"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "lgpl v3"], "LGPL-2.1-only": ["gnu lesser general public license version 2.1", "lgpl v2.1"], "AGPL-3.0-only": ["gnu affero general public license version 3", "agpl v3"],
+    "EPL-2.0": ["eclipse public license 2.0"], "BSL-1.0": ["boost software license version 1.0"], "CC0-1.0": ["cc0 1.0"], "CC-BY-4.0": ["cc by 4.0"], "CC-BY-SA-4.0": ["cc by sa 4.0"], "CC-BY-NC-4.0": ["cc by nc 4.0"], "CC-BY-ND-4.0": ["cc by nd 4.0"], "CC-BY-NC-SA-4.0": ["cc by nc sa 4.0"],
+}
+#: Licences of which only the tag of a file header is known.
+TAGGED = ["GPL-3.0-or-later", "GPL-2.0-or-later", "LGPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "Unlicense", "Zlib", "0BSD", "MIT-0", "EPL-1.0", "Artistic-2.0", "PSF-2.0", "EUPL-1.2", "OFL-1.1", "MS-PL"]
+_SAYS = ["licensed under the {}", "released under the {}", "distributed under the {}", "available under the {}", "this project is licensed under the {}", "this software is licensed under the {}", "this work is licensed under the {}"]
+
+
+def _plain(name: str) -> str:
+    return name.lower().replace("-", " ")
+
+
+for _name, _forms in NAMED.items():
+    for _form in _forms:
+        for _say in _SAYS:
+            _says = _say if "licen" in _form or "gpl" in _form or _form.startswith("mpl") else _say.replace(" the", "")
+            SENTENCES.setdefault(_says.format(_form), f"name:{_name}")
+for _name in [*NAMED, *TAGGED]:
+    SENTENCES.setdefault(f"spdx license identifier {_plain(_name)}", f"name:{_name}")
 
 #: Rules in the order they are tried; what one has matched is gone for the later ones.
 RULES = [
@@ -70,16 +124,56 @@ RULES = [
     ("CC-BY-4.0", ["ccby4-name"]),
     ("CC-BY-SA-4.0", ["ccbysa4-name"]),
     ("CC-BY-NC-4.0", ["ccbync4-name"]),
+    ("ISC", ["isc-grant", "isc-warranty", "isc-liability"]),
     ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-name", "unlicense-grant"]),
     ("Unlicense", ["unlicense-name"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later", "gpl-warranty", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later", "gpl-warranty", "lgpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl3-later", "gpl-warranty", "agpl-see"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("GPL-3.0-only", ["gpl3-title"]),
+    ("GPL-2.0-only", ["gpl2-title"]),
+    ("LGPL-3.0-only", ["lgpl3-title"]),
+    ("LGPL-2.1-only", ["lgpl21-title"]),
+    ("AGPL-3.0-only", ["agpl3-title"]),
+    ("MPL-2.0", ["mpl2-title"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("BSL-1.0", ["bsl1-name"]),
+    ("EPL-2.0", ["epl2-copy"]),
+    ("EPL-1.0", ["epl1-copy"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("MIT-0", ["mit0-grant", "mit-warranty"]),
+    *((name, [f"name:{name}"]) for name in [*NAMED, *TAGGED]),
 ]
 
-#: A text without any of these has none of the sentences.
-HINTS = "licen[sc]e|permission|copyright|warrant|redistribut|free[^a-z0-9]+software|unencumbered|of[^a-z0-9]+the[^a-z0-9]+mpl|source[^a-z0-9]+code[^a-z0-9]+form|rights[^a-z0-9]+reserved"
+
+def hints(known: dict[str, str]) -> str:
+    """A pattern that any text with one of the sentences has: one long word of each, as few words as cover all."""
+    left, out = {s: {w for w in s.split(" ") if w.isalpha()} for s in known}, []
+    while left:
+        held: dict[str, list[str]] = {}
+        for s, words in left.items():
+            for w in words or {s.split(" ")[0]}:
+                held.setdefault(w, []).append(s)
+        # common words would let any text through: long ones first, then the one that most sentences have
+        word = max(held, key=lambda w: (len(w) >= 6, len(held[w]), len(w), w))
+        out.append(word.replace(".", "[.]"))
+        for s in held[word]:
+            del left[s]
+    return "|".join(out) or "(?!)"
+
+
 #: What may stand at the end of a known sentence: the address that its notice names.
 TAILS = {
     "mpl2-copy": "https?[ \n](?:www[.])?mozilla[.]org[ \n]mpl[ \n]2[.]0",
     "apache2-copy": "https?[ \n](?:www[.])?apache[.]org[ \n]licenses[ \n]license[ \n]2[.]0",
+    "epl2-copy": "https?[ \n](?:www[.])?eclipse[.]org[ \n]legal[ \n]epl[ \n]2[.]0",
+    "epl1-copy": "https?[ \n](?:www[.])?eclipse[.]org[ \n]legal[ \n]epl[ \n]v10[.]html",
 }
 
 # A line break inside a sentence goes on with a small letter.
@@ -136,7 +230,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list | Non
     rules = RULES if rules is None else rules
     table_ = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     named = F.transform(segments(F.col("text"), known), lambda s, i: F.struct(i.alias("at"), F.try_element_at(table_, s).alias("id")))
-    found = F.when(F.lower("text").rlike(HINTS), F.filter(named, lambda x: x["id"].isNotNull()))
+    found = F.when(F.lower("text").rlike(hints(known)), F.filter(named, lambda x: x["id"].isNotNull()))
     rows = texts(docs).select("doc_id", found.alias("found"))
     sequence = F.expr("""aggregate(found, named_struct('at', CAST(NULL AS int), 's', ''),
         (a, x) -> named_struct('at', x.at, 's', concat(a.s, CASE WHEN x.at > a.at + 1 THEN '|' ELSE '' END, '<', x.id, '>')), a -> a.s)""")
