@@ -91,3 +91,47 @@ def test_near_copies_go_by_row_and_not_by_id(spark):
     assert all(len(x & set(got)) == 1 for x in one_of)
     assert sorted(x for x in got if not any(x in o for o in one_of)) == ["kept copy", "least", "no text", "null alone", "same id, other text"]
     assert len(got) == 7
+
+
+def test_run_leaves_nothing_but_its_result(spark):
+    import os
+
+    from vetra.llm import frames
+
+    place = frames.ensure_checkpoints(spark).removeprefix("file:")
+    before = set(os.listdir(place)) if os.path.isdir(place) else set()
+    assert P.run(spark, SF).count() > 0
+    new = [d for d in os.listdir(place) if d not in before and d.startswith(("pipeline-", "vetra-"))]
+    assert len(new) == 1 and len(os.listdir(f"{place}/{new[0]}")) == 1
+
+
+def test_no_machine_local_folder_on_a_cluster(spark):
+    import pytest
+
+    from vetra.llm import frames
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError):
+        frames.ensure_checkpoints(Session())
+
+
+def test_masks_against_scalar_code(spark):
+    rows = [(0, "abcdefghij", [(0, 3), (2, 5), (5, 6), (8, 10)]), (1, "\U0001f600bcd", [(1, 2)]), (2, "xyz", [(0, 3)])]
+    want = []
+    for _, t, spans in rows:
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += t[at:a] + P.MASK
+            at = max(at, b)
+        want.append(out + t[at:])
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int>>")
+    assert [r.m for r in df.select("i", P._masked(F.col("t"), F.col("s")).alias("m")).orderBy("i").collect()] == want

@@ -54,8 +54,9 @@ def resolve(records: DataFrame, permitted: list[str] = PERMITTED, slice_seconds:
 
     A null url or ts makes a revisit ``missing`` and a response no original.
     Repeated rows stay.  A URL with very many captures is cut into slices of
-    ``slice_seconds``; what a slice hands on to the next is one response, so no
-    task sees more than a slice.
+    ``slice_seconds`` and has one row a second there; what a slice hands on to
+    the next is one response, so no window is longer than a slice has seconds,
+    however many captures a second has.
     """
     names = ["record_id", "url", "ts", "kind", "profile", "etag", "last_modified", "digest", "headers"]
     r = records.select(*(records[n] for n in names)).withColumn("url_key", canonical(F.col("url")))
@@ -65,13 +66,16 @@ def resolve(records: DataFrame, permitted: list[str] = PERMITTED, slice_seconds:
     lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
     joined = joined.withColumn("headers", lower)
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    in_slice = W.partitionBy("url_key", "slice").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
-    # order inside one ts can't matter: the frame ends before it; the largest id of the last ts wins
-    joined = joined.withColumn("before", F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).over(in_slice))
+    # one row for each second of a URL that has captures: no window holds more than the seconds of a slice
+    last = F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id")))
+    points = joined.groupBy("url_key", "slice", "ts").agg(last.alias("own"))
+    in_slice = W.partitionBy("url_key", "slice").orderBy("ts").rowsBetween(W.unboundedPreceding, -1)
     carried = W.partitionBy("url_key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = joined.groupBy("url_key", "slice").agg(F.max(F.when(F.col("kind") == "response", F.struct("ts", "record_id"))).alias("end"))
+    slices = points.groupBy("url_key", "slice").agg(F.max("own").alias("end"))
     slices = slices.withColumn("carry", F.max("end").over(carried)).select("url_key", "slice", "carry")
-    asks = joined.where("fits").join(slices, ["url_key", "slice"]).withColumn("pick", F.coalesce("before", "carry"))
+    points = points.withColumn("before", F.max("own").over(in_slice)).join(slices, ["url_key", "slice"])
+    points = points.select("url_key", "ts", F.coalesce("before", "carry").alias("pick"))
+    asks = joined.where("fits").join(points, ["url_key", "ts"])
     originals = joined.where("kind = 'response'").select("url_key", F.struct("ts", "record_id").alias("pick"), full.alias("o"))
     # rows that repeat an identical response count once
     originals = originals.groupBy("url_key", "pick").agg(F.max_by("o", F.struct(F.coalesce("o.digest", F.lit("")), F.coalesce("o.etag", F.lit("")), F.coalesce("o.last_modified", F.lit("")))).alias("o"))
