@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,8 @@ RESOURCE_KEYS = {
     "environment": "environment", "env": "environment", "server": "server", "server_name": "server", "host": "host", "hostname": "host", "project": "project", "project_id": "project",
 }
 OUTSIDE = "outside:"
+#: Characters of a resource at most (fixed value).
+MAX_ITEM = 500
 _PATCH = re.compile(r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$")
 
 
@@ -71,30 +74,52 @@ def _walk(value):
             stack += [(key, x) for x in v]
 
 
+def first_of(payload, *ways: str):
+    """The value at the first JSON pointer that leads somewhere."""
+    for way in ways:
+        v = payload
+        for key in way.strip("/").split("/"):
+            v = v.get(key) if isinstance(v, dict) else None
+        if v is not None:
+            return v
+    return None
+
+
+def tool_input(payload):
+    return first_of(payload, "/tool_input", "/toolCall/args")
+
+
 def tool_paths(payload, root: str | None = None) -> list[str]:
-    """Paths anywhere in the payload, under path keys or as file headers of a patch command; sorted, distinct."""
-    out = set()
-    for key, v in _walk(payload):
-        if isinstance(v, str) and key is not None:
-            if re.sub("-", "_", key.lower()) in PATH_KEYS and v.strip():
-                out.add(scoped(v, root))
-            elif key.lower() == "command":
-                out |= {scoped(m, root) for m in _PATCH.findall(v)}
+    """Paths anywhere in the tool's input, under path keys or as file headers of its patch command; sorted, distinct."""
+    given, out = tool_input(payload), set()
+    for key, v in _walk(given):
+        if isinstance(v, str) and key is not None and key.lower() in PATH_KEYS and v.strip():
+            out.add(scoped(v, root))
+    if isinstance(given, dict) and isinstance(given.get("command"), str):
+        out |= {scoped(m, root) for m in _PATCH.findall(given["command"])}
     return sorted(out)
 
 
+def resource(text: str) -> str | None:
+    """``kind:value`` in order: kinds of letters, digits, ``-`` and ``_``, lowered; null for what is blank, too long or holds control characters."""
+    text = text.strip()
+    kind, colon, value = text.partition(":")
+    kind, value = kind.strip().lower(), value.strip().rstrip("/")
+    ok = colon and value and re.fullmatch("[a-z0-9_-]+", kind) and len(text) <= MAX_ITEM and not any(unicodedata.category(c) == "Cc" for c in text)
+    return f"{kind}:{value}" if ok else None
+
+
 def tool_resources(payload) -> list[str]:
     """``kind:value`` of resource keys, and the tool itself; sorted, distinct."""
     out = set()
-    for key, v in _walk((payload or {}).get("tool_input") if isinstance(payload, dict) else None):
+    for key, v in _walk(tool_input(payload)):
         kind = RESOURCE_KEYS.get(key.lower()) if isinstance(key, str) else None
-        if kind and isinstance(v, str) and v.strip() and len(v) <= 500 and not re.search(r"[\x00-\x1f\x7f]", v):
-            out.add(f"{kind}:{v.strip().rstrip('/')}")
-    name = payload.get("tool_name") if isinstance(payload, dict) else None
-    if isinstance(name, str) and name:
-        m = re.fullmatch(r"mcp__(.+?)__(.+)", name)
-        out.add(f"mcp:{m[1]}/{m[2]}" if m else f"tool:{name.lower()}")
-    return sorted(out)
+        if kind and isinstance(v, str):
+            out.add(resource(f"{kind}:{v}"))
+    name = first_of(payload, "/tool_name", "/toolName", "/toolCall/name")
+    if isinstance(name, str):
+        out.add(resource(f"mcp:{name[5:].replace('__', '/')}" if name.startswith("mcp__") else f"tool:{name}"))
+    return sorted(out - {None})
 
 
 def facts(payload: Column, root: str | None = None) -> Column:

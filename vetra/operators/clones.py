@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -84,29 +83,98 @@ def duplicate_findings(files: DataFrame, key: str, text: str, size: int = 6, foc
     )
 
 
+#: Words of the languages that no name stands for (fixed values).
+KEYWORDS = (
+    "abstract and as assert async await begin break case catch class const constructor continue def default defer del do elif else elsif elseif end enum except export extends extern false False final finally fn for foreach from fun func function "
+    "global go if impl implements import in instanceof interface is lambda let local loop match mod module mut namespace new next nil None nonlocal not null of operator or package pass private protected pub public raise ref repeat require rescue "
+    "return self Self sizeof static struct super switch then this throw throws trait true True try type typeof undefined union unless unsafe until use using val var virtual void volatile when where while with yield"
+).split()
+#: Calls that say nothing of what a function does (fixed values).
+OUTPUT_CALLS = ["log", "print", "println"]
+_PIECE = "//[^\n]*|(?s:/\\*.*?\\*/)|#[^\n]*|\"(?:\\\\.|[^\"\\\\])*\"|'(?:\\\\.|[^'\\\\])*'|`(?:\\\\.|[^`\\\\])*`|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|[^\\sA-Za-z0-9_$]"
+_COMMENT, _NAME = "^(//|/\\*|#)", "^[A-Za-z_$]"
+
+
+def with_canonical(rows: DataFrame, text: str = "text", name: str = "canonical") -> DataFrame:
+    """``rows`` and the tokens of each function without comments, local names replaced by their order of appearance.
+
+    Names that are called or follow a dot are no local names, nor are keywords;
+    literals stay.  Each step is a column of its own, so that it is computed once a function.
+    """
+    rows = rows.withColumn("vetra_t", F.filter(F.regexp_extract_all(F.col(text), F.lit(_PIECE), F.lit(0)), lambda t: ~t.rlike(_COMMENT)))
+    before, after = lambda i: F.coalesce(F.get("vetra_t", i - 1), F.lit("")), lambda i: F.coalesce(F.get("vetra_t", i + 1), F.lit(""))
+    local = lambda t, i: t.rlike(_NAME) & ~t.isin(KEYWORDS) & (before(i) != ".") & ((after(i) != "(") | before(i).isin("def", "function", "fn", "func", "fun"))
+    rows = rows.withColumn("vetra_l", F.transform("vetra_t", local))
+    rows = rows.withColumn("vetra_n", F.array_distinct(F.filter("vetra_t", lambda t, i: F.get("vetra_l", i))))
+    form = F.transform("vetra_t", lambda t, i: F.when(F.get("vetra_l", i), F.concat(F.lit("$"), F.array_position(F.col("vetra_n"), t).cast("string"))).otherwise(t))
+    return rows.withColumn(name, F.array_join(form, " ")).drop("vetra_t", "vetra_l", "vetra_n")
+
+
+def functions(nodes: DataFrame, least_lines: int = 6) -> DataFrame:
+    """(path, family, line, lines, canonical, original, domain, behavior) of the outermost functions of ``least_lines`` or more.
+
+    ``behavior`` has the calls of the function itself, not of functions inside it.
+    """
+    lines = F.col("end_line") - F.col("start_line") + 1
+    f = nodes.where("kind = 'function'").withColumn("lines", lines).where(F.col("lines") >= least_lines)
+    outer = f.select(F.col("path").alias("p"), F.col("node_id").alias("i"), F.col("last_id").alias("l"))
+    f = f.join(outer, (F.col("path") == F.col("p")) & (F.col("i") < F.col("node_id")) & (F.col("l") >= F.col("node_id")), "left_anti")
+    calls = nodes.where("kind = 'call' AND scope_id IS NOT NULL").select("path", F.col("scope_id").alias("node_id"), T.terminal_name(F.col("name")).alias("call"))
+    calls = calls.groupBy("path", "node_id").agg(F.collect_set("call").alias("calls"))  # the calls of one function
+    f = with_canonical(f.join(calls, ["path", "node_id"], "left"))
+    return f.select(
+        "path", "family", F.col("start_line").alias("line"), "lines", "canonical", T.trimmed(F.regexp_replace("text", "\\s+", " ")).alias("original"), T.domain_tokens(F.col("name")).alias("domain"),
+        signature(F.coalesce("calls", F.array().cast("array<string>"))).alias("behavior"),
+    )
+
+
 def renamed_clones(functions: DataFrame, least_lines: int = 6) -> DataFrame:
     """Pairs (first, later) of functions (path, line, lines, family, canonical, original) that differ in names only."""
-    w = W.partitionBy("family", "canonical").orderBy("path", "line")
-    f = functions.where(F.col("lines") >= least_lines).withColumn("first", F.first(F.struct("path", "line", "original")).over(w))
-    rows = f.where((F.col("path") != F.col("first.path")) & (F.col("original") != F.col("first.original")))
-    return _one_of_each_pair(rows)
+    f = functions.where(F.col("lines") >= least_lines).select("path", "line", "family", F.sha2("canonical", 256).alias("same"), F.sha2("original", 256).alias("other_than"))
+    return _one_of_each_pair(_with_first(f, ["family", "same"]))
 
 
 def signature(calls: Column) -> Column:
     """Sorted distinct lower-case calls without output ones; null if fewer than three."""
-    names = F.array_sort(F.array_distinct(F.filter(F.transform(calls, lambda c: F.lower(c)), lambda c: ~c.isin("log", "print", "println"))))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(calls, lambda c: F.lower(c)), lambda c: ~c.isin(OUTPUT_CALLS))))
     return F.when(F.size(names) >= 3, F.array_join(names, ","))
 
 
 def same_operations(functions: DataFrame) -> DataFrame:
     """Pairs of functions (path, line, family, canonical, domain array, behavior) that share a domain word and all calls."""
-    f = functions.where("behavior IS NOT NULL").withColumn("word", F.explode("domain"))
-    w = W.partitionBy("family", "word", "behavior").orderBy("path", "line")
-    f = f.withColumn("first", F.first(F.struct("path", "line", "canonical")).over(w))
-    return _one_of_each_pair(f.where((F.col("path") != F.col("first.path")) & (F.col("canonical") != F.col("first.canonical"))))
+    f = functions.where("behavior IS NOT NULL").select("path", "line", "family", F.explode(F.array_distinct("domain")).alias("word"), F.sha2("behavior", 256).alias("same"), F.sha2("canonical", 256).alias("other_than"))
+    return _one_of_each_pair(_with_first(f, ["family", "word", "same"]))
+
+
+def _with_first(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with the first of their key that is in another file and differs: a map-side minimum, never one window."""
+    rows = cut(rows, "functions")  # read twice
+    first = rows.groupBy(*key).agg(F.min(F.struct("path", "line", "other_than")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, key).where((F.col("path") != F.col("first.path")) & (F.col("other_than") != F.col("first.other_than")))
 
 
 def _one_of_each_pair(rows: DataFrame) -> DataFrame:
     x = F.struct(F.col("first.path").alias("other"), F.col("first.line").alias("other_line"), F.col("line"), F.col("path"))
     best = rows.groupBy(F.least("path", "first.path").alias("a"), F.greatest("path", "first.path").alias("b")).agg(F.min(x).alias("x"))
     return best.select("x.path", "x.line", "x.other", "x.other_line")
+
+
+def in_focus(pairs: DataFrame, focus: DataFrame | None) -> DataFrame:
+    """Pairs (path, line, other, other_line) with a side in ``focus`` (path), which becomes the reported one; the later side if both are."""
+    if focus is None:
+        return pairs
+    inside = focus.select("path").distinct()
+    later = pairs.join(inside, "path", "left_semi")
+    rest = pairs.join(inside, "path", "left_anti").join(inside.withColumnRenamed("path", "other"), "other", "left_semi")
+    return later.unionByName(rest.select(F.col("other").alias("path"), F.col("other_line").alias("line"), F.col("path").alias("other"), F.col("line").alias("other_line")))
+
+
+def function_findings(functions: DataFrame, least_lines: int = 6, focus: DataFrame | None = None) -> DataFrame:
+    """Findings of rules FG-DRY-002 and FG-DRY-003."""
+
+    def of(pairs: DataFrame, rule: str, what: str) -> DataFrame:
+        pairs = in_focus(pairs, focus)
+        return pairs.select(F.lit(rule).alias("rule_id"), F.lit("info").alias("severity"), "path", "line", F.concat(F.lit(f"{what} also stands at "), "other", F.lit(":"), F.col("other_line").cast("string")).alias("evidence"))
+
+    renamed = of(renamed_clones(functions, least_lines), "FG-DRY-002", "the same function under other names")
+    return renamed.unionByName(of(same_operations(functions), "FG-DRY-003", "a function with the same calls and subject"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The cluster's checkpoint folder; one of our own only where none is set and all tasks run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not place and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return place or "/tmp/vetra-checkpoints"
 
 
@@ -22,7 +25,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def reach(edges: DataFrame, sources: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Distinct (src, dst) pairs that paths of one edge or more join; semi-naive, one written table a round."""
+    """Distinct (src, dst) pairs that paths of one edge or more join; semi-naive, one written table a round.
+
+    There are as many pairs as paths have ends: without ``sources`` up to the
+    square of the vertices, so only for graphs known to be small or shallow.
+    :func:`summaries` carries facts along calls with one row a function.
+    """
     e = cut(edges.select(F.col(src).alias("m"), F.col(dst).alias("dst")).distinct(), "edges")
     start = e.select(F.col("m").alias("src"), "dst")
     if sources is not None:

@@ -42,10 +42,16 @@ def stop_timeout(total: Column) -> Column:
     return F.least(F.greatest(F.coalesce(total, F.lit(0)) + 120, F.lit(600)), F.lit(3600))
 
 
+def digest(entries: Column) -> Column:
+    """A digest of a bag of strings that is summed up task by task: 120 bits of each one's hash, added, with their number."""
+    sha = F.sha2(entries.cast("binary"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(sha, at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", F.count(entries).cast("string"), part(1), part(16)).cast("binary"), 256)
+
+
 def fingerprint(rows: DataFrame, by: list[str], path: str, content: str) -> DataFrame:
-    """Digest of each group's files in order of path: contents are hashed first, so a group's state stays small."""
-    one = F.concat_ws(":", F.col(path), F.sha2(F.col(content).cast("binary"), 256))
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n").cast("binary"), 256).alias("fingerprint"))
+    """Digest of each group's files, whatever their order; a group's state is three numbers."""
+    return rows.groupBy(*by).agg(digest(F.concat_ws(":", F.col(path).cast("string"), F.sha2(F.col(content).cast("binary"), 256))).alias("fingerprint"))
 
 
 #: Names by which a check counts as one of the supply chain (fixed values).
@@ -66,7 +72,22 @@ def documentation_only(changed: DataFrame, path: str = "path") -> DataFrame:
 
 
 def workspace_fingerprint(repositories: DataFrame) -> DataFrame:
-    """One digest of (repository, status, fingerprint) rows in order; null where nothing changed anywhere."""
+    """One digest of (repository, status, fingerprint) rows; null where nothing changed anywhere."""
     dirty = repositories.where("status <> ''")
-    one = F.concat_ws("\x00", "repository", "status", "fingerprint")
-    return dirty.agg(F.when(F.count("*") > 0, F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n").cast("binary"), 256)).alias("fingerprint"))
+    return dirty.agg(F.when(F.count("*") > 0, digest(F.concat_ws("\x00", "repository", "status", "fingerprint"))).alias("fingerprint"))
+
+
+def coverage_findings(hits: DataFrame | None, scope: DataFrame, report: str, minimum: int) -> DataFrame:
+    """(rule_id, severity, path, line, evidence) of rule FG-COV-001; none unless a changed path is a source.
+
+    ``hits`` is null where the report is missing, which is a finding by itself.
+    """
+    from ..sources.files import is_source
+
+    sources = scope.agg(F.coalesce(F.bool_or(is_source(F.col("path"))), F.lit(False)).alias("any"))
+    if hits is None:
+        rows = sources.where("any").select(F.concat(F.lit(f"configured LCOV report is missing: {report}")).alias("evidence"))
+    else:
+        rows = changed_coverage(hits, scope).join(F.broadcast(sources.where("any")), F.lit(True)).where(coverage_finding(F.col("percent"), minimum))
+        rows = rows.select(F.concat(F.lit("changed-line coverage is "), F.col("percent").cast("string"), F.lit("% ("), F.col("covered").cast("string"), F.lit("/"), F.col("coverable").cast("string"), F.lit(")")).alias("evidence"))
+    return rows.select(F.lit("FG-COV-001").alias("rule_id"), F.lit("warning").alias("severity"), F.lit(report).alias("path"), F.lit(1).cast("long").alias("line"), "evidence")

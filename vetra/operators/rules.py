@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import FINDING, RULES
-from ..sources.files import extension, is_secret_text, is_source, is_test_path, lines
-from ..sources.syntax import table_rows, terminal
+from ..sources.files import extension, is_secret_text, is_test_path, lines
+from ..sources.syntax import analysed, table_rows, terminal
 from . import lexical
 from .closure import cut, summaries
 
@@ -37,6 +37,15 @@ LOOKUPS = {
     "ruby": ["find", "index"], "php": ["in_array", "array_search"], "swift": ["firstIndex"], "dart": ["firstWhere", "indexOf"],
 }
 SORTS = ["sort", "Sort", "sort_by", "sort_unstable", "sort_unstable_by", "sorted"]
+#: A route that changes something, and calls that build objects from bytes (fixed values).
+ROUTE = "(^|\\.)(app|router|server|api|route|fastify)\\.(post|put|patch|delete)$"
+UNSAFE = "^(pickle\\.loads?|marshal\\.loads?)$"
+UNSAFE_CALLS = ["unserialize", "ObjectInputStream", "deserialize", "Deserialize"]
+#: Sensitive calls and assignments by what they do (fixed values).
+HTML_ASSIGNS = ("innerhtml", "outerhtml", "dangerouslysetinnerhtml")
+HTML_CALLS = ("insertadjacenthtml", "render_template_string", "markup")
+PATH_CALLS, PATH_HEADS = ("readfile", "readfilesync", "read_to_string"), ("fs.", "file::open", "std::fs::")
+COMMAND_CALLS = ("eval", "exec", "system", "popen", "shell_exec")
 #: Sources, collection mutators and sanitizers of tainted values (fixed values).
 TAINT_TEXT = ["req.body", "req.query", "req.params", "request.body", "request.args", "request.form", "event.body", "location.search", "document.cookie"]
 TAINT_CALLS = ["readline", "input", "prompt", "getparameter", "formvalue"]
@@ -140,14 +149,12 @@ def reaches(function: str, parameters: list[str], argument: str, sink: str, sour
 
 def symbols(files: DataFrame) -> DataFrame:
     """(path, symbol, class) of every file."""
-    from ..sources.files import family
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, s, kind) for p, lang, text in zip(pdf["path"], pdf["family"], pdf["content"]) for kind, own in symbols_of(lang or "", text or "").items() for s in sorted(own)]
             yield pd.DataFrame(rows, columns=["path", "symbol", "class"])
 
-    return files.where(is_source(F.col("path"))).select("path", family(F.col("path")).alias("family"), "content").mapInPandas(run, "path string, symbol string, class string")
+    return analysed(files).mapInPandas(run, "path string, symbol string, class string")
 
 
 _FLOWS = "path string, node_id int, sink string, reached boolean"
@@ -158,12 +165,12 @@ def sink_kind(name: str, kind: str) -> str | None:
     low = name.lower()
     last = terminal(low)
     if kind == "assign":
-        return "html" if last in ("innerhtml", "outerhtml", "dangerouslysetinnerhtml") else None
-    if low.endswith("document.write") or last in ("insertadjacenthtml", "render_template_string", "markup"):
+        return "html" if last in HTML_ASSIGNS else None
+    if low.endswith("document.write") or last in HTML_CALLS:
         return "html"
-    if last in ("readfile", "readfilesync", "read_to_string") or low.startswith(("fs.", "file::open", "std::fs::")):
+    if last in PATH_CALLS or low.startswith(PATH_HEADS):
         return "path"
-    if last in ("eval", "exec", "system", "popen", "shell_exec") or low.endswith("child_process.exec"):
+    if last in COMMAND_CALLS or low.endswith("child_process.exec"):
         return "command"
     return None
 
@@ -174,9 +181,7 @@ def flows(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = (),
     ``wrappers`` (path, symbol): local names of functions that return tainted
     values; it travels with its file, not as a broadcast.
     """
-    from ..sources.files import family
-
-    rows = files.where(is_source(F.col("path"))).select("path", family(F.col("path")).alias("family"), "content")
+    rows = analysed(files)
     if wrappers is not None:
         rows = rows.join(wrappers.groupBy("path").agg(F.collect_set("symbol").alias("wrappers")), "path", "left")
     else:
@@ -236,16 +241,16 @@ def call_graph(nodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame
     return f, inner.select("path", "caller", "terminal", "in_return")
 
 
-def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = ()) -> DataFrame:
+def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = (), nodes: DataFrame | None = None) -> DataFrame:
     """All findings of the syntax and lexical rules over files (path, content), before policy.
 
-    The node table is made once and written; every syntax rule is a filter or a
+    The node table is made once and written (or given as ``nodes``); every syntax rule is a filter or a
     join on it.  ``.sql`` files and texts that may hold secrets go through the line rules.
     """
     from ..sources import syntax
 
     files = files.where(~is_test_path(F.col("path"))).select("path", "content")
-    n = cut(syntax.nodes(files), "nodes")
+    n = cut(syntax.nodes(files), "nodes") if nodes is None else nodes.join(files.select("path").distinct(), "path", "left_semi")
     marks = cut(symbols(files), "symbols")
     facts = cut(call_facts(n, marks), "calls")
     functions, calls = call_graph(n, facts)
@@ -298,9 +303,9 @@ def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] =
     inner = weak.select(F.col("path").alias("p"), F.col("node_id").alias("i"))
     emit("FG-SEC-004", weak.join(inner, (F.col("path") == F.col("p")) & (F.col("i") > F.col("node_id")) & (F.col("i") <= F.col("last_id")), "left_anti"))
     low = F.lower("name")
-    unsafe = low.rlike("^(pickle\\.loads?|marshal\\.loads?)$") | last.isin("unserialize", "ObjectInputStream", "deserialize", "Deserialize") | ((low == "yaml.load") & ~F.contains(F.lower("text"), F.lit("safeloader")))
+    unsafe = low.rlike(UNSAFE) | last.isin(UNSAFE_CALLS) | ((low == "yaml.load") & ~F.contains(F.lower("text"), F.lit("safeloader")))
     emit("FG-SEC-005", facts.where(unsafe & (low != "json.deserialize")))
-    route = low.rlike("(^|\\.)(app|router|server|api|route|fastify)\\.(post|put|patch|delete)$")
+    route = low.rlike(ROUTE)
     guards = here.where("authorized").groupBy("path").agg(F.collect_set("terminal").alias("guards"))
     open_ = facts.where(route & ~access_control(F.col("text"))).join(guards, "path", "left").where(~F.coalesce(F.arrays_overlap(T.identifiers(F.col("text")), F.col("guards")), F.lit(False)))
     emit("FG-AUTH-001", open_)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clones, closure, lexical, measure, policy, rules, sessions
+from ..operators import clones, closure, lexical, measure, policy, sessions
 from ..sources import files, syntax
 from ..streaming import sessions as streams
 from . import report
@@ -178,28 +178,6 @@ def script_calls(spark, sf_dir):
     return n.where("kind = 'call'").select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("page_id"), "name", "argument", "literal", "loop_depth")
 
 
-#: Sources for the syntax rules, as the driver's tables hold none, and the findings due.
-_SAMPLE = {
-    "a.ts": "import { db } from './db';\nfunction go(xs) {\n  for (const x of xs) {\n    const y = xs.find(z => z.id === x);\n    db.query('q');\n    for (const k of y) { use(k); }\n  }\n}\n",
-    "b.py": "import requests\ndef pull(u):\n    return requests.get(u)\ndef all(us):\n    for u in us:\n        pull(u)\n",
-    "c.py": "import sqlalchemy\nengine = sqlalchemy.make()\ndef many(xs):\n    for x in xs:\n        engine.execute(x)\n        xs.index(x)\n        sorted(xs)\n",
-    "e.py": "try:\n    go()\nexcept ValueError:\n    pass\n",
-    "f.py": "def (:\n",
-    "g.js": "function show(req) {\n  const v = req.query.name;\n  el.innerHTML = v;\n  const s = escapeHtml(req.query.name);\n  other.innerHTML = s;\n  eval(v);\n}\napp.post('/x', save);\napp.put('/y', requireAuth, save);\n",
-    "h.py": "import hashlib, pickle, yaml\nhashlib.md5(b'x')\npickle.loads(data)\nyaml.load(s, Loader=yaml.SafeLoader)\n",
-    "i.ts": "async function f(xs) {\n  await Promise.all(xs.map(x => fetch(x)));\n  await Promise.all(known);\n}\n",
-}
-_DUE = [
-    ("FG-ALG-001", "a.ts", 6), ("FG-ALG-002", "a.ts", 4), ("FG-DB-002", "a.ts", 5), ("FG-NET-001", "b.py", 6), ("FG-DB-001", "c.py", 5), ("FG-ALG-002", "c.py", 6), ("FG-ALG-003", "c.py", 7), ("FG-ERR-001", "e.py", 3),
-    ("FG-PARSE-001", "f.py", 1), ("FG-SEC-006", "g.js", 3), ("FG-SEC-003", "g.js", 6), ("FG-AUTH-001", "g.js", 8), ("FG-SEC-004", "h.py", 2), ("FG-SEC-005", "h.py", 3), ("FG-CON-001", "i.ts", 2), ("FG-NET-001", "i.ts", 2),
-]
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'{x}' for x in _DUE)}) v(rule_id, path, line)")
-def rule_findings(spark, sf_dir):
-    return rules.findings(spark.createDataFrame(list(_SAMPLE.items()), "path string, content string")).select("rule_id", "path", F.col("line").cast("int").alias("line"))
-
-
 # ---- clones -----------------------------------------------------------------------
 
 _BLOCKS = rf"""{_LINES}, tr AS (SELECT doc_id, line, regexp_replace(text, '^{_SP}+|{_SP}+$', '', 'g') AS t FROM lines),
@@ -451,7 +429,8 @@ def precision_recall(spark, sf_dir):
     return measure.precision_recall(d.select("lang", (F.col("quality") == 1).alias("expected"), (F.col("n_chars") > 1500).alias("found")), ["lang"])
 
 
-@query("SELECT source, sha256(string_agg(k, chr(10) ORDER BY k)) AS fingerprint FROM (SELECT source, doc_id || ':' || sha256(text) AS k FROM documents) x GROUP BY source")
+@query("""SELECT source, sha256(count(*) || ':' || sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) || ':' || sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT))) AS fingerprint
+FROM (SELECT source, sha256(doc_id || ':' || sha256(text)) AS h FROM documents) x GROUP BY source""")
 def dependency_fingerprint(spark, sf_dir):
     return measure.fingerprint(table(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string")), ["source"], "path", "text")
 

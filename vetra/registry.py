@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog
+from .plans import catalog, code_catalog  # noqa: F401 - the latter adds its queries to the former's
 
 
 def queries() -> dict:

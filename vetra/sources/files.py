@@ -20,6 +20,11 @@ SOURCE_EXTENSIONS = (
 CONFIG_EXTENSIONS = ["yaml", "yml", "json", "toml", "ini", "conf", "properties"]
 DOC_EXTENSIONS = "md mdx markdown rst adoc asciidoc org txt text png jpg jpeg gif webp svg ico pdf".split()
 FIXTURE_DIRS = ["test", "tests", "__tests__", "spec", "specs", "fixtures", "testdata"]
+#: Files whose change means other dependencies (fixed values).
+DEPENDENCY_FILES = (
+    "Cargo.toml Cargo.lock package.json package-lock.json pnpm-lock.yaml yarn.lock bun.lock bun.lockb pyproject.toml poetry.lock uv.lock go.mod go.sum pom.xml build.gradle build.gradle.kts gradle.lockfile "
+    "Package.swift Package.resolved pubspec.yaml pubspec.lock Gemfile Gemfile.lock composer.json composer.lock packages.lock.json Directory.Packages.props mix.exs mix.lock rebar.config rebar.lock deps.edn project.clj"
+).split()
 #: Extension -> language family (fixed values).
 FAMILIES = {
     "javascript": "js jsx mjs cjs ts mts cts tsx", "rust": "rs", "go": "go", "python": "py pyi", "java": "java", "kotlin": "kt kts", "csharp": "cs", "c": "c", "cpp": "cpp cc cxx h hpp",
@@ -63,6 +68,11 @@ def is_documentation(path: Column) -> Column:
     return F.coalesce(T.ascii_lower(extension(path)).isin(DOC_EXTENSIONS), F.lit(False)) & ~fixture
 
 
+def is_dependency(path: Column) -> Column:
+    name = file_name(path)
+    return name.isin(DEPENDENCY_FILES) | name.rlike("^requirements.*\\.txt$|\\.csproj$")
+
+
 def family(path: Column) -> Column:
     pairs = [F.lit(x) for name, exts in FAMILIES.items() for e in exts.split() for x in (e, name)]
     return F.try_element_at(F.create_map(*pairs), extension(path))
@@ -71,8 +81,8 @@ def family(path: Column) -> Column:
 def _hidden(spark: SparkSession, root: str, max_bytes: int) -> list[tuple]:
     """(path, length, content) of the files that Spark's listing always leaves out: names with a dot or underscore first.
 
-    Of these only settings files (``.env*`` and the like) are of use, so the
-    few that fit the predicates are read here, through the same file system.
+    No reader of Spark takes these, so settings and sources among them are read
+    here, through the same file system; what no predicate wants isn't opened.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -82,7 +92,9 @@ def _hidden(spark: SparkSession, root: str, max_bytes: int) -> list[tuple]:
         status = walk.next()
         name = status.getPath().toUri().getPath()
         parts = name[len(base) + 1 :].split("/")
-        if any(p[0] in "._" for p in parts) and not set(parts) & set(EXCLUDED_DIRS) and status.getLen() <= max_bytes:
+        low = parts[-1].lower()
+        wanted = low.startswith(".env") or low == "dockerfile" or low.rpartition(".")[2] in {*CONFIG_EXTENSIONS, *SOURCE_EXTENSIONS}
+        if wanted and any(p[0] in "._" for p in parts) and not set(parts) & set(EXCLUDED_DIRS) and status.getLen() <= max_bytes:
             stream = fs.open(status.getPath())
             try:
                 found.append((name, status.getLen(), bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
@@ -139,6 +151,13 @@ def masked_script(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.concat(blank(p["a"]), blank(p["b"]), p["c"], blank(p["d"]))), "")
 
 
+def masked_frontmatter(text: Column) -> Column:
+    """As :func:`masked_script`, with the block between two ``---`` lines at the head of the file kept, too."""
+    head = F.regexp_extract(text, "(?s)^(\\s*---[ \\t]*\\r?\\n.*?\\n---[ \\t]*)(?=\\r?\\n|\\z)", 1)
+    body = F.substring(text, F.length(head) + 1, F.length(text))
+    return F.concat(F.regexp_replace(head, "(?m)^([ \\t]*)---[ \\t]*$", "$1   "), masked_script(body))
+
+
 # ---- diffs -------------------------------------------------------------------
 
 _HUNK = "^@@ \\S+ \\+(\\d+)(?:,(\\d+))?"
@@ -171,18 +190,46 @@ def changed_scope(diff_paths: DataFrame, status: DataFrame, ranges: DataFrame, e
     return new.unionByName(ranges.join(paths, "path", "left_semi").join(new.select("path"), "path", "left_anti"))
 
 
+def partitioned(changed: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All changed paths, and those of them that still exist."""
+    every = changed.select("path").distinct()
+    return every, every.join(existing.select("path").distinct(), "path", "left_semi")
+
+
+def diff_paths(names: DataFrame, column: str = "value") -> DataFrame:
+    """(path) of NUL-separated name listings of a diff against a revision; paths are portable and distinct."""
+    parts = F.filter(F.split(F.col(column), "\\x00"), lambda r: r != "")
+    return names.select(F.explode(parts).alias("path")).select(T.portable_path(F.col("path")).alias("path")).distinct()
+
+
+def committed(files: DataFrame, previous: DataFrame) -> DataFrame:
+    """(path, content, before): files beside their committed version, null for a new one."""
+    return files.select("path", "content").join(previous.select("path", F.col("content").alias("before")), "path", "left")
+
+
 # ---- coverage, manifests, settings --------------------------------------------
 
 
+#: Lines of a coverage report that one window takes.
+LCOV_SLICE = 100_000
+
+
 def lcov(report: DataFrame, root: str | None = None) -> DataFrame:
     """(path, line, hits) of (at, value), the lines of a report in order.
 
-    ``SF:`` sets the file and it stays set; the order is that of one report,
-    which has a line for each source line, so one window task takes it.
+    ``SF:`` sets the file and it stays set.  A report is cut into slices of its
+    order; what a slice hands on to the next is the file it ends with, so no
+    window holds more than a slice.
     """
-    w = W.partitionBy("report").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     named = report if "report" in report.columns else report.withColumn("report", F.lit(0))
-    named = named.withColumn("path", F.last(F.when(F.startswith("value", F.lit("SF:")), F.substring("value", 4, 1 << 30)), ignorenulls=True).over(w))
+    opens = F.when(F.startswith("value", F.lit("SF:")), F.substring("value", 4, 1 << 30))
+    named = named.withColumns({"vetra_slice": F.floor(F.col("at") / LCOV_SLICE), "vetra_sf": opens})
+    inside = W.partitionBy("report", "vetra_slice").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    ends = named.where("vetra_sf IS NOT NULL").groupBy("report", "vetra_slice").agg(F.max_by("vetra_sf", "at").alias("vetra_end"))
+    slices = named.select("report", "vetra_slice").distinct().join(ends, ["report", "vetra_slice"], "left")
+    before = F.last("vetra_end", ignorenulls=True).over(W.partitionBy("report").orderBy("vetra_slice").rowsBetween(W.unboundedPreceding, -1))
+    slices = slices.select("report", "vetra_slice", before.alias("vetra_before"))
+    named = named.withColumn("vetra_here", F.last("vetra_sf", ignorenulls=True).over(inside)).join(slices, ["report", "vetra_slice"]).withColumn("path", F.coalesce("vetra_here", "vetra_before"))
     data = "^DA:(\\d+),(-?\\d+)"
     hit = named.where(F.col("value").rlike(data) & F.col("path").isNotNull())
     return hit.select(T.portable_path(F.col("path"), root).alias("path"), F.regexp_extract("value", data, 1).cast("long").alias("line"), F.regexp_extract("value", data, 2).cast("long").alias("hits"))

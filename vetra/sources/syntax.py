@@ -1,9 +1,10 @@
 """Syntax tables of source files: one row for each node that rules look at.
 
-Python goes through the standard parser; languages with braces through a
-lexer that knows strings, comments, brackets, loops, calls, functions,
-branches, handlers and collection literals.  A family without a backend, and
-a file that doesn't parse, gives one ``error`` row.
+Python goes through the standard parser; languages with braces, and those
+whose blocks are words, through lexers that know strings, comments, brackets,
+loops, calls, functions, branches and handlers.  R, HCL, Elixir and Erlang are
+only checked for matching brackets.  A file that doesn't parse gives one
+``error`` row; one without a family gives none.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import family, is_source
+from .files import extension, family, is_source, masked_frontmatter, masked_script
 
 NODES = (
     "path string, family string, node_id int, parent_id int, last_id int, kind string, name string, argument string, literal boolean, size int, "
@@ -31,6 +32,14 @@ ITERATION_CALLS = {
     "cpp": {"for_each"}, "ruby": {"each", "map", "select"}, "php": {"array_map", "array_filter"}, "swift": {"map", "filter", "forEach"}, "dart": {"map", "where", "forEach"},
 }
 BRACED = {"javascript", "rust", "go", "java", "kotlin", "csharp", "c", "cpp", "php", "swift", "dart", "zig", "scala", "solidity"}
+#: Words that open and close blocks; ``modifier`` ones open only at the start of a statement (fixed values).
+WORDED = {
+    "ruby": {"open": {"def", "class", "module", "begin", "do", "case", "if", "unless", "while", "until", "for"}, "close": {"end"}, "modifier": {"if", "unless", "while", "until"}, "comment": "#", "loop": {"while", "until", "for"}, "branch": {"if", "unless", "while", "until", "for", "when", "rescue"}},
+    "lua": {"open": {"function", "if", "for", "while", "repeat", "do"}, "close": {"end", "until"}, "modifier": set(), "comment": "--", "loop": {"for", "while", "repeat"}, "branch": {"if", "elseif", "for", "while", "repeat"}},
+    "shell": {"open": {"if", "for", "while", "until", "case", "select"}, "close": {"fi", "done", "esac"}, "modifier": {"if", "for", "while", "until", "case", "select"}, "comment": "#", "loop": {"for", "while", "until"}, "branch": {"if", "elif", "for", "while", "until"}},
+}
+#: Languages that are only checked for matching brackets, and what begins their comments.
+BRACKETED = {"r": "#", "hcl": "#|//", "elixir": "#", "erlang": "%"}
 
 
 class Node:
@@ -239,6 +248,134 @@ def _call(node, toks, pair, source: str, i: int, open_: int, close: int, name: s
     node("call", i, close, name=name, argument=first, literal=single or not first, loop=terminal(name) in ITERATION_CALLS.get(lang, ()), in_return=returned, size=0 if not first else 1)
 
 
+# ---- words --------------------------------------------------------------------------
+
+
+def _plain_tokens(source: str, comment: str) -> list[tuple]:
+    """(kind, text, start, end, line), without space and comments; a line break is a token."""
+    pattern = re.compile(
+        rf"(?P<comment>(?:{comment})[^\n]*)|(?P<string>\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\[\[.*?\]\])|(?P<heredoc><<[-~]?['\"]?(?P<tag>[A-Z_]+)['\"]?[^\n]*\n.*?^[ \t]*(?P=tag)$)"
+        r"|(?P<number>\d[\w.]*)|(?P<word>[$@]{0,2}[A-Za-z_]\w*[?!]?)|(?P<space>[ \t\r]+)|(?P<mark>[=!<>]=|->|::|&&|\|\||.|\n)",
+        re.S | re.M,
+    )
+    out, line = [], 1
+    for m in pattern.finditer(source):
+        kind = "heredoc" if m["heredoc"] else m.lastgroup
+        if kind not in ("space", "comment"):
+            out.append((kind, m[0], m.start(), m.end(), line))
+        line += m[0].count("\n")
+    return out
+
+
+def bracketed(source: str, comment: str, char: str = "") -> None:
+    """Raises SyntaxError unless all brackets outside strings and comments match."""
+    stack = []
+    for kind, t, *_ in _plain_tokens(re.sub(char, " ", source) if char else source, comment):
+        if kind == "mark" and t in _OPEN:
+            stack.append(t)
+        elif kind == "mark" and t in _CLOSE:
+            if not stack or stack.pop() != _CLOSE[t]:
+                raise SyntaxError("brackets don't match")
+    if stack:
+        raise SyntaxError("brackets don't match")
+
+
+def worded_nodes(source: str, lang: str) -> list[Node]:
+    """Nodes of languages whose blocks begin and end with words."""
+    words = WORDED[lang]
+    toks = _plain_tokens(source, words["comment"])
+    out: list[Node] = []
+    n = len(toks)
+
+    def node(kind: str, i: int, j: int, **more) -> None:
+        out.append(Node(kind, toks[i][2], toks[j][3], toks[i][4], toks[j][4] + toks[j][1].count("\n"), text=source[toks[i][2] : toks[j][3]], **more))
+
+    stack: list[tuple[str, int]] = []
+    ends: dict[int, int] = {}
+    pending = False  # a loop's own ``do``
+    for i, (kind, t, *_) in enumerate(toks):
+        first = i == 0 or toks[i - 1][1] in ("\n", ";", "then", "do", "else", "=", "(", "{", "&&", "||")
+        if t == "\n":
+            pending = False
+        if kind == "word" and t in words["open"] and (i == 0 or toks[i - 1][1] not in (".", "::", ":")):
+            if t == "do" and pending:
+                pending = False
+            elif t not in words["modifier"] or first:
+                stack.append((t, i))
+                pending = t in ("while", "until", "for") and lang != "shell"
+        elif kind == "word" and t in words["close"] and (lang != "shell" or first or toks[i - 1][1] in ("\n", ";")) and (i == 0 or toks[i - 1][1] != "."):
+            if t == "until" and (not stack or stack[-1][0] != "repeat"):
+                continue
+            if not stack:
+                raise SyntaxError("blocks don't match")
+            ends[stack.pop()[1]] = i
+        elif kind == "mark" and t in "([{":
+            if lang != "shell":
+                stack.append((t, i))
+        elif kind == "mark" and t in ")]}" and lang != "shell":
+            if not stack or stack[-1][0] != _CLOSE[t]:
+                raise SyntaxError("brackets don't match")
+            ends[stack.pop()[1]] = i
+    if stack:
+        raise SyntaxError("blocks don't match")
+    line_end = lambda i: next((j - 1 for j in range(i + 1, n) if toks[j][1] in ("\n", ";")), n - 1)
+    braces: list[int] = []
+    for i, (kind, t, *_) in enumerate(toks):
+        before = toks[i - 1][1] if i else "\n"
+        if kind in ("string", "heredoc"):
+            node("string", i, i)
+        elif kind == "mark" and lang == "shell" and t == "{":
+            braces.append(i)
+        elif kind == "mark" and lang == "shell" and t == "}" and braces:
+            ends[braces.pop()] = i
+        elif kind == "word":
+            if i in ends:
+                if t in words["loop"]:
+                    node("loop", i, ends[i], loop=True)
+                if t in ("def", "function"):
+                    k = i + 1 + 2 * (i + 3 < n and toks[i + 2][1] in (".", ":"))
+                    if k < n and toks[k][0] == "word":
+                        inside = source[toks[k + 1][3] : toks[ends[k + 1]][2]] if k + 1 in ends else ""
+                        node("function", i, ends[i], name=toks[k][1], argument=",".join(re.findall(r"[A-Za-z_]\w*", inside)))
+            if t in words["branch"]:
+                node("branch", i, ends.get(i, line_end(i)))
+            if t == "rescue":
+                stop = next((j for j in range(i + 1, n) if toks[j][1] in ("end", "ensure", "else", "rescue")), n - 1)
+                node("handler", i, stop, size=sum(x[1] != "\n" for x in toks[line_end(i) + 1 : stop]))
+            if t in ("require", "require_relative", "source", "import") and before in ("\n", ";", "="):
+                node("import", i, line_end(i))
+            elif t == "raise":
+                node("raise", i, line_end(i))
+            elif before not in ("def", "function", ".", ":", "::") and t not in words["open"] | words["close"]:
+                j = i
+                while j + 2 < n and toks[j + 1][1] in (".", ":", "::") and toks[j + 2][0] == "word":
+                    j += 2
+                close = ends.get(j + 1) if j + 1 < n and toks[j + 1][1] == "(" else None
+                if close is not None:
+                    stop = next((k for k in range(j + 2, close) if toks[k][1] == ","), close)
+                    first = source[toks[j + 2][2] : toks[stop - 1][3]] if stop > j + 2 else ""
+                    single = stop == close == j + 3 and toks[j + 2][0] in ("string", "number")
+                    name = source[toks[i][2] : toks[j][3]]
+                    node("call", i, close, name=name, argument=first, literal=single or not first, loop=terminal(name) in ITERATION_CALLS.get(lang, ()), size=0 if not first else 1, in_return=before == "return")
+                elif lang == "ruby" and j > i and j + 1 < n and toks[j + 1][1] in ("do", "{") and terminal(source[toks[i][2] : toks[j][3]]) in ITERATION_CALLS["ruby"]:
+                    stop = ends.get(j + 1, line_end(j))
+                    node("call", i, stop, name=source[toks[i][2] : toks[j][3]], argument="", literal=False, loop=True, size=1)
+            if i + 1 < n and toks[i + 1][1] == "=" and before in ("\n", ";", "local", "then", "do"):
+                stop = line_end(i)
+                node("assign", i, stop, name=t, argument=source[toks[i + 1][3] : toks[stop][3]].strip())
+            if lang == "shell" and i + 3 < n and [x[1] for x in toks[i + 1 : i + 3]] == ["(", ")"]:
+                k = next((k for k in range(i + 3, min(n, i + 6)) if toks[k][1] == "{"), None)
+                if k is not None:
+                    depth, j = 0, k
+                    while j < n:
+                        depth += (toks[j][1] == "{") - (toks[j][1] == "}")
+                        if not depth:
+                            break
+                        j += 1
+                    node("function", i, min(j, n - 1), name=t)
+    return out
+
+
 # ---- tables ------------------------------------------------------------------------
 
 
@@ -248,6 +385,11 @@ def table_rows(path: str, lang: str, source: str) -> list[tuple]:
             nodes = python_nodes(source)
         elif lang in BRACED:
             nodes = braced_nodes(source, lang)
+        elif lang in WORDED:
+            nodes = worded_nodes(source, lang)
+        elif lang in BRACKETED:
+            bracketed(source, BRACKETED[lang], r"\$." if lang == "erlang" else "")
+            nodes = []
         else:
             raise SyntaxError("no backend")
     except (SyntaxError, ValueError, RecursionError) as e:
@@ -267,6 +409,21 @@ def table_rows(path: str, lang: str, source: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+#: Files whose scripts are JavaScript among other text (fixed values).
+COMPONENTS = (".vue", ".svelte", ".astro")
+
+
+def analysed(files: DataFrame) -> DataFrame:
+    """(path, family, content) of the files that have a family, with all but the scripts of component files blanked."""
+    path = F.col("path")
+    ext = extension(path)
+    component = F.coalesce(ext.isin([c[1:] for c in COMPONENTS]), F.lit(False))
+    kind = F.when(component, "javascript").otherwise(family(path))
+    script = F.when(ext == "astro", masked_frontmatter(F.col("content"))).otherwise(masked_script(F.col("content")))
+    rows = files.where(is_source(path)).select("path", kind.alias("family"), F.when(component, script).otherwise(F.col("content")).alias("content"))
+    return rows.where("family IS NOT NULL")
+
+
 def nodes(files: DataFrame) -> DataFrame:
     """The node table of (path, content): parse once, use for all rules.
 
@@ -284,7 +441,9 @@ def nodes(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out, size = [], 0
             for path, lang, text in zip(pdf["path"], pdf["family"], pdf["content"]):
-                for r in table_rows(path, lang or "", text or ""):
+                for r in table_rows(path, lang, text or ""):
+                    if r[5] == "error" and path.endswith(COMPONENTS):
+                        continue  # what stands in a component file may be no whole script
                     out.append(r)
                     size += len(r[7]) + len(r[16])
                     if size >= FRAME_TEXT:
@@ -292,6 +451,4 @@ def nodes(files: DataFrame) -> DataFrame:
                         out, size = [], 0
             yield frame(out)
 
-    sql = F.element_at(F.split("path", "\\."), -1) == "sql"
-    rows = files.where(is_source(F.col("path")) & ~sql).select("path", family(F.col("path")).alias("family"), "content")
-    return rows.mapInPandas(run, NODES)
+    return analysed(files).mapInPandas(run, NODES)
