@@ -87,7 +87,7 @@ DOMAIN_VERBS = ["build", "create", "delete", "export", "handle", "import", "proc
 
 def domain_tokens(name: Column) -> Column:
     """Sorted distinct lower-case parts of a camel or snake name: four letters or more, no common verb."""
-    parts = F.split(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]+")
+    parts = F.split(F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2")), "[^a-z0-9]+")
     return F.array_sort(F.array_distinct(F.filter(parts, lambda p: (F.length(p) >= 4) & ~p.isin(DOMAIN_VERBS))))
 
 
@@ -117,6 +117,10 @@ def check_rule_id(name: Column) -> Column:
     return F.concat(F.lit("FG-CHECK-"), F.upper(F.regexp_replace(name, "[^A-Za-z0-9]", "-")))
 
 
+def command_slug(name: Column) -> Column:
+    return F.regexp_replace(name, "[^A-Za-z0-9-]", "_")
+
+
 def sarif_level(severity: Column) -> Column:
     return F.when(severity == "error", "error").when(severity == "warning", "warning").otherwise("note")
 

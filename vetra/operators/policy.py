@@ -129,6 +129,11 @@ def merged(reports: DataFrame, by: list[str] = ()) -> DataFrame:
     return out.withColumn("status", F.element_at(F.array(F.lit("passed"), F.lit("warning"), F.lit("blocked")), F.col("worst") + 1)).drop("worst")
 
 
+def prefixed(rows: DataFrame, repository: str, name: str) -> DataFrame:
+    """Rows whose path or check name has its repository before it, as in a report of many repositories; ``.`` is the one at the root."""
+    return rows.withColumn(name, F.when(F.col(repository) == ".", F.col(name)).otherwise(F.concat_ws("/", repository, name)))
+
+
 def gate(findings: DataFrame, config: DataFrame, baseline: DataFrame, mode: str = "strict", version: int = 2, warnings_block: bool | None = None) -> DataFrame:
     """The chain on emitted findings: first of each, overrides, baseline, blocking."""
     out = beyond_baseline(apply_rules(first_of_each(findings), config), baseline)

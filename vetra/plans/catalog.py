@@ -536,7 +536,17 @@ def stream_ttl_cache(spark, sf_dir):
     return _drained(streams.ttl_reuse(e, ["user_id", "event_type"], 24 * 3600 * 1000), "ttl").select(F.col("tie").alias("event_id"), "recorded")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, epoch_ms(ts) AS ms, event_type AS f, value > 10 AS blocked, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+r(session, rn, seq, last, att, stl, key, since, d, da, ds, decision, replayed, attempts, stalled) AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 0, 0, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 0, 0, CAST(NULL AS VARCHAR), false, 0, 0 FROM e
+  UNION ALL
+  SELECT session, rn, seq, CASE WHEN rp THEN last ELSE f END, CASE WHEN rp THEN att WHEN blocked THEN a1 ELSE 0 END, CASE WHEN rp THEN stl WHEN blocked THEN s1 ELSE 0 END,
+    CASE WHEN rp OR NOT blocked THEN key ELSE f END, CASE WHEN rp OR NOT blocked THEN since ELSE ms END, CASE WHEN rp OR NOT blocked THEN d ELSE n END, CASE WHEN rp OR NOT blocked THEN da ELSE a1 END, CASE WHEN rp OR NOT blocked THEN ds ELSE s1 END,
+    CASE WHEN rp THEN d WHEN blocked THEN n ELSE 'pass' END, rp, CASE WHEN rp THEN da WHEN blocked THEN a1 ELSE 0 END, CASE WHEN rp THEN ds WHEN blocked THEN s1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN a1 > 3 OR s1 >= 2 THEN 'stop' ELSE 'block' END AS n FROM (
+    SELECT e.session, e.rn, e.seq, e.f, e.ms, e.blocked, r.last, r.att, r.stl, r.key, r.since, r.d, r.da, r.ds, r.key IS NOT NULL AND r.key = e.f AND e.ms >= r.since AND e.ms - r.since < 3600000 AS rp,
+      CASE WHEN r.last = e.f THEN r.att + 1 ELSE 1 END AS a1, CASE WHEN r.last = e.f THEN r.stl + 1 ELSE 0 END AS s1 FROM r JOIN e ON e.session = r.session AND e.rn = r.rn + 1) x) y)
+SELECT session, seq, decision, replayed, attempts, stalled FROM r WHERE rn > 0""")
 def stream_stop_decisions(spark, sf_dir):
     e = _event_stream(spark, sf_dir)
     stops = e.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), _millis("ts").alias("at_ms"), F.col("event_type").alias("fingerprint"), (F.col("value") > 10).alias("blocked"))

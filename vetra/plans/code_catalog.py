@@ -35,6 +35,8 @@ TEMPLATES = [
     ("ts", "//", "", "async function calls_{k}(us) {\n  for (const u of us) {\n    await client.get(u);\n  }\n}\n"),
     ("ts", "//", "", "function loadOrder_{k}(x) {\n  open(x);\n  read(x);\n  check(x);\n  close(x);\n  return x;\n}\n"),
     ("ts", "//", "", "function orderSave_{k}(x) {\n  if (x) { close(x); }\n  check(x);\n  read(x);\n  open(x);\n  return 1;\n}\n"),
+    ("js", "//", "", "function source_{k}(req) {\n  return req.query.name;\n}\nfunction runs_{k}() {\n  const v = source_{k}();\n  eval(v);\n}\n"),
+    ("py", "#", "", "def later_{k}():\n    raise NotImplementedError('x')\n"),
     ("lua", "--", "", "for i = 1, 2 do\n  for j = 1, 2 do\n    f(j)\n  end\nend\n"),
 ]
 _IF, _ITEM = "    if x == 1:\n        pass\n", "1, "
@@ -71,7 +73,7 @@ lp AS (SELECT path, n, ind FROM ln WHERE regexp_matches(t, '^\\s*for\\b|\\.each\
 dp AS (SELECT ln.*, (SELECT count(*) FROM lp WHERE lp.path = ln.path AND lp.n < ln.n AND lp.ind < ln.ind AND NOT EXISTS (SELECT 1 FROM ln m WHERE m.path = ln.path AND m.n > lp.n AND m.n < ln.n AND m.ind <= lp.ind)) AS depth FROM ln)""".replace("\\\\", "\\")
 
 _FOUND = _NESTED + r""",
-vr AS (SELECT path, regexp_extract(t, '(?:const|let) (\w+) = ', 1) AS v, bool_and(contains(t, 'req.query') AND NOT contains(t, 'escapeHtml')) AS dirty FROM ln WHERE regexp_matches(t, '(?:const|let) \w+ = ') GROUP BY ALL),
+vr AS (SELECT path, regexp_extract(t, '(?:const|let) (\w+) = ', 1) AS v, bool_and((contains(t, 'req.query') OR contains(t, ' = source_')) AND NOT contains(t, 'escapeHtml')) AS dirty FROM ln WHERE regexp_matches(t, '(?:const|let) \w+ = ') GROUP BY ALL),
 us AS (SELECT dp.path, dp.n, dp.t, coalesce(vr.dirty, false) AS dirty FROM dp LEFT JOIN vr ON vr.path = dp.path AND vr.v = regexp_extract(dp.t, '(?:innerHTML = |eval\(|readFile\()(\w+)', 1)),
 wr AS (SELECT path, regexp_extract(content, 'def (\w+)\([^)]*\):\n\s+return requests\.get', 1) AS w FROM code WHERE contains(content, 'import requests')),
 found AS (
