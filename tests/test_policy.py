@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from vetra.operators import closure, lexical, measure, policy
 from vetra.schema import BASELINE, FINDING, RULES, SCOPE, languages, rules
 from vetra.sources import files
@@ -100,3 +102,24 @@ def test_summaries_pass_through_cycles(spark):
 def test_dimensions(spark):
     assert rules(spark).count() == len(RULES) == 25
     assert languages(spark).count() == 19
+
+
+def test_ignore_files(spark, tmp_path):
+    tree = {".gitignore": "# x\n*.gen.py\n/only/\n!keep.gen.py\nsub/**/deep.py\n", "pkg/.gitignore": "local.py\n", "a.gen.py": "", "keep.gen.py": "", "only/b.py": "", "pkg/only/c.py": "", "pkg/local.py": "", "local.py": "", "sub/x/y/deep.py": "", "sub/deep.py": "", "d.py": ""}
+    for path, text in tree.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text or "x = 1\n")
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path)).collect()) == ["d.py", "keep.gen.py", "local.py", "pkg/only/c.py"]
+
+
+def test_reports_of_checks_and_scopes(spark):
+    from vetra.plans import report
+
+    found = spark.createDataFrame([("p", "a.py", 1, "R", 0, "error", "t")], "project string, path string, line long, rule_id string, seq long, severity string, title string")
+    checks = spark.createDataFrame([("p", "test", False, "\n bad \n x"), ("p", "lint", True, ""), ("q", "test", False, None)], "project string, name string, success boolean, output string")
+    got = {r.project: r.report for r in report.compact(found, "project", checks).collect()}
+    assert got == {"p": "[error] R a.py:1 t\n[check] test:  bad ", "q": "[check] test: command failed"}
+    df = spark.createDataFrame([(["src/a", "x/b", "y", "z", "w"], ["tool:bash", "url:h"], ["src"], ["table:t"]), (["src/a"], ["tool:bash", "table:t/1"], ["src"], ["table:t"])], "p array<string>, r array<string>, s array<string>, d array<string>")
+    assert [r[0] for r in df.select(report.scope_warning(*(F.col(c) for c in "prsd"))).collect()] == ["outside paths: x/b, y, z; outside resources: url:h; declared: src, table:t", None]
+    tools = spark.createDataFrame([("git", True, "2.1"), ("cargo", True, None), ("syft", False, None)], "name string, required boolean, version string")
+    assert [r.line for r in report.doctor(tools).collect()] == ["missing cargo", "ok git 2.1", "optional syft not found"]

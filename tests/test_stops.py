@@ -88,3 +88,14 @@ def test_stream_in_several_micro_batches(spark, tmp_path):
             d = stops.step(state, kind, json.loads(body), stops.Settings())
             want.append((s, seq, *d, state.task.status, state.task.auto_pokes))
     assert got == sorted(want)
+
+
+def test_states_are_kept_batch_by_batch(spark, tmp_path):
+    from vetra.plans import store
+
+    for part, rows in enumerate(([("a", 1, "stop", '{"worktree": "w", "gate": "blocked"}'), ("b", 2, "stop", "{}")], [("a", 3, "stop", '{"worktree": "w"}')])):
+        spark.createDataFrame(rows, stops.EVENT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(stops.EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    store.keep_states(stops.evaluations(stream), str(tmp_path / "kept"), str(tmp_path / "state")).awaitTermination()
+    got = {r.session: (r.seq, r.decision) for r in store.kept_states(spark, str(tmp_path / "kept"), stops.RESULT).collect()}
+    assert got == {"a": (3, "block"), "b": (2, "pass")}

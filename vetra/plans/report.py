@@ -21,14 +21,22 @@ def finding_line() -> Column:
     return F.concat(F.lit("["), "severity", F.lit("] "), "rule_id", F.lit(" "), "path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "title")
 
 
-def compact(findings: DataFrame, by: str) -> DataFrame:
-    """(by, report): the first findings in order, how many more there are, at most COMPACT_CHARS characters."""
+def compact(findings: DataFrame, by: str, checks: DataFrame | None = None) -> DataFrame:
+    """(by, report): the first findings in order, how many more there are, the failed checks, at most COMPACT_CHARS characters.
+
+    Of a failed check the first line of its output that isn't blank is shown; ``checks`` has a column ``by``, too.
+    """
     w = W.partitionBy(by).orderBy("path", "line", "rule_id", "seq")
     top = findings.withColumn("n", F.row_number().over(w)).where(F.col("n") <= COMPACT_FINDINGS)
     total = findings.groupBy(by).agg(F.count("*").alias("total"))
     shown = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("n", finding_line().alias("text")))).alias("rows")).join(total, by)
     more = F.when(F.col("total") > COMPACT_FINDINGS, F.concat(F.lit("\n"), (F.col("total") - COMPACT_FINDINGS).cast("string"), F.lit(" omitted"))).otherwise("")
-    return shown.select(by, T.truncated_within(F.concat(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), more), COMPACT_CHARS).alias("report"))
+    shown = shown.select(by, F.concat(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), more).alias("text"))
+    if checks is None:
+        return shown.select(by, T.truncated_within(F.col("text"), COMPACT_CHARS).alias("report"))
+    line = F.concat(F.lit("[check] "), "name", F.lit(": "), first_nonblank(F.col("output")))
+    failed = checks.where("NOT success").groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda r: r["line"]), "\n").alias("failed"))
+    return shown.join(failed, by, "full").select(by, T.truncated_within(F.concat_ws("\n", "text", "failed"), COMPACT_CHARS).alias("report"))
 
 
 def first_nonblank(output: Column, default: str = "command failed") -> Column:
@@ -72,3 +80,29 @@ def host_decision(host: Column, decision: Column, message: Column) -> Column:
     follow = F.to_json(F.struct(message.alias("followup_message")))
     stop = F.to_json(F.struct(F.lit(False).alias("continue"), message.alias("stopReason")))
     return F.when(decision == "block", F.when(host == "cursor", follow).otherwise(block)).when(decision == "stop", stop)
+
+
+#: Paths, resources and declared items that a warning names at most.
+SHOWN_OUTSIDE, SHOWN_DECLARED = 3, 6
+
+
+def scope_warning(paths: Column, resources: Column, scopes: Column, declared: Column) -> Column:
+    """What a tool call touches outside the declared scopes and resources, the first of each; null if nothing."""
+    held = lambda x, all_: F.exists(all_, lambda s: ((s == ".") & ~F.startswith(x, F.lit("outside:"))) | (x == s) | F.startswith(x, F.concat(s, F.lit("/"))))
+    apart = F.filter(paths, lambda p: ~held(p, scopes))
+    away = F.filter(F.filter(resources, lambda r: ~F.startswith(r, F.lit("tool:"))), lambda r: ~F.exists(declared, lambda d: (r == d) | F.startswith(r, F.concat(d, F.lit("/")))))
+    some = lambda label, xs, n: F.when(F.size(xs) > 0, F.concat(F.lit(label), F.array_join(F.slice(xs, F.lit(1), F.lit(n)), ", ")))
+    text = F.concat_ws("; ", some("outside paths: ", apart, SHOWN_OUTSIDE), some("outside resources: ", away, SHOWN_OUTSIDE), some("declared: ", F.concat(scopes, declared), SHOWN_DECLARED))
+    return F.when((F.size(apart) > 0) | (F.size(away) > 0), text)
+
+
+def context_answer(host: Column, text: Column) -> Column:
+    """Context for a session as each host wants it: plain text, or JSON with the event's name."""
+    named = F.to_json(F.struct(F.struct(F.lit("SessionStart").alias("hookEventName"), text.alias("additionalContext")).alias("hookSpecificOutput")))
+    return F.when(host == "cursor", F.to_json(F.struct(text.alias("additional_context")))).when(host == "plain", text).otherwise(named)
+
+
+def doctor(tools: DataFrame) -> DataFrame:
+    """(line) of tools (name, required, version): what is there and what is missing, in order of the name."""
+    state = F.when(F.col("version").isNotNull(), F.concat(F.lit("ok "), "name", F.lit(" "), "version")).when(F.col("required"), F.concat(F.lit("missing "), "name")).otherwise(F.concat(F.lit("optional "), "name", F.lit(" not found")))
+    return tools.orderBy("name").select(state.alias("line"))

@@ -16,7 +16,7 @@ VERSION = 2
 def write_baseline(findings: DataFrame, path: str, force: bool = False) -> None:
     """The bag of known findings, one JSON row a key; an old one is replaced only if forced."""
     rows = baseline_of(findings).withColumn("path", T.portable_path(F.col("path"))).withColumn("version", F.lit(VERSION))
-    rows.write.mode("overwrite" if force else "errorifexists").json(path)
+    rows.orderBy("rule_id", "path", "evidence").write.mode("overwrite" if force else "errorifexists").json(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +30,22 @@ def baseline_total(baseline: DataFrame) -> int:
     return baseline.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
 
 
+def keep_states(results: DataFrame, path: str, state: str, key: str = "session", order: str = "seq"):
+    """Starts a stream that keeps the last row of each session as JSON, one folder a batch; the newest batch that names a session counts."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("x")).select("x.*", F.lit(number).alias("batch"))
+        last.write.mode("overwrite").json(f"{path}/batch={number}")
+
+    return results.writeStream.foreachBatch(keep).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+
+
+def kept_states(spark: SparkSession, path: str, schema: str, key: str = "session", order: str = "seq") -> DataFrame:
+    """The last row of each session that :func:`keep_states` wrote."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
+
+
 def write_report(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").json(path)
 
