@@ -235,16 +235,22 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list | Non
     sequence = F.expr("""aggregate(found, named_struct('at', CAST(NULL AS int), 's', ''),
         (a, x) -> named_struct('at', x.at, 's', concat(a.s, CASE WHEN x.at > a.at + 1 THEN '|' ELSE '' END, '<', x.id, '>')), a -> a.s)""")
     rows = rows.select("doc_id", F.coalesce(F.when(F.size("found") > 0, F.size("found")), F.lit(0)).cast("long").alias("n_known"), F.when(F.size("found") > 0, sequence).alias("sequence"))
-    rows = rows.withColumn("rest", F.col("sequence"))
-    for k, (_, ids) in enumerate(rules):
-        want = "".join(f"<{i}>" for i in ids)
-        rows = rows.withColumn("less", F.replace("rest", F.lit(want), F.lit("|")))
-        rows = rows.withColumn(f"n{k}", F.when(F.col("sequence").isNotNull(), (F.length("rest") - F.length("less")) / (len(want) - 1)).cast("long"))
-        rows = rows.withColumn("rest", F.col("less"))
-    names = F.array_distinct(F.array_compact(F.array(*(F.when(F.col(f"n{k}") > 0, F.lit(name)) for k, (name, _) in enumerate(rules)))))
+    # one pass over the rules: what a rule matches becomes a gap for the later ones
+    want = F.array(*(F.lit("".join(f"<{i}>" for i in ids)) for _, ids in rules)) if rules else F.array().cast("array<string>")
+    start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<long>").alias("hits"))
+
+    def step(acc, w):
+        less = F.replace(acc["rest"], w, F.lit("|"))
+        n = F.floor((F.length(acc["rest"]) - F.length(less)) / (F.length(w) - 1)).cast("long")
+        return F.struct(less.alias("rest"), F.concat(acc["hits"], F.array(n)).alias("hits"))
+
+    hits = F.when(F.col("sequence").isNotNull(), F.aggregate(want, start, step, lambda acc: acc["hits"]))
+    rows = rows.withColumn("hits", hits)
+    names = F.array(*(F.lit(name) for name, _ in rules)) if rules else F.array().cast("array<string>")
+    named = F.array_distinct(F.filter(names, lambda n, k: F.get("hits", k) > 0))
     return rows.select(
-        "doc_id", "n_known", F.coalesce("sequence", F.lit("")).alias("sequence"), F.when(F.col("sequence").isNotNull(), F.concat_ws(",", names)).otherwise("").alias("licenses"),
-        F.coalesce(sum((F.col(f"n{k}") for k in range(len(rules))), F.lit(0)), F.lit(0)).cast("long").alias("n_matches"),
+        "doc_id", "n_known", F.coalesce("sequence", F.lit("")).alias("sequence"), F.when(F.col("hits").isNotNull(), F.array_join(named, ",")).otherwise("").alias("licenses"),
+        F.coalesce(F.aggregate("hits", F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0)).cast("long").alias("n_matches"),
     )
 
 

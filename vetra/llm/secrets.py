@@ -20,6 +20,8 @@ PATTERNS = {
     "access": ("AKIA[A-Z0-9]{14,}", 0, 18, "AKIA[A-Z0-9]{14}"),
     "hex": ("[0-9a-f]{16,}", 0, 16, "[0-9a-f]{16}"),
 }
+#: Lower-case words of which a text has one if it has a match, looked for before any pattern is.
+WORDS = {"assign": ["password", "passwd", "secret", "token", "api"], "access": ["akia"]}
 #: Tokens that the battery looks at.
 LEAST_TOKEN = 20
 TOKEN = f"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}"
@@ -147,21 +149,23 @@ def core(token: Column) -> Column:
     return F.when(token.rlike(GROUPED), F.regexp_replace(token, "[-_]", "")).otherwise(F.regexp_replace(token, NO_KEY, ""))
 
 
-def battery(token: Column, alphabet: str) -> Column:
-    """p-value of a token under independent, uniform symbols: three tests, Bonferroni.
+def battery(token: Column, name: Column) -> Column:
+    """p-value of a token of the encoding ``name`` under independent, uniform symbols: three tests, Bonferroni.
 
     Chi-squared of the symbol counts (two-sided, Wilson-Hilferty), runs above
     and below the middle of the alphabet, and lag-one serial correlation.
     """
-    a = len(alphabet)
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
 
-    def tests(x: Column) -> Column:
+    def of(alphabet: Column) -> Column:
+        codes = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double"))
+        return let(F.struct(codes.alias("x"), F.char_length(alphabet).cast("double").alias("a")), lambda k: tests(k["x"], k["a"]))
+
+    def tests(x: Column, a: Column) -> Column:
         n = F.size(x).cast("double")
         squares = F.aggregate(F.transform(F.array_distinct(x), lambda c: F.size(F.filter(x, lambda y: y == c)).cast("double")), F.lit(0.0), lambda s, k: s + k * k)
         chi = squares * a / n - n
-        df = float(a - 1)
-        p_chi = two_sided((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+        df = a - 1
+        p_chi = two_sided((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
         high = F.size(F.filter(x, lambda y: y > a / 2)).cast("double")
         low = n - high
         neighbours = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
@@ -182,7 +186,7 @@ def battery(token: Column, alphabet: str) -> Column:
 
         return let(neighbours, of_pairs)
 
-    return let(codes, tests)
+    return let(F.try_element_at(F.create_map(*(F.lit(x) for pair in ALPHABETS.items() for x in pair)), name), of)
 
 
 def pairs_of(docs: DataFrame) -> DataFrame:
@@ -258,9 +262,7 @@ def candidates(text: Column, table_: Column) -> Column:
 
     def one(x: Column) -> Column:
         def named(key: Column) -> Column:
-            p = F.lit(None).cast("double")
-            for k, alphabet in ALPHABETS.items():
-                p = F.when(key["name"] == k, battery(key["token"], alphabet)).otherwise(p)
+            p = battery(key["token"], key["name"])
             bin_ = F.least(F.floor(surprise(key["token"], key["name"], table_) * PER_DECADE).cast("int"), F.lit(LAST_BIN))
             return F.when(key.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(key["label"], key["token"]).alias("stratum"), bin_.alias("bin"), p.alias("p")))
 
@@ -276,9 +278,11 @@ def found(docs: DataFrame, table_: list[float], keep: tuple[str, ...] = ()) -> D
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("CAST(array() AS array<struct<start:int,end:int>>)")
     cols = []
+    docs = docs.withColumn("vetra_low", F.lower(text))
     for kind, (pattern, inner, least, quick) in PATTERNS.items():
+        may = reduce(Column.__or__, (F.contains("vetra_low", F.lit(w)) for w in WORDS[kind])) if kind in WORDS else F.lit(True)
         spans = F.transform(matches(text, pattern, inner, least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
-        cols.append(F.when(text.rlike(quick), spans).otherwise(none).alias(kind))
+        cols.append(F.when(may & text.rlike(quick), spans).otherwise(none).alias(kind))
     nobody = F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:string,bin:int,p:double>>)")
     likely = text.rlike(TOKEN) & text.rlike("[0-9]")
     return docs.select("doc_id", *keep, *cols, F.when(likely, candidates(text, F.array(*(F.lit(x) for x in table_)))).otherwise(nobody).alias("tokens"))

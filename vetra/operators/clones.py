@@ -23,19 +23,20 @@ def normalized_lines(files: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def blocks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
-    """(key, line, block): every run of ``size`` kept lines that is long and varied enough.
+    """(key, line, h1, h2): every run of ``size`` kept lines that is long and varied enough, by 128 bits of its lines.
 
-    The frame stays inside one text's array (slice), so no window or shuffle is needed.
+    A line is normalised and hashed once; runs are combined from the hashes of
+    their lines inside one text's array, so no window or shuffle is needed.
     """
-    raw = T.lines_of(F.col(text))
-    kept = F.filter(F.transform(raw, lambda s, i: F.struct((i + 1).cast("long").alias("line"), T.normalized_line(s).alias("text"))), lambda x: x["text"].isNotNull())
-    rows = files.select(key, kept.alias("kept"))
+    raw = F.transform(T.lines_of(F.col(text)), lambda s, i: F.struct((i + 1).cast("long").alias("line"), T.normalized_line(s).alias("text")))
+    kept = F.filter(raw, lambda x: x["text"].isNotNull())
+    facts = F.transform(kept, lambda x: F.struct(x["line"].alias("line"), F.xxhash64(x["text"]).alias("a"), F.xxhash64(F.lit(1), x["text"]).alias("b"), F.octet_length(x["text"]).alias("n")))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("kept") - (size - 1), F.lit(1))), lambda i: F.slice(F.col("kept"), i, F.lit(size)))
     # no filter on the array: it would be pushed below and normalise every text twice
-    rows = rows.select(key, F.explode(F.when(F.size("kept") >= size, runs)).alias("run"))
-    texts = F.transform("run", lambda x: x["text"])
-    rows = rows.select(key, F.col("run")[0]["line"].alias("line"), F.array_join(texts, "\n").alias("block"), F.size(F.array_distinct(texts)).alias("n"))
-    return rows.where((F.octet_length("block") >= MIN_BYTES) & (F.col("n") >= MIN_DISTINCT)).drop("n")
+    rows = files.select(key, facts.alias("kept")).select(key, F.explode(F.when(F.size("kept") >= size, runs)).alias("run"))
+    n = F.aggregate("run", F.lit(size - 1), lambda s, x: s + x["n"])  # with a line break between lines
+    rows = rows.select(key, F.col("run")[0]["line"].alias("line"), F.xxhash64("run.a").alias("h1"), F.xxhash64("run.b").alias("h2"), n.alias("n"), F.size(F.array_distinct("run.a")).alias("d"))
+    return rows.where((F.col("n") >= MIN_BYTES) & (F.col("d") >= MIN_DISTINCT)).drop("n", "d")
 
 
 def duplicate_rows(found: DataFrame, key: str) -> DataFrame:
@@ -44,9 +45,8 @@ def duplicate_rows(found: DataFrame, key: str) -> DataFrame:
     The first occurrence of a text is a map-side minimum; a common block is one
     aggregate row a task and a skewed join side, never one window.
     """
-    # 128 bits stand for a block: six lines of text for every line would be most of the shuffle.
-    # They are used twice, so they are written once instead of normalising all texts again.
-    keys = cut(found.select(key, "line", F.xxhash64("block").alias("h1"), F.xxhash64(F.lit(1), "block").alias("h2")), "blocks")
+    # used twice, so written once instead of normalising all texts again
+    keys = cut(found, "blocks")
     first = keys.groupBy("h1", "h2").agg(F.min(F.struct(key, "line")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = keys.join(first.drop("n"), ["h1", "h2"])
     return later.where(F.col(key) != F.col(f"f.{key}")).select(key, "line", F.col(f"f.{key}").alias("first"), F.col("f.line").alias("first_line"))
@@ -130,7 +130,7 @@ def functions(nodes: DataFrame, least_lines: int = 6) -> DataFrame:
 
 def renamed_clones(functions: DataFrame, least_lines: int = 6) -> DataFrame:
     """Pairs (first, later) of functions (path, line, lines, family, canonical, original) that differ in names only."""
-    f = functions.where(F.col("lines") >= least_lines).select("path", "line", "family", F.sha2("canonical", 256).alias("same"), F.sha2("original", 256).alias("other_than"))
+    f = functions.where(F.col("lines") >= least_lines).select("path", "line", "family", _key("canonical").alias("same"), _key("original").alias("other_than"))
     return _one_of_each_pair(_with_first(f, ["family", "same"]))
 
 
@@ -142,10 +142,15 @@ def signature(calls: Column) -> Column:
 
 def same_operations(functions: DataFrame) -> DataFrame:
     """Pairs of functions (path, line, family, canonical, domain array, behavior) that share a domain word and all calls."""
-    f = functions.where("behavior IS NOT NULL").select("path", "line", "family", F.explode(F.array_distinct("domain")).alias("word"), F.sha2("behavior", 256).alias("same"), F.sha2("canonical", 256).alias("other_than"))
+    f = functions.where("behavior IS NOT NULL").select("path", "line", "family", F.explode(F.array_distinct("domain")).alias("word"), _key("behavior").alias("same"), _key("canonical").alias("other_than"))
     return _one_of_each_pair(_with_first(f, ["family", "word", "same"]))
 
 
+def _key(column: str) -> Column:
+    """128 bits for a text."""
+    return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(1), column).alias("b"))
+
+
 def _with_first(rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows with the first of their key that is in another file and differs: a map-side minimum, never one window."""
     rows = cut(rows, "functions")  # read twice

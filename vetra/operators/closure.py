@@ -25,7 +25,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def reach(edges: DataFrame, sources: DataFrame | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Distinct (src, dst) pairs that paths of one edge or more join; semi-naive, one written table a round.
+    """Distinct (src, dst) pairs that paths of one edge or more join; one written table a round.
 
     There are as many pairs as paths have ends: without ``sources`` up to the
     square of the vertices, so only for graphs known to be small or shallow.
@@ -33,8 +33,17 @@ def reach(edges: DataFrame, sources: DataFrame | None = None, src: str = "src",
     """
     e = cut(edges.select(F.col(src).alias("m"), F.col(dst).alias("dst")).distinct(), "edges")
     start = e.select(F.col("m").alias("src"), "dst")
-    if sources is not None:
-        start = start.join(sources.select(F.col(src).alias("src")).distinct(), "src", "left_semi")
+    if sources is None:
+        # paths double in length each round, so a deep graph takes few rounds
+        known = cut(start, "reach")
+        while True:
+            longer = known.withColumnRenamed("dst", "m").join(known.withColumnRenamed("src", "m"), "m").select("src", "dst")
+            both = known.withColumn("new", F.lit(False)).unionAll(longer.withColumn("new", F.lit(True)))
+            both = cut(both.groupBy("src", "dst").agg(F.min("new").alias("new")), "reach")
+            known = both.drop("new")
+            if both.where("new").isEmpty():
+                return known
+    start = start.join(sources.select(F.col(src).alias("src")).distinct(), "src", "left_semi")
     known = delta = cut(start, "reach")
     while not delta.isEmpty():
         step = delta.withColumnRenamed("dst", "m").join(e, "m").select("src", "dst").distinct()
