@@ -53,3 +53,12 @@ def test_awkward_in_one_block_and_in_many(spark):
         assert key((r.doc_id, r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in out) == want
     assert decontaminate.contamination(frame(spark), bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
+
+
+def test_columns_with_the_names_of_results(spark):
+    docs = frame(spark).selectExpr("*", "1 AS n_words", "'x' AS n_hit", "true AS items", "0 AS spans", "7 AS vetra_row")
+    bench = spark.createDataFrame([(1, awkward()[3][1])], "item_id long, text string")
+    want = key((d, n, h) for d, n, h, *_ in brute([(r[0], r[1]) for r in awkward()], [(1, awkward()[3][1])]))
+    for limit in (1 << 20, 1):
+        got = decontaminate.contamination(docs, bench, block_bytes=limit).collect()
+        assert key((r.doc_id, r.n_words, r.n_hit) for r in got) == want
