@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_fingerprints": "fingerprint",
     "op9_decontaminate": "decontaminate",
     "op10_minhash": "minhash",
+    "op11_quality": "quality",
 }
 
 
