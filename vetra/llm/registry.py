@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_decontaminate": "decontaminate",
     "op10_minhash": "minhash",
     "op11_quality": "quality",
+    "op12_merkle": "merkle",
 }
 
 
