@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_minhash": "minhash",
     "op11_quality": "quality",
     "op12_merkle": "merkle",
+    "op13_collocations": "collocations",
 }
 
 
