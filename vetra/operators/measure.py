@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import touching
+
 
 def changed_coverage(hits: DataFrame, scope: DataFrame, by: list[str] = ()) -> DataFrame:
     """coverable, covered, percent (whole, cut; null of nothing) of the report lines inside changed ranges."""
-    h, s = hits.alias("h"), scope.alias("s")
-    inside = h.join(s, [F.col("h.path") == F.col("s.path"), F.col("h.line") >= F.col("s.start_line"), F.col("h.line") <= F.col("s.end_line")], "left_semi")
+    inside = touching(hits, scope, F.col("line"), F.col("line"))
     out = inside.groupBy(*by).agg(F.count("*").alias("coverable"), F.count_if(F.col("hits") > 0).alias("covered"))
     return out.withColumn("percent", F.when(F.col("coverable") > 0, F.expr("covered * 100 div coverable")))
 

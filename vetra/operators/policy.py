@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import rank
+from .ranges import touching
 
 MARKER = "vetra: allow"
 
@@ -32,9 +33,7 @@ def suppress(findings: DataFrame, marks: DataFrame, key: str = "path") -> DataFr
 
 def in_changed_lines(findings: DataFrame, scope: DataFrame) -> DataFrame:
     """Findings that overlap a changed range of their path."""
-    f, s = findings.alias("f"), scope.select("path", "start_line", "end_line").alias("s")
-    overlap = [F.col("f.path") == F.col("s.path"), F.col("f.line") <= F.col("s.end_line"), F.coalesce("f.end_line", "f.line") >= F.col("s.start_line")]
-    return f.join(s, overlap, "left_semi")
+    return touching(findings, scope, F.col("line"), F.coalesce("end_line", "line"))
 
 
 def first_of_each(findings: DataFrame, key: list[str] = ("rule_id", "path", "line"), order: list[str] = ("seq",)) -> DataFrame:

@@ -79,90 +79,23 @@ def family(path: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), extension(path))
 
 
-#: Files with patterns of paths that are no part of a project (fixed values).
-IGNORE_FILES = [".gitignore", ".ignore"]
-
-
-def ignore_rules(text: str, folder: str = "") -> list[tuple[str, bool]]:
-    """(pattern of whole paths, whether what matches is ignored) of an ignore file in ``folder``, in order; the last that matches counts."""
-    out = []
-    for line in text.splitlines():
-        line = re.sub(r"(?<!\\)\s+$", "", line)
-        if not line or line.startswith("#"):
-            continue
-        keep = line.startswith("!")
-        glob = line[keep:].removeprefix("\\")
-        inside = glob.endswith("/")  # a folder and what it holds
-        glob = glob.rstrip("/")
-        anchored = "/" in glob
-        glob = glob.removeprefix("/")
-        body = ""
-        for part in re.findall(r"\*\*/|/\*\*$|\*\*|\*|\?|\[!?[^\]]+\]|\\.|[^*?\[\\]+|.", glob):
-            body += {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or ("[^" + part[2:] if part.startswith("[!") else part if part.startswith("[") and part.endswith("]") else re.escape(part[1:] if part.startswith("\\") else part))
-        head = re.escape(folder + "/") if folder else ""
-        out.append((f"^{head}{'' if anchored else '(?:.*/)?'}{body}{'/.*' if inside else '(?:/.*)?'}$", not keep))
-    return out
-
-
-def is_ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
-    out = F.lit(False)
-    for pattern, ignored in rules:
-        out = F.when(path.rlike(pattern), F.lit(ignored)).otherwise(out)
-    return out
-
-
-def _hidden(spark: SparkSession, root: str, max_bytes: int) -> list[tuple]:
-    """(path, length, content) of the files that Spark's listing always leaves out: names with a dot or underscore first.
-
-    No reader of Spark takes these, so settings and sources among them are read
-    here, through the same file system; what no predicate wants isn't opened.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = path.toUri().getPath().rstrip("/")
-    found, walk = [], fs.listFiles(path, True)
-    while walk.hasNext():
-        status = walk.next()
-        name = status.getPath().toUri().getPath()
-        parts = name[len(base) + 1 :].split("/")
-        low = parts[-1].lower()
-        wanted = low in IGNORE_FILES or low.startswith(".env") or low == "dockerfile" or low.rpartition(".")[2] in {*CONFIG_EXTENSIONS, *SOURCE_EXTENSIONS}
-        if wanted and any(p[0] in "._" for p in parts) and not set(parts) & set(EXCLUDED_DIRS) and status.getLen() <= max_bytes:
-            stream = fs.open(status.getPath())
-            try:
-                found.append((name, status.getLen(), bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-            finally:
-                stream.close()
-    return found
-
-
-def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, include_tests: bool = False, extra_excludes: list[str] | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """files(path, ext, length, content, is_test, kind) under ``root``.
-
-    Paths are relative to the root and predicates see only them.  The size
-    filter reaches the scan, so larger contents aren't read; files that aren't
-    UTF-8 are skipped, as are those that an ignore file above them names.  ``paths`` (path) narrows the scan; an empty one scans nothing.
+def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, include_tests: bool = False, extra_excludes: list[str] | None = None, paths: DataFrame | None = None, ignore: str = "") -> DataFrame:
+    """files(path, ext, length, content, is_test, kind) under ``root``; paths are relative to it and predicates see only them.
+
+    Larger files and those that aren't UTF-8 are left out, as are those that an
+    ignore file above them, the project's exclude file or ``ignore`` (rules of
+    all projects) names.  ``paths`` (path) are read instead, whatever ignore files say; an empty one scans nothing.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes).select("path", "length", "content")
-    base = root.rstrip("/")
-    hidden = _hidden(spark, root, max_bytes)
-    ignore = sorted((p.removeprefix(base).strip("/"), bytes(c).decode("utf-8", "replace")) for p, _, c in hidden if p.rpartition("/")[2] in IGNORE_FILES)
-    rules = [r for p, text in sorted(ignore, key=lambda x: (x[0].count("/"), x[0])) for r in ignore_rules(text, p.rpartition("/")[0])]
-    if hidden:
-        raw = raw.unionByName(spark.createDataFrame(hidden, "path string, length long, content binary"))
-    files = raw.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^\\Q{base}\\E/", "").alias("path"), "length", "content")
-    files = files.where(~is_excluded(F.col("path")) & (is_source(F.col("path")) | is_secret_text(F.col("path"))))
-    files = files.where(~is_ignored(F.col("path"), rules))
-    for part in extra_excludes or []:
-        files = files.where(~F.contains("path", F.lit(part)))
-    files = files.withColumn("is_test", is_test_path(F.col("path")))
-    if not include_tests:
-        files = files.where("NOT is_test")
-    if paths is not None:
-        files = files.join(paths.select(T.portable_path(F.col("path")).alias("path")).distinct(), "path", "left_semi")
-    files = files.where(F.is_valid_utf8(F.col("content").cast("string")))
-    kind = F.when(extension(F.col("path")).isin("vue", "svelte", "astro"), "component").when(extension(F.col("path")) == "sql", "sql").when(is_source(F.col("path")), "code").otherwise("secret_text")
-    return files.select("path", extension(F.col("path")).alias("ext"), "length", F.col("content").cast("string").alias("content"), "is_test", kind.alias("kind"))
+    from . import project
+
+    wanted = project.Wanted(max_bytes, include_tests, tuple(extra_excludes or ()))
+    if paths is None:
+        files = project.load(spark, root, wanted, ignore)
+    else:
+        files = project.load_paths(root, paths.select(T.portable_path(F.col("path"), root.rstrip("/")).alias("path")), wanted)
+    path = F.col("path")
+    kind = F.when(extension(path).isin("vue", "svelte", "astro"), "component").when(extension(path) == "sql", "sql").when(is_source(path), "code").otherwise("secret_text")
+    return files.select("path", extension(path).alias("ext"), "length", "content", is_test_path(path).alias("is_test"), kind.alias("kind"))
 
 
 def lines(files: DataFrame, text: str = "content", *keys: str) -> DataFrame:

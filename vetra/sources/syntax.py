@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lexer
 from .files import extension, family, is_source, masked_frontmatter, masked_script
 
 NODES = (
@@ -42,6 +43,11 @@ WORDED = {
 BRACKETED = {"r": "#", "hcl": "#|//", "elixir": "#", "erlang": "%"}
 
 
+#: Languages whose ``case`` counts as a branch, and those whose conditional expression does (fixed values).
+CASES = {"javascript", "c", "cpp", "php"}
+CONDITIONALS = {"c", "cpp", "csharp", "php", "dart"}
+
+
 class Node:
     __slots__ = ("kind", "name", "argument", "literal", "size", "start", "end", "line", "end_line", "bounded", "in_return", "text", "loop")
 
@@ -50,6 +56,12 @@ class Node:
         self.name, self.argument, self.literal, self.size, self.bounded, self.in_return, self.text, self.loop = name, argument, literal, size, bounded, in_return, text, loop
 
 
+def taken(text: str) -> bool:
+    """Whether the first ``.take(`` of a loop's text has a number: its rounds don't grow with the data."""
+    found = re.search(r"\.take\(([^)]*)\)", text)
+    return bool(found and re.fullmatch(r"[0-9]+", found[1]))
+
+
 def terminal(name: str) -> str:
     parts = [p for p in re.split(r"[.:>]", name) if p]
     return parts[-1] if parts else ""
@@ -84,8 +96,11 @@ def python_nodes(source: str) -> list[Node]:
         elif isinstance(n, ast.For | ast.AsyncFor | ast.While):
             it = getattr(n, "iter", None)
             fixed = isinstance(it, ast.Call) and terminal(text(it.func)) == "range" and it.args and all(isinstance(a, ast.Constant) and isinstance(a.value, int) for a in it.args)
-            add(n, "loop", bounded=bool(fixed), loop=True)
+            add(n, "loop", bounded=bool(fixed) or taken(text(n)), loop=True)
             add(n, "branch")
+        elif isinstance(n, ast.ListComp | ast.SetComp | ast.DictComp | ast.GeneratorExp):
+            # its element, conditions and sources all run in it; a comprehension is one loop, however many clauses it has
+            add(n, "loop", bounded=taken(text(n)), loop=True)
         elif isinstance(n, ast.If | ast.IfExp | ast.match_case):
             if isinstance(n, ast.match_case):
                 n.lineno, n.col_offset, n.end_lineno, n.end_col_offset = n.pattern.lineno, n.pattern.col_offset, n.body[-1].end_lineno, n.body[-1].end_col_offset
@@ -111,21 +126,12 @@ def python_nodes(source: str) -> list[Node]:
 
 # ---- braces ------------------------------------------------------------------------
 
-_TOKEN = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>\d[\w.]*)|(?P<word>[A-Za-z_$][\w$]*!?(?=\()|[A-Za-z_$][\w$]*)|(?P<space>\s+)|(?P<mark>=>|::|->|:=|\?\.|[=!<>]=+|.)",
-    re.S,
-)
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 _NO_CALL = {"if", "for", "while", "switch", "catch", "match", "return", "function", "fn", "func", "loop", "do", "else", "await", "new", "typeof", "in", "of", "import", "super"}
 
 
 def braced_nodes(source: str, lang: str) -> list[Node]:
-    toks = []  # kind, text, start, end, line
-    line = 1
-    for m in _TOKEN.finditer(source):
-        if m.lastgroup not in ("space", "comment"):
-            toks.append((m.lastgroup, m[0], m.start(), m.end(), line))
-        line += m[0].count("\n")
+    toks = lexer.tokens(source, lang)
     pair, stack = {}, []
     for i, (kind, t, *_) in enumerate(toks):
         if kind == "mark" and t in _OPEN:
@@ -136,6 +142,7 @@ def braced_nodes(source: str, lang: str) -> list[Node]:
             pair[stack.pop()] = i
     if stack:
         raise SyntaxError("brackets don't match")
+    opener = {j: i for i, j in pair.items()}
     out: list[Node] = []
     n = len(toks)
 
@@ -176,10 +183,14 @@ def braced_nodes(source: str, lang: str) -> list[Node]:
         elif kind == "word" and before != ".":
             if t in ("for", "while", "loop", "foreach") and after != ":":
                 end = body_end(i)
-                text = source[toks[i][2] : toks[end][3]]
-                node("loop", i, end, loop=True, bounded=bool(re.search(r"\.take\(\d+\)", text)))
+                if t == "while" and before == "}" and toks[opener[i - 1] - 1][1] in ("do", "repeat"):
+                    continue  # the end of another loop
+                node("loop", i, end, loop=True, bounded=taken(source[toks[i][2] : toks[end][3]]))
                 node("branch", i, end)
-            elif t in ("if", "case", "do"):
+            elif t == "do" and after == "{" or t == "repeat" and lang == "swift" and after == "{":
+                node("loop", i, pair[i + 1], loop=True, bounded=taken(source[toks[i][2] : toks[pair[i + 1]][3]]))
+                node("branch", i, pair[i + 1])
+            elif t == "if" or t == "case" and lang in CASES:
                 node("branch", i, body_end(i))
             elif t == "catch":
                 end = body_end(i)
@@ -218,12 +229,18 @@ def braced_nodes(source: str, lang: str) -> list[Node]:
                 if j + 1 < n and toks[j + 1][1] in ("=", ":=") and before not in (".", "::"):
                     end = statement_end(j + 2) if j + 2 < n else j + 1
                     node("assign", i, end, name=source[toks[i][2] : toks[j][3]], argument=source[toks[j + 1][3] : toks[end][3]].strip())
-        elif kind == "mark" and t == "." and before in (")", "]") and i + 2 < n and toks[i + 1][0] == "word":
+        elif kind == "mark" and t == "." and i and (before in (")", "]") or toks[i - 1][0] == "string") and i + 2 < n and toks[i + 1][0] == "word":
             j = i + 1
             while j + 2 < n and toks[j + 1][1] == "." and toks[j + 2][0] == "word":
                 j += 2
             if j + 1 < n and toks[j + 1][1] == "(":
                 _call(node, toks, pair, source, i + 1, j + 1, pair[j + 1], source[toks[i + 1][2] : toks[j][3]], lang)
+        elif kind == "mark" and t == "?" and lang in CONDITIONALS and before not in ("(", "[", "{", ",", ";"):
+            k = i + 1
+            while k < n and toks[k][1] not in (":", ";", ",", ")", "]", "}"):
+                k = pair.get(k, k) + 1
+            if k < n and toks[k][1] == ":" and k > i + 1:
+                node("branch", i - 1, k)
         elif kind == "mark" and t == "=>" and lang == "rust":
             node("branch", max(0, i - 1), i)
         elif kind == "mark" and t in "[{" and before in ("=", "(", ",", ":", "return", "["):
