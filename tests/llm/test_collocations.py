@@ -61,7 +61,7 @@ def test_no_rows(spark):
 
 
 def test_joined_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(collocations, "BROADCAST_BYTES", 0)
     docs = frame(spark)
     assert _got(collocations.collocations(docs, 4, 3)) == _brute(docs.collect(), 4, 3, 100, 2000)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import shuffle_width, small, table, texts, workers_import, written
+from .frames import shuffle_width, table, texts, workers_import, written
 
 #: Least occurrences of a phrase, and most words.
 LEAST = 100
@@ -39,8 +39,8 @@ SLICE = 1 << 16
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 26
 #: Bytes of a packed input for each bucket: some 15 words, so a bucket gets a few dozen phrases at most unless its own are frequent.
 BUCKET_BYTES = 64
-#: Rows (a phrase and a number) that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Bytes of phrases and numbers that are broadcast at most.
+BROADCAST_BYTES = 8 << 20
 
 U = np.uint64
 _HASHED = "array<struct<slice:int,at:binary,n:binary>>"
@@ -276,15 +276,21 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bucket
     return out, totals
 
 
+def light(rows: DataFrame, text: str) -> DataFrame:
+    """Marked for broadcast if the texts of the column and 48 bytes for each row come to BROADCAST_BYTES at most, else as it is."""
+    size = rows.agg(F.sum(F.octet_length(text) + 48)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
 def scored(phrases: DataFrame, totals: DataFrame, inside: int = INSIDE) -> DataFrame:
     """lang, phrase, a, l, r, n, score of the phrases of two words or more that no longer one with ``inside`` hundredths of their occurrences holds."""
     words = F.split("phrase", " ")
     part = lambda a, n: F.array_join(F.slice(words, a, n), " ")
     many = phrases.where("k > 1")
     cuts = many.withColumn("cut", F.explode(F.expr("sequence(1, k - 1)"))).select("lang", "phrase", "a", "cut", part(F.lit(1), F.col("cut")).alias("first"), part(F.col("cut") + 1, F.size(words)).alias("rest"))
-    known = small(phrases.select("lang", "phrase", "a"), BROADCAST_ROWS)
+    known = light(phrases.select("lang", "phrase", "a"), "phrase")
     c = cuts.join(known.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l")), ["lang", "first"]).join(known.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"])
-    c = c.join(small(totals, BROADCAST_ROWS), "lang")
+    c = c.join(light(totals, "lang"), "lang")
     whole = "CAST({} AS decimal(19,0))".format
     score = F.expr(f"(CAST(1000 AS decimal(4,0)) * {whole('a')} * {whole('n')}) div ({whole('l')} * {whole('r')})")
     weakest = c.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "l", "r", "a", "n")).alias("w"))
@@ -315,3 +321,19 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, in
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = {
+    "op13_collocations": r"""WITH pc AS (SELECT row_number() OVER () AS piece, lang, words FROM (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) a) b WHERE len(words) > 0),
+tot AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pc GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM (SELECT lang, words, unnest([1, 2, 3, 4, 5]) AS k FROM pc) x WHERE len(words) >= k) y),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+cut AS (SELECT lang, phrase, a, k, j, array_to_string(string_split(phrase, ' ')[:j], ' ') AS one, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) x),
+sc AS (SELECT cut.*, x.a AS l, y.a AS r, tot.n, CAST(1000 * CAST(cut.a AS HUGEINT) * tot.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two JOIN tot ON tot.lang = cut.lang),
+w AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM sc),
+ok AS (SELECT * FROM w WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.lang = w.lang AND f.k > w.k AND contains(' ' || f.phrase || ' ', ' ' || w.phrase || ' ') AND f.a >= w.a)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ok)
+SELECT lang, rank, phrase, a, l, r, n, score FROM rk WHERE rank <= 2000"""
+}
