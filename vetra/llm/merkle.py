@@ -261,3 +261,28 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fanout: int = FANO
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return manifest(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+_FRAMED = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in FIELDS)
+_FRAMED_OTHER = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ["doc_id", "source", "lang", "(n_chars + 1)", "text"])
+#: All levels of the trees as rows, the way of each leaf as joins on its index at each level; crc32 bit by bit over the digits.
+ORACLE_SQL = {
+    "op12_merkle": f"""WITH RECURSIVE lf AS (SELECT doc_id, lang, n_chars, sha256({_FRAMED}) AS leaf, sha256({_FRAMED_OTHER}) AS other FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, 8 * len(CAST(doc_id AS VARCHAR))), lambda i: CAST(CASE WHEN i % 8 = 0 THEN ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1]) ELSE 0 END AS BIGINT))),
+  lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(xor(c, x) >> 1, 3988292384) ELSE xor(c, x) >> 1 END), 4294967295) AS crc FROM documents WHERE doc_id IS NOT NULL),
+pl AS (SELECT lf.*, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, coalesce(crc % 7 = 0, false) AND n_chars IS NOT NULL AS bad FROM lf LEFT JOIN crc USING (doc_id)),
+low(tree, lv, i, d, n) AS (SELECT tree, 0, i, leaf, count(*) OVER (PARTITION BY tree) FROM pl
+  UNION ALL SELECT tree, lv + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, lv, i // 2),
+sub AS (SELECT tree, d AS subroot FROM low WHERE n = 1),
+high(lv, i, d, n) AS (SELECT 0, tree - 1, subroot, count(*) OVER () FROM sub UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY lv, i // 2),
+top AS (SELECT d AS root FROM high WHERE n = 1),
+mine AS (SELECT doc_id, tree, i, leaf, CASE WHEN bad THEN other ELSE leaf END AS start, unnest(range(0, 64)) AS lv FROM pl),
+st AS (SELECT m.tree, m.i, m.lv, CAST(low.i AS BIGINT) AS own, sib.d AS sibling FROM mine m JOIN low ON low.tree = m.tree AND low.lv = m.lv AND low.i = m.i >> CAST(m.lv AS INTEGER) AND low.n > 1 LEFT JOIN low sib ON sib.tree = low.tree AND sib.lv = low.lv AND sib.i = xor(CAST(low.i AS BIGINT), 1)
+  UNION ALL SELECT p.tree, p.i, 100 + h.lv, CAST(h.i AS BIGINT), sib.d FROM pl p JOIN high h ON h.i = (p.tree - 1) >> CAST(h.lv AS INTEGER) AND h.n > 1 LEFT JOIN high sib ON sib.lv = h.lv AND sib.i = xor(CAST(h.i AS BIGINT), 1)),
+sq AS (SELECT *, row_number() OVER (PARTITION BY tree, i ORDER BY lv) AS k FROM st),
+pf AS (SELECT tree, i, sha256(coalesce(string_agg(sibling, '' ORDER BY lv), '')) AS proof FROM sq GROUP BY tree, i),
+fo(tree, i, k, d) AS (SELECT tree, i, 0, CASE WHEN bad THEN other ELSE leaf END FROM pl
+  UNION ALL SELECT fo.tree, fo.i, fo.k + 1, sha256(CASE WHEN own % 2 = 1 THEN coalesce(sibling, '') || d ELSE d || coalesce(sibling, '') END) FROM fo JOIN sq ON sq.tree = fo.tree AND sq.i = fo.i AND sq.k = fo.k + 1),
+en AS (SELECT tree, i, arg_max(d, k) AS folded_root FROM fo GROUP BY tree, i)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM pl JOIN sub USING (tree) JOIN en USING (tree, i) LEFT JOIN pf USING (tree, i) CROSS JOIN top"""
+}

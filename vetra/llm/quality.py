@@ -181,3 +181,29 @@ def judged(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLE_SQL = {
+    "op11_quality": r"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t) x),
+twice AS (SELECT doc_id, win FROM win GROUP BY doc_id, win HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 5)) AS k FROM win SEMI JOIN twice USING (doc_id, win)) x GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(dup.lines, 0) AS n_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+m AS (SELECT doc_id, lang, source, unnest(['symbols', 'lines', 'repeats', 'length', 'words']) AS metric,
+  unnest([1000 * n_symbols // n_words, 1000 * n_dup_lines // n_lines, 1000 * n_repeat_words // n_words, 100 * word_chars // n_words, n_words]) AS v FROM b WHERE NOT base_failed),
+k AS (SELECT *, v - v % (CAST(1 AS BIGINT) << CAST(greatest(length(bin(v)) - 7, 0) AS INTEGER)) AS bucket FROM m),
+lv AS (SELECT 1 AS level, lang, source, metric, bucket FROM k UNION ALL SELECT 2, lang, NULL, metric, bucket FROM k UNION ALL SELECT 3, NULL, NULL, metric, bucket FROM k),
+sk AS (SELECT level, lang, source, metric, bucket, count(*) AS n FROM lv GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM sk),
+q AS (SELECT level, lang, source, metric, max(total) AS n, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM run GROUP BY ALL),
+li AS (SELECT level, lang, source, metric, CASE metric WHEN 'words' THEN (q1 + 63) // 64 WHEN 'length' THEN q1 - 3 * greatest(q3 - q1, 50) END AS low,
+  CASE metric WHEN 'symbols' THEN q3 + 3 * greatest(q3 - q1, 50) WHEN 'lines' THEN q3 + 3 * greatest(q3 - q1, 200) WHEN 'repeats' THEN q3 + 3 * greatest(q3 - q1, 100) WHEN 'length' THEN q3 + 3 * greatest(q3 - q1, 50) END AS high FROM q WHERE n >= 100),
+best AS (SELECT m.doc_id, m.metric, m.v, arg_min(li.low, level) FILTER (level IS NOT NULL AND (m.metric = 'words' OR m.metric = 'length')) AS low, arg_min(li.high, level) FILTER (m.metric <> 'words') AS high FROM m
+  LEFT JOIN li ON li.metric = m.metric AND ((level = 1 AND li.lang IS NOT DISTINCT FROM m.lang AND li.source IS NOT DISTINCT FROM m.source) OR (level = 2 AND li.lang IS NOT DISTINCT FROM m.lang) OR level = 3) GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM best WHERE v < low OR v > high)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
+}
