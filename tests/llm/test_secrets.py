@@ -87,6 +87,24 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert not any(got[len(good) :])
 
 
+def test_the_battery_decides(spark, monkeypatch):
+    """What is no text but not random either goes by the battery alone: without it half of it is reported (the rest fits no key alphabet or reads like text)."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(31)
+    odd = {
+        "period": lambda: (some(rnd, secrets.ALPHABETS["base36"], 5) * 8)[:40], "few symbols": lambda: some(rnd, some(rnd, "bcdfgh", 2) + some(rnd, "0123456789", 3), 40), "steps": lambda: "".join(secrets.ALPHABETS["base62"][(i + k) % 62] for k in [rnd.randrange(62)] for i in range(40)),
+        "halves": lambda: some(rnd, "0123456789", 20) + some(rnd, "qrstuvwxyz", 20), "turns": lambda: "".join(rnd.choice("01234567") + rnd.choice("stuvwxyz") for _ in range(20)),
+    }
+    tokens = [(k, make()) for k, make in odd.items() for _ in range(30)] + [("key", some(rnd, secrets.ALPHABETS["base62"], 40)) for _ in range(60)] + [("key", some(rnd, secrets.ALPHABETS["base36"], 40)) for _ in range(60)]
+    got = among_text(spark, [t for _, t in tokens])
+    of = lambda kind: [bool(g) for (k, _), g in zip(tokens, got) if (k == "key") == kind]
+    assert sum(of(True)) >= 0.9 * len(of(True)) and sum(of(False)) <= 0.05 * len(of(False))
+    monkeypatch.setattr(secrets, "battery", lambda token, name: F.lit(1.0))
+    got = among_text(spark, [t for _, t in tokens])
+    assert sum(of(False)) >= 0.4 * len(of(False))
+
+
 WORDS = "user account handler order message queue string buffer factory parser token index value table column window stream session number create update delete select request response error system config render".split()
 
 
@@ -161,7 +179,7 @@ def test_battery_and_surprise_against_scalar_code(spark):
 def test_false_discovery_control_against_scalar_code(spark):
     rnd = random.Random(4)
     bins = {s: [max(0, int(rnd.gauss(m, 12))) for _ in range(n)] for s, m, n in (("a", 10, 200), ("b", 40, 30), ("c", 0, 5))}
-    df = spark.createDataFrame([(i, [(0, 1, s, b, 0.5)]) for s, own in bins.items() for i, b in enumerate(own)], "doc_id int, tokens array<struct<start:int,end:int,stratum:string,bin:int,p:double>>")
+    df = spark.createDataFrame([(i, [(0, 1, s, b)]) for s, own in bins.items() for i, b in enumerate(own)], "doc_id int, tokens array<struct<start:int,end:int,stratum:string,bin:int>>")
     want = {}
     for s, own in bins.items():
         ps = sorted((10 ** (-b / secrets.PER_DECADE), b) for b in own)

@@ -29,10 +29,10 @@ TOKEN = f"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}"
 GROUPED = "^[0-9A-Fa-f]{8}(?:[-_][0-9A-Fa-f]{4}){3}[-_][0-9A-Fa-f]{12}$|" + "|".join(f"^{c}{{{n}}}(?:[-_]{c}{{{n}}}){{3,}}$" for n in range(4, 13) for c in ("[a-z0-9]", "[A-Z0-9]"))
 #: What goes from other tokens with marks inside: parts of letters only (prefixes, words), and the marks.
 NO_KEY = "(?<![A-Za-z0-9])[A-Za-z]+(?![A-Za-z0-9])|[-_/+]+"
-#: Level of the false-discovery control: the share of text among the runs reported.
+#: Level of the false-discovery control: the share of random keys among the runs that the battery calls structured.
 LEVEL = 0.05
-#: A run whose randomness the battery rejects at this level is structured.
-ODD = 0.001
+#: Powers of ten by which a run has to be likelier as a key than as text to be tested at all.
+NO_TEXT = 3.0
 #: Symbols of the model of text: what isn't a letter or digit is a blank.
 SYMBOLS = " abcdefghijklmnopqrstuvwxyz0123456789"
 #: What is added to each count of a pair, and the least chances of a digit after a digit and after another symbol.
@@ -251,9 +251,9 @@ def _stratum(name: Column, token: Column) -> Column:
 
 
 def candidates(text: Column, table_: Column) -> Column:
-    """Array of (start, end, stratum, bin, p) of the tokens in some encoding, or with a :func:`core` in one.
+    """Array of (start, end, stratum, bin) of the tokens in some encoding, or with a :func:`core` in one, that are no text.
 
-    ``bin`` is the surprise over text in steps of 1 / PER_DECADE, ``p`` the battery's p-value.
+    ``bin`` is the battery's p-value, as a power of ten in steps of 1 / PER_DECADE.
     """
 
     def judged(token: Column, label: Column) -> Column:
@@ -262,9 +262,9 @@ def candidates(text: Column, table_: Column) -> Column:
 
     def one(x: Column) -> Column:
         def named(key: Column) -> Column:
-            p = battery(key["token"], key["name"])
-            bin_ = F.least(F.floor(surprise(key["token"], key["name"], table_) * PER_DECADE).cast("int"), F.lit(LAST_BIN))
-            return F.when(key.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(key["label"], key["token"]).alias("stratum"), bin_.alias("bin"), p.alias("p")))
+            odd = let(battery(key["token"], key["name"]), lambda p: F.when(p > 0, F.least(F.floor(-F.log10(p) * PER_DECADE).cast("int"), F.lit(LAST_BIN))).otherwise(LAST_BIN))
+            other = surprise(key["token"], key["name"], table_) >= NO_TEXT
+            return F.when(key.isNotNull() & other, F.struct(x["start"].alias("start"), x["end"].alias("end"), _stratum(key["label"], key["token"]).alias("stratum"), odd.alias("bin")))
 
         parts = F.when(x["token"].rlike("[-_/+]"), let(core(x["token"]), lambda c: F.when(F.char_length(c) >= LEAST_TOKEN, judged(c, F.lit("parts:")))))
         return let(F.coalesce(judged(x["token"], F.lit("")), parts), named)
@@ -283,13 +283,13 @@ def found(docs: DataFrame, table_: list[float], keep: tuple[str, ...] = ()) -> D
         may = reduce(Column.__or__, (F.contains("vetra_low", F.lit(w)) for w in WORDS[kind])) if kind in WORDS else F.lit(True)
         spans = F.transform(matches(text, pattern, inner, least), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
         cols.append(F.when(may & text.rlike(quick), spans).otherwise(none).alias(kind))
-    nobody = F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:string,bin:int,p:double>>)")
+    nobody = F.expr("CAST(array() AS array<struct<start:int,end:int,stratum:string,bin:int>>)")
     likely = text.rlike(TOKEN) & text.rlike("[0-9]")
     return docs.select("doc_id", *keep, *cols, F.when(likely, candidates(text, F.array(*(F.lit(x) for x in table_)))).otherwise(nobody).alias("tokens"))
 
 
 def discovered(tokens: DataFrame, level: float) -> dict[str, int]:
-    """Benjamini-Hochberg in each stratum: the least bin whose tokens aren't text.
+    """Benjamini-Hochberg on the battery's p-values in each stratum: the least bin whose tokens are structured.
 
     p-values are rounded up to the edges of their bins; what comes to the
     driver is one row for a stratum (nine alphabets, whole or in parts, bands of doubling length).
@@ -309,12 +309,12 @@ def scan(docs: DataFrame, level: float = LEVEL, keep: tuple[str, ...] = ()) -> D
     LEAST_TOKEN or more of ``[A-Za-z0-9+/_-]`` outside those matches that fit an
     encoding (hexadecimal, base 32, 36, 62 or 64, with digits and letters), or
     whose parts between ``+/_-`` do, less those of letters only if LEAST_TOKEN
-    characters are left (UUIDs, groups, keys behind a prefix).  Such a run is
-    reported if it isn't text and is random.  Not text: its :func:`surprise`
-    over the corpus's own words is a discovery at false-discovery ``level``
-    among the runs of one encoding and length band of the whole table, so of
-    the runs reported at most that share is expected to be text.  Random: none
-    of the battery's tests rejects independent, uniform symbols at ODD.
+    characters are left (UUIDs, groups, keys behind a prefix).  Runs that the
+    corpus's own words explain (see :func:`surprise`) aren't tested.  Of the
+    others, those are reported whose randomness the battery doesn't reject.
+    What it rejects is decided by Benjamini-Hochberg at ``level`` over the
+    p-values of all runs of one encoding and length band of the whole table: of
+    the runs called structured, at most that share is expected to be random keys, however many runs are tested.
 
     Offsets are code points, ends exclusive.  A null text is empty.  Rows with
     null or repeated doc_id stay; nothing but counts of words, pairs of symbols and bins is shuffled.
@@ -325,11 +325,11 @@ def scan(docs: DataFrame, level: float = LEVEL, keep: tuple[str, ...] = ()) -> D
     cut = discovered(rows, level)
     if cut:
         least = F.create_map(*(F.lit(x) for pair in sorted(cut.items()) for x in pair))
-        no_text = lambda t: F.coalesce(t["bin"] >= F.try_element_at(least, t["stratum"]), F.lit(False))
+        structured = lambda t: F.coalesce(t["bin"] >= F.try_element_at(least, t["stratum"]), F.lit(False))
     else:
-        no_text = lambda t: F.lit(False)
+        structured = lambda t: F.lit(False)
     taken = lambda t: reduce(Column.__or__, (touches(F.col(k), t["start"], t["end"]) for k in PATTERNS))
-    random = F.transform(F.filter("tokens", lambda t: no_text(t) & (t["p"] > ODD) & ~taken(t)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    random = F.transform(F.filter("tokens", lambda t: ~structured(t) & ~taken(t)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return rows.select("doc_id", *keep, *PATTERNS, random.alias("random"))
 
 
