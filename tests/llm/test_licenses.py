@@ -22,7 +22,7 @@ def scan(spark, *texts):
 def test_every_sentence_has_a_hint_and_is_normal():
     for s in licenses.SENTENCES:
         assert re.search(licenses.hints(licenses.SENTENCES), s), s
-        assert re.fullmatch(r"[a-z0-9.]+( [a-z0-9.]+)*", s) and not re.search(r"[.](?= |$)(?<!v[.])", s), s
+        assert re.fullmatch(r"([a-z0-9.]+|[*])( ([a-z0-9.]+|[*]))*", s) and not re.search(r"[.](?= |$)(?<!v[.])", s), s
     assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
 
 
@@ -95,3 +95,38 @@ def test_sentences_and_rules_of_the_caller(spark):
     docs = frame(spark, [(1, "Use is allowed for anyone.", None, None, 0), (2, "1 2 x", None, None, 0)])
     got = {r.doc_id: r.licenses for r in licenses.scan(docs, {"use is allowed for anyone": "x", "1 2 x": "y"}, [("Own", ["x"]), ("Two", ["y"])]).collect()}
     assert got == {1: "Own", 2: "Two"}
+
+
+NAMED_BSD = BSD + """
+
+3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+APACHE_TEXT = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+
+
+def test_a_holder_may_have_any_name(spark):
+    names = ["the copyright holder", "Foo Inc.", "the University of X, its Regents", "Foo"]
+    got = scan(spark, *(NAMED_BSD.format(n) for n in names), NAMED_BSD.format("x " * 40))
+    assert [r.licenses for r in got] == ["BSD-3-Clause"] * 4 + ["BSD-2-Clause"]
+
+
+def test_whole_apache_text(spark):
+    (r,) = scan(spark, APACHE_TEXT)
+    assert (r.licenses, r.n_matches) == ("Apache-2.0", 1) and r.sequence.startswith("<apache2-title><apache2-terms>")
+
+
+def test_expressions_of_tags(spark):
+    tag = "// SPDX-License-Identifier: "
+    said = ["MIT", "(MIT OR Apache-2.0)", "GPL-2.0+", "GPL-2.0-only WITH Classpath-exception-2.0", "MIT AND (ISC OR BSD-3-Clause)", "GPL-3.0", "MIT or words of no licence", "Nothing-1.0"]
+    got = scan(spark, *(f"{tag}{x}\nint main() {{ this or that with care }}\n" for x in said))
+    assert [set(r.licenses.split(",")) - {""} for r in got] == [{"MIT"}, {"MIT", "Apache-2.0"}, {"GPL-2.0-or-later"}, {"GPL-2.0-only"}, {"MIT", "ISC", "BSD-3-Clause"}, {"GPL-3.0-only"}, {"MIT"}, set()]

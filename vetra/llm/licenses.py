@@ -26,6 +26,8 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
@@ -100,6 +102,11 @@ for _name, _forms in NAMED.items():
 for _name in [*NAMED, *TAGGED]:
     SENTENCES.setdefault(f"spdx license identifier {_plain(_name)}", f"name:{_name}")
 
+#: Tags of former versions of the list, and what they mean now.
+FORMER = {"GPL-3.0": "GPL-3.0-only", "GPL-2.0": "GPL-2.0-only", "LGPL-3.0": "LGPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "AGPL-3.0": "AGPL-3.0-only"}
+for _old, _name in FORMER.items():
+    SENTENCES.setdefault(f"spdx license identifier {_plain(_old)}", f"name:{_name}")
+
 #: Rules in the order they are tried; what one has matched is gone for the later ones.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"]),
@@ -134,6 +141,7 @@ RULES = [
     ("LGPL-2.1-or-later", ["lgpl21-later"]),
     ("LGPL-3.0-or-later", ["lgpl3-later"]),
     ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("Apache-2.0", ["apache2-title", "apache2-terms"]),
     ("Apache-2.0", ["apache2-title"]),
     ("GPL-3.0-only", ["gpl3-title"]),
     ("GPL-2.0-only", ["gpl2-title"]),
@@ -170,6 +178,7 @@ def hints(known: dict[str, str]) -> str:
 
 #: What may stand at the end of a known sentence: the address that its notice names.
 TAILS = {
+    "apache2-title": "https?[ \n](?:www[.])?apache[.]org[ \n]licenses",
     "mpl2-copy": "https?[ \n](?:www[.])?mozilla[.]org[ \n]mpl[ \n]2[.]0",
     "apache2-copy": "https?[ \n](?:www[.])?apache[.]org[ \n]licenses[ \n]license[ \n]2[.]0",
     "epl2-copy": "https?[ \n](?:www[.])?eclipse[.]org[ \n]legal[ \n]epl[ \n]2[.]0",
@@ -180,12 +189,24 @@ TAILS = {
 _WRAP = "\\n[ \\t]*([a-z])"
 _STOP = "([.!?;:])[ \\t]+"
 _MARK = "[^a-z0-9.]+"
+# Words that may stand for ``*`` in a known sentence: a holder's name.
+_SLOT = "[^ \n]+(?:[ \n][^ \n]+){0,15}?"
+_TAG = "spdx-license-identifier:"
+
+
+def _one_tag_each(low: Column) -> Column:
+    """Lower-case text in which a tag with an expression is one tag for each licence of it; ``+`` means later versions, exceptions go."""
+    after = f"(?<={_TAG}[^\n]{{0,500}})[ \\t]+"
+    split = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, "(gpl-[0-9.]+)[+]", "$1-or-later"), f"{after}with[ \\t]+[a-z0-9.-]+", ""), f"{after}(?:or|and)[ \\t]+", f"\n{_TAG} ")
+    return F.when(F.contains(low, F.lit(_TAG)), split).otherwise(low)
 
 
 def sentences(text: Column) -> Column:
     """Array of normalised sentences that aren't empty: lower-case words, digits and inner dots, single blanks."""
+    # a tag ends with its line
+    text = F.when(text.rlike(f"(?i){_TAG}"), F.regexp_replace(text, f"(?i)({_TAG}[^\n]*)\n", "$1\n\n")).otherwise(text)
     low = F.translate(F.regexp_replace(text, _WRAP, " $1"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    whole = F.regexp_replace(low, _STOP, "$1\n")
+    whole = F.regexp_replace(_one_tag_each(low), _STOP, "$1\n")
     parts = F.transform(F.split(whole, "\n"), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, _MARK, " "), "[.]+( |$)", "$1")))
     return F.filter(parts, lambda s: s != "")
 
@@ -202,13 +223,21 @@ def segments(text: Column, known: dict[str, str]) -> Column:
     whatever cut them, the longest sentence first.
     """
     tail = lambda s: f"(?:[ \n]{TAILS[known[s]]})?" if known[s] in TAILS else ""
-    words = lambda s: "[ \n]".join(w.replace(".", "[.]") for w in s.split(" "))
+    words = lambda s: "[ \n]".join(_SLOT if w == "*" else w.replace(".", "[.]") for w in s.split(" "))
     any_of = "|".join(words(s) + tail(s) for s in sorted(known, key=lambda s: (-len(s), s)))
     joined = F.array_join(sentences(text), "\n")
     # anchored to the start of a piece by what was matched before it
     found = F.regexp_extract_all(joined, F.lit(f"(?:^|\n)(?:{_ITEM}({any_of})(?=\n|\\z)|[^\n]+)"), F.lit(1))
     ends = "(" + "|".join(f"[ ]{t.replace('[ \n]', '[ ]')}" for t in TAILS.values()) + ")$"
-    return F.transform(found, lambda s: F.regexp_replace(F.translate(s, "\n", " "), ends, ""))
+
+    def plain(s: Column) -> Column:
+        s = F.regexp_replace(F.translate(s, "\n", " "), ends, "")
+        for slotted in (k for k in known if "*" in k.split(" ")):
+            head, _, rest = slotted.partition("*")
+            s = F.when(F.startswith(s, F.lit(head)) & F.endswith(s, F.lit(rest)), F.coalesce(F.when(s.isin([k for k in known if k.startswith(head)]), s), F.lit(slotted))).otherwise(s)
+        return s
+
+    return F.transform(found, plain)
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
