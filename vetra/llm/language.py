@@ -15,10 +15,11 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from .frames import table, texts, workers_import
 
 #: Bounds of the labelled sample that the dictionaries are cut from: documents
-#: of each language, characters of each document, languages.
+#: of each language and characters of each document.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1500
-MAX_LANGUAGES = 256
+#: Characters of the whole sample that come to the driver: with many languages each has fewer documents, not fewer languages.
+SAMPLE_TOTAL = 24_000_000
 #: Bytes of one language's dictionary.
 DICTIONARY_BYTES = 110_000
 #: A text is compressed in blocks of so many characters, each against every
@@ -52,23 +53,26 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     with a letter and a language.  The sample is the first ``sample_docs``
     rows of a language by a hash of doc_id and text (of the rows whose hash is
     in the lowest SPARE * ``sample_docs`` / count of its range), ``sample_chars``
-    characters from the middle of each, of the MAX_LANGUAGES languages with most
-    rows: a bound on what is shuffled and reaches the driver that doesn't depend
-    on the corpus.  No such row: no dictionary.
+    characters from the middle of each; with more than SAMPLE_TOTAL /
+    (``sample_docs`` * ``sample_chars``) languages, fewer rows of each, one at least.
+    So what is shuffled and reaches the driver doesn't depend on the corpus, and
+    every language of the labels (an enumeration, not data) has a dictionary.
+    No such row: no dictionary.
     """
     train = texts(docs, "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     size = F.length("text")
     excerpt = F.substring("text", F.greatest(F.lit(1), ((size - sample_chars) / 2).cast("int")), F.lit(sample_chars))
     rank = F.xxhash64("doc_id", F.xxhash64("text"))
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return {}
+    sample_docs = max(1, min(sample_docs, SAMPLE_TOTAL // (sample_chars * len(sizes))))
     # a row is in the sample only if its hash is low: what a language has beyond that never leaves its scan
     share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SPARE * sample_docs / r["n"]))))
     low = F.try_element_at(share, F.col("lang"))
     order = W.partitionBy("lang").orderBy("rank", "doc_id", "excerpt")
     picked = train.select("lang", "doc_id", rank.alias("rank"), excerpt.alias("excerpt")).where(((F.col("rank") / F.lit(2.0**64)) + 0.5) <= low)
-    rows = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("n", "lang").limit(sample_docs * MAX_LANGUAGES).collect()
+    rows = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs).orderBy("n", "lang").collect()
     parts: dict[str, list[bytes]] = {}
     for r in rows:
         parts.setdefault(r["lang"], []).append(plain(r["excerpt"]).strip().encode())
@@ -123,8 +127,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     text wins; ties go to the one that comes first in ``dictionaries``.  ``accepted`` is false
     where the relative gap to the second is under ``margin``.  A null or empty
     text, or one without letters, is ``und``, score 0, not accepted.  Repeated
-    rows and null ids stay.  The dictionaries (bounded by DICTIONARY_BYTES and
-    MAX_LANGUAGES) go out with the function.
+    rows and null ids stay.  The dictionaries (DICTIONARY_BYTES each at most) go out with the function.
     """
     return label(texts(docs), dictionaries, margin).drop("text")
 
