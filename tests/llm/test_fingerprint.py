@@ -89,7 +89,7 @@ def test_samples_against_scalar_code(spark):
 
     def uniforms(word, k):
         h = hashes[word, k] & (2**64 - 1)
-        return [((h >> (21 * i) & (2**21 - 1)) + 1) / 2**21 for i in range(3)]
+        return [((h >> (21 * i) & (2**21 - 1)) + 0.5) / 2**21 for i in range(3)]
 
     want = []
     for k in range(samples):

@@ -21,10 +21,10 @@ _UNIT = float(1 << _BITS)
 
 
 def _uniforms(term: Column, k: int) -> list[Column]:
-    """Three uniform numbers in (0, 1] of a term and a sample, from one 64-bit hash."""
+    """Three uniform numbers inside (0, 1) of a term and a sample, from one 64-bit hash."""
     h = F.xxhash64(term, F.lit(k))
     mask = (1 << _BITS) - 1
-    return [(F.shiftrightunsigned(h, _BITS * i).bitwiseAND(F.lit(mask)) + 1).cast("double") / _UNIT for i in range(3)]
+    return [(F.shiftrightunsigned(h, _BITS * i).bitwiseAND(F.lit(mask)).cast("double") + 0.5) / _UNIT for i in range(3)]
 
 
 def sample(term: Column, weight: Column, k: int) -> Column:
