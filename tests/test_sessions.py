@@ -56,6 +56,27 @@ def test_payload_facts(spark):
 
 
 def test_host_decisions(spark):
-    df = spark.createDataFrame([("cursor", "block"), ("other", "block"), ("other", "stop"), ("other", "pass")], "host string, decision string")
-    got = [json.loads(r[0]) if r[0] else None for r in df.select(report.host_decision(F.col("host"), F.col("decision"), F.lit("why"))).collect()]
-    assert got == [{"followup_message": "why"}, {"decision": "block", "reason": "why"}, {"continue": False, "stopReason": "why"}, None]
+    hosts, decisions = ["claude", "cursor", "codex", "antigravity", "openclaw"], ["pass", "block", "stop"]
+    df = spark.createDataFrame([(h, d) for h in hosts for d in decisions], "host string, decision string")
+    got = {(r[0], r[1]): json.loads(r[2]) if r[2] else r[2] for r in df.select("host", "decision", report.host_decision(F.col("host"), F.col("decision"), F.lit("why"))).collect()}
+    block, stop = {"decision": "block", "reason": "why"}, {"continue": False, "stopReason": "why", "systemMessage": "why"}
+    want = {
+        "claude": ["", block, stop], "codex": ["", block, stop], "cursor": [{}, {"followup_message": "why"}, {}],
+        "antigravity": [{"decision": "stop"}, {"decision": "continue", "reason": "why"}, {"decision": "stop", "reason": "why"}], "openclaw": ["", {"action": "revise", "reason": "why"}, {"action": "finalize", "reason": "why"}],
+    }
+    assert got == {(h, d): w for h in hosts for d, w in zip(decisions, want[h])}
+
+
+def test_tasks_take_what_they_should_and_nothing_else():
+    fresh = lambda **body: tasks.step(tasks.Task(), "start", {"objective": "o", **body})
+    task, said = fresh(profile="Design_Review", criteria=["c", "d"], scopes=["b/", "./a", "a"], resources=["URL: http://x/ ", "url:http://x"])
+    assert (said, task.profile, task.scopes, task.resources) == ("started", "design-review", ["a", "b"], ["url:http://x"])
+    assert "criterion" in fresh(profile="design")[1] and "scope" in fresh(scopes=["/abs"])[1] and "scope" in fresh(scopes=["../x"])[1] and "resource" in fresh(resources=["x"])[1]
+    ready = lambda **body: tasks.step(task, "ready", {"evidence": ["e"], "source": "human:x", "criteria": [2, 1], **body})
+    assert ready()[1] == "ready"
+    assert all("error" in ready(**b)[1] for b in ({"criteria": [1]}, {"criteria": [1, 2, 3]}, {"criteria": [0, 1, 2]}, {"evidence": ["e", " "]}, {"evidence": []}, {"source": None}, {"source": "x"}, {"confidence": 101}, {"confidence": -1}, {"artifacts": ["x:y"] * 9}, {"artifacts": ["y"]}))
+    low, _ = tasks.step(tasks.Task(**vars(task)), "ready", {"evidence": ["e"], "source": "human:x", "criteria": [1, 2], "confidence": 5, "artifacts": ["file:a"]})
+    assert (low.status, low.confidence, low.history, low.evidence[0]["artifacts"]) == ("ready", 5, [5], ["file:a"])
+    again, _ = tasks.step(low, "start", {"objective": "p"})
+    assert (again.history, again.confidence) == ([5], None)
+    assert "nothing" in tasks.step(low, "todo", {"add": [" "]})[1] and "no task" in tasks.step(tasks.Task(), "ready", {"evidence": ["e"]})[1]

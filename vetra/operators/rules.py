@@ -241,7 +241,7 @@ def call_graph(nodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame
     return f, inner.select("path", "caller", "terminal", "in_return")
 
 
-def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = (), nodes: DataFrame | None = None) -> DataFrame:
+def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = (), nodes: DataFrame | None = None, include_tests: bool = False) -> DataFrame:
     """All findings of the syntax and lexical rules over files (path, content), before policy.
 
     The node table is made once and written (or given as ``nodes``); every syntax rule is a filter or a
@@ -249,7 +249,7 @@ def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] =
     """
     from ..sources import syntax
 
-    files = files.where(~is_test_path(F.col("path"))).select("path", "content")
+    files = files.select("path", "content") if include_tests else files.where(~is_test_path(F.col("path"))).select("path", "content")
     n = cut(syntax.nodes(files), "nodes") if nodes is None else nodes.join(files.select("path").distinct(), "path", "left_semi")
     marks = cut(symbols(files), "symbols")
     facts = cut(call_facts(n, marks), "calls")

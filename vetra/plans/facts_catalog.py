@@ -111,11 +111,15 @@ def ordered_findings(spark, sf_dir):
     return out.join(F.broadcast(before), "task").select("seq", "rule_id", "path", "line", (F.col("at") + F.col("before") + 1).alias("place"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN CAST(NULL AS VARCHAR) WHEN event_id % 3 = 1 THEN '{"continue":false,"stopReason":"' || event_type || '"}' WHEN event_id % 2 = 0 THEN '{"followup_message":"' || event_type || '"}'
-  ELSE '{"decision":"block","reason":"' || event_type || '"}' END AS answer FROM events""")
+@query("""WITH e AS (SELECT event_id, event_type AS m, ['claude', 'cursor', 'codex', 'antigravity', 'openclaw'][event_id % 5 + 1] AS host, ['block', 'stop', 'pass'][event_id % 3 + 1] AS d FROM events)
+SELECT event_id, CASE host || ' ' || d WHEN 'claude block' THEN '{"decision":"block","reason":"' || m || '"}' WHEN 'codex block' THEN '{"decision":"block","reason":"' || m || '"}' WHEN 'cursor block' THEN '{"followup_message":"' || m || '"}'
+  WHEN 'antigravity block' THEN '{"decision":"continue","reason":"' || m || '"}' WHEN 'openclaw block' THEN '{"action":"revise","reason":"' || m || '"}' WHEN 'cursor stop' THEN '{}' WHEN 'antigravity stop' THEN '{"decision":"stop","reason":"' || m || '"}'
+  WHEN 'openclaw stop' THEN '{"action":"finalize","reason":"' || m || '"}' WHEN 'claude stop' THEN '{"continue":false,"stopReason":"' || m || '","systemMessage":"' || m || '"}' WHEN 'codex stop' THEN '{"continue":false,"stopReason":"' || m || '","systemMessage":"' || m || '"}'
+  WHEN 'cursor pass' THEN '{}' WHEN 'antigravity pass' THEN '{"decision":"stop"}' ELSE '' END AS answer FROM e""")
 def host_answers(spark, sf_dir):
     key = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", report.host_decision(_of(key, "cursor", "other"), _of(key, "block", "stop", "pass"), F.col("event_type")).alias("answer"))
+    host = _of(key, "claude", "cursor", "codex", "antigravity", "openclaw")
+    return table(spark, sf_dir, "events").select("event_id", report.host_decision(host, _of(key, "block", "stop", "pass"), F.col("event_type")).alias("answer"))
 
 
 @query("""SELECT sha256(count(*) || ':' || sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) || ':' || sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT))) AS fingerprint

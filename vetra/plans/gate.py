@@ -42,18 +42,22 @@ def scan(files: DataFrame, config: Config, paths: DataFrame | None = None, scope
     if not config.enabled:
         return spark.createDataFrame([], FINDING)
     path = F.col("path")
-    files = files.select("path", "content").where((F.octet_length("content") <= config.max_file_bytes) & ~sources.is_excluded(path) & ~sources.is_test_path(path))
+    every = files.select("path", "content").where(~sources.is_excluded(path))
+    if not config.include_tests:
+        every = every.where(~sources.is_test_path(path))
     for part in config.extra_excludes:
-        files = files.where(~F.contains("path", F.lit(part)))
+        every = every.where(~F.contains("path", F.lit(part)))
+    files = every.where(F.octet_length("content") <= config.max_file_bytes)
     nodes = cut(syntax.nodes(files), "nodes")
-    found = rules.findings(files, list(config.taint_sources), list(config.trusted_sanitizers), nodes)
+    found = rules.findings(files, list(config.taint_sources), list(config.trusted_sanitizers), nodes, config.include_tests)
     shown = files if paths is None else files.join(paths.select("path").distinct(), "path", "left_semi")
     if paths is not None:
         found = found.join(paths.select("path").distinct(), "path", "left_semi")
     found = policy.suppress(found, policy.suppressions(sources.lines(shown)))
     size = config.duplicate_block_lines
-    code = files.where(sources.is_source(path))
-    focus = None if paths is None else shown.select("path")
+    # repeated lines are looked for in files of any size
+    code = every.where(sources.is_source(path))
+    focus = None if paths is None else paths.select("path")
     same = clones.duplicate_findings(code, "path", "content", size, focus).unionByName(clones.function_findings(clones.functions(nodes, size), size, focus))
     found = found.unionByName(completed(same).select(found.columns))
     return found if scope is None else policy.in_changed_lines(found, scope).select(found.columns)

@@ -75,11 +75,21 @@ def text_report(findings: list, checks: list, summary: dict, name: str = "gate")
 
 
 def host_decision(host: Column, decision: Column, message: Column) -> Column:
-    """A stop decision as each host wants it: JSON with a block, a follow-up or a continuation; null lets it pass."""
-    block = F.to_json(F.struct(F.lit("block").alias("decision"), message.alias("reason")))
-    follow = F.to_json(F.struct(message.alias("followup_message")))
-    stop = F.to_json(F.struct(F.lit(False).alias("continue"), message.alias("stopReason")))
-    return F.when(decision == "block", F.when(host == "cursor", follow).otherwise(block)).when(decision == "stop", stop)
+    """A stop decision (pass, block, stop) as each host wants it; an empty text where a host wants nothing.
+
+    The hosts with forms of their own are cursor, antigravity and openclaw; all others take a block or no continuation as JSON.
+    """
+    json = lambda **parts: F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())))
+    passes = F.when(host == "cursor", "{}").when(host == "antigravity", json(decision=F.lit("stop"))).otherwise("")
+    block = (
+        F.when(host == "cursor", json(followup_message=message)).when(host == "antigravity", json(decision=F.lit("continue"), reason=message))
+        .when(host == "openclaw", json(action=F.lit("revise"), reason=message)).otherwise(json(decision=F.lit("block"), reason=message))
+    )
+    stop = (
+        F.when(host == "cursor", "{}").when(host == "antigravity", json(decision=F.lit("stop"), reason=message)).when(host == "openclaw", json(action=F.lit("finalize"), reason=message))
+        .otherwise(json(**{"continue": F.lit(False), "stopReason": message, "systemMessage": message}))
+    )
+    return F.when(decision == "pass", passes).when(decision == "block", block).when(decision == "stop", stop)
 
 
 #: Paths, resources and declared items that a warning names at most.

@@ -213,19 +213,42 @@ def dependency_names(manifests: DataFrame, key: str, json: str) -> DataFrame:
     return manifests.select(key, F.explode(F.array_distinct(names)).alias("name"))
 
 
+#: Tables of a settings file, their keys and the fields that these set (fixed values of the format).
+SETTINGS = {
+    "": {"version": "version", "mode": "mode"},
+    "project": {"name": "project"},
+    "scan": {k: k for k in ("enabled", "max_file_bytes", "include_tests", "extra_excludes", "duplicate_block_lines", "coverage_report", "taint_sources", "trusted_sanitizers")} | {"min_changed_coverage": "coverage_minimum"},
+    "focus": {"enabled": "focus", "max_retries": "max_retries", "no_progress_limit": "no_progress_limit", "auto_poke": "auto_poke", "max_auto_pokes": "max_auto_pokes", "min_confidence": "minimum_confidence", "min_hill_climbability": "minimum_completeness"},
+    "policies": {"warnings_block": "warnings_block"},
+    "update": {"policy": "update_policy"},
+    # names of this library for the same settings
+    "gate": {k: k for k in ("mode", "warnings_block", "coverage_minimum", "coverage_report")},
+    "loop": {k: k for k in ("max_retries", "no_progress_limit", "max_auto_pokes", "minimum_confidence", "minimum_completeness", "command_timeout_seconds")},
+    "coverage": {k: k for k in ("coverage_minimum", "coverage_report")},
+}
+#: Keys of a command and of a rule, with the kinds of their values (fixed values of the format).
+COMMAND_KEYS = {"name": str, "command": str, "required": bool, "enabled": bool, "timeout_seconds": int}
+RULE_KEYS = {"enabled": bool, "severity": str, "block": bool}
+SEVERITIES = ("info", "warning", "error")
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings with their defaults."""
 
     version: int = 2
+    project: str | None = None
     enabled: bool = True
     mode: str = "focus"
     warnings_block: bool | None = None
     max_file_bytes: int = 1_000_000
+    include_tests: bool = False
     duplicate_block_lines: int = 6
     command_timeout_seconds: int = 600
+    focus: bool = True
     max_retries: int = 3
     no_progress_limit: int = 2
+    auto_poke: bool = True
     max_auto_pokes: int = 3
     minimum_confidence: int = 80
     minimum_completeness: int = 80
@@ -234,21 +257,52 @@ class Config:
     extra_excludes: tuple[str, ...] = ()
     taint_sources: tuple[str, ...] = ()
     trusted_sanitizers: tuple[str, ...] = ()
+    update_policy: str = "auto"
+    commands: tuple = ()
     rules: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.version not in (1, 2):
             raise ValueError(f"unsupported settings version {self.version}")
-        if self.coverage_minimum is not None and (self.coverage_minimum > 100 or not self.coverage_report):
-            raise ValueError("a coverage minimum is at most 100 and needs a report")
+        if self.coverage_minimum is not None and (not 0 <= self.coverage_minimum <= 100 or not self.coverage_report):
+            raise ValueError("a coverage minimum is 0 to 100 and needs a report")
 
     @classmethod
     def from_toml(cls, text: str) -> Config:
+        """Settings from a file; tables and keys that no setting has, and values of the wrong kind, are refused."""
         raw = tomllib.loads(text)
-        flat = {k: v for k, v in raw.items() if not isinstance(v, dict)} | {k: v for t in ("scan", "loop", "gate", "coverage") for k, v in raw.get(t, {}).items()}
-        known = {k: tuple(v) if isinstance(v, list) else v for k, v in flat.items() if k in cls.__dataclass_fields__}
-        return cls(**known, rules=raw.get("rules", {}))
+        known: dict = {}
+        for name, part in {"": {k: v for k, v in raw.items() if not isinstance(v, dict | list)}, **{k: v for k, v in raw.items() if isinstance(v, dict | list)}}.items():
+            if name == "commands":
+                known["commands"] = tuple({"required": True, "enabled": True, "timeout_seconds": 600} | _checked(f"commands.{i}", c, COMMAND_KEYS) for i, c in enumerate(part))
+                if any(not {"name", "command"} <= set(c) for c in known["commands"]):
+                    raise ValueError("a command needs a name and what it runs")
+            elif name == "rules":
+                known["rules"] = {k: _checked(f"rules.{k}", v, RULE_KEYS) for k, v in part.items()}
+                if any(v.get("severity", "info") not in SEVERITIES for v in known["rules"].values()):
+                    raise ValueError(f"a severity is one of {', '.join(SEVERITIES)}")
+            else:
+                if name not in SETTINGS or not isinstance(part, dict):
+                    raise ValueError(f"unknown table {name}")
+                for key, value in part.items():
+                    if key not in SETTINGS[name]:
+                        raise ValueError(f"unknown setting {name}.{key}".replace(" .", " "))
+                    to = SETTINGS[name][key]
+                    like = cls.__dataclass_fields__[to].type
+                    kind = tuple if like.startswith("tuple") else bool if like.startswith("bool") else int if like.startswith("int") else str
+                    value = tuple(value) if isinstance(value, list) else value
+                    if not isinstance(value, kind) or kind is int and isinstance(value, bool):
+                        raise ValueError(f"{name}.{key} has the wrong kind of value")
+                    known[to] = value
+        return cls(**known)
 
     def rule_rows(self, spark: SparkSession) -> DataFrame:
         rows = [(k, v.get("enabled"), v.get("severity"), v.get("block")) for k, v in self.rules.items()]
         return spark.createDataFrame(rows, "rule_id string, enabled boolean, severity string, block boolean")
+
+
+def _checked(name: str, values: dict, kinds: dict) -> dict:
+    for key, value in values.items():
+        if key not in kinds or not isinstance(value, kinds[key]) or kinds[key] is int and isinstance(value, bool):
+            raise ValueError(f"unknown or wrong setting {name}.{key}")
+    return values

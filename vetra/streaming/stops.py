@@ -73,7 +73,7 @@ def poke(state: State, reason: str, s: Settings, must: bool) -> tuple | None:
         t.status = "blocked"
         return "stop", reason, False, 0, 0
     t.auto_pokes += 1
-    t.status, t.evidence, t.confidence = "active", [], 0
+    t.status, t.evidence, t.confidence = "active", [], None
     return "block", reason, False, 0, 0
 
 
@@ -93,7 +93,7 @@ def active_poke(state: State, s: Settings) -> tuple | None:
 def ready_poke(state: State, s: Settings) -> tuple | None:
     if completeness(state.goal) < s.completeness:
         return poke(state, "goal incomplete", s, True)
-    if state.task.confidence < s.confidence:
+    if (state.task.confidence or 0) < s.confidence:
         return poke(state, "confidence too low", s, True)
     return poke(state, f"review phase {state.task.auto_pokes + 1}", s, False)
 
