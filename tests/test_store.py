@@ -56,3 +56,45 @@ def test_fingerprints_and_documentation(spark):
     assert measure.documentation_only(docs.limit(0)).first()[0] is False
     repos = spark.createDataFrame([("r", "", "f"), ("q", " M a", "g")], "repository string, status string, fingerprint string")
     assert measure.workspace_fingerprint(repos).first()[0] and measure.workspace_fingerprint(repos.where("status = ''")).first()[0] is None
+
+
+def test_large_sarif_is_one_valid_file(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    found, checks = rows(spark)
+    monkeypatch.setattr(store, "COPY_BYTES", 1000)
+    small = str(tmp_path / "small.sarif")
+    assert store.write_sarif(found, checks, small) == (tmp_path / "small.sarif").stat().st_size
+    assert json.loads((tmp_path / "small.sarif").read_text()) == json.loads(store.sarif(found, checks))
+    many = spark.range(40_000).select(F.lit("FG-X-001").alias("rule_id"), F.lit("t").alias("title"), F.lit("warning").alias("severity"), F.lit("heuristic").alias("confidence"), F.lit(True).alias("blocking"), F.concat(F.lit("p"), F.col("id") % 7).alias("path"), F.col("id").alias("line"), F.lit(None).cast("long").alias("end_line"), F.lit("é\n\"").alias("evidence"), F.lit("f").alias("recommendation"), F.lit(0).alias("seq"))
+    failed = spark.range(300).select(F.concat(F.lit("check "), F.col("id")).alias("name"), F.lit("run").alias("command"), F.lit(True).alias("required"), F.lit(False).alias("success"), F.lit(1).alias("exit_code"), F.lit(5).cast("long").alias("duration_ms"), F.lit("x").alias("output"), F.lit(False).alias("cached"))
+    store.write_sarif(many, failed, str(tmp_path / "all.sarif"))
+    doc = json.loads((tmp_path / "all.sarif").read_text())["runs"][0]
+    assert len(doc["results"]) == 40_300 and len(doc["tool"]["driver"]["rules"]) == 25 + 300
+    places = [(r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], r["locations"][0]["physicalLocation"]["region"]["startLine"]) for r in doc["results"][:40_000]]
+    assert places == sorted(places) and len(set(places)) == 40_000
+    store.write_sarif(found.limit(0), checks.limit(0), str(tmp_path / "none.sarif"))
+    assert json.loads((tmp_path / "none.sarif").read_text())["runs"][0]["results"] == []
+    with pytest.raises(ValueError):
+        store.sarif(many, failed, limit=40_299)
+
+
+def test_kept_states_are_merged_and_batches_count_once(spark, tmp_path):
+    schema = "session string, seq long, v string"
+    log = store.StateLog(spark, str(tmp_path / "log"), schema)
+    assert log.read().count() == 0
+    want = {}
+    for b in range(9):
+        batch = [(f"s{i}", 10 * b + i, f"{b}.{i}") for i in range(b % 3, 8)] + [(f"s{b}", 10 * b + 9, f"{b}.x")]
+        assert log.commit(spark.createDataFrame(batch, schema), b)
+        for s, q, v in sorted(batch, key=lambda r: r[1]):
+            want[s] = (s, q, v)
+        assert not log.commit(spark.createDataFrame([("s0", 10**6, "again")], schema), b)
+        assert {tuple(r) for r in log.read().collect()} == set(want.values())
+        sizes = [r["rows"] for r in log.manifest()["runs"]]
+        assert all(x >= 2 * sum(sizes[i + 1 :]) for i, x in enumerate(sizes)) and sum(sizes) <= 2 * len(want)
+    kept = {tuple(r) for r in log.read().collect()}
+    assert log.clean() > 0 and {tuple(r) for r in log.read().collect()} == kept
+    # a commit that ends before its manifest leaves no trace
+    (tmp_path / "log" / "run-dead").mkdir()
+    assert {tuple(r) for r in store.StateLog(spark, str(tmp_path / "log"), schema).read().collect()} == kept
