@@ -213,114 +213,116 @@ def _by_family(table: dict[str, list[str]], value: Column) -> Column:
     return reduce(lambda a, b: a | b, ((F.col("family") == k) & value.isin(v) for k, v in table.items()))
 
 
-def call_facts(nodes: DataFrame, marks: DataFrame) -> DataFrame:
-    """Calls with ``sinks``: a known method on a receiver, or a callee, that stands for a database or the network."""
-    calls = nodes.where("kind = 'call'").withColumn("terminal", T.terminal_name(F.col("name"))).withColumn("method", T.normalized_method(F.col("terminal")))
+def with_calls(nodes: DataFrame, marks: DataFrame) -> DataFrame:
+    """``nodes`` with terminal, method and, for calls, ``sinks``: a known method on a receiver, or a callee, that stands for a database or the network."""
+    rows = nodes.withColumn("terminal", T.terminal_name(F.col("name"))).withColumn("method", T.normalized_method(F.col("terminal")))
     known = marks.where("class <> 'local'").groupBy("path").agg(F.collect_set(F.when(F.col("class") == "database", F.col("symbol"))).alias("db"), F.collect_set(F.when(F.col("class") == "network", F.col("symbol"))).alias("net"))
-    calls = calls.join(known, "path", "left")
+    rows = rows.join(known, "path", "left")
     parts = F.split("name", "[.:>-]+")
     touches = lambda c: F.coalesce(F.arrays_overlap(parts, c), F.lit(False))
     bare = lambda c: F.coalesce(F.array_contains(c, F.col("name")), F.lit(False))
     db = touches("db") & F.col("method").isin(DB_METHODS)
     net = (touches("net") & F.col("method").isin(NET_METHODS)) | bare("net")
-    return calls.withColumn("sinks", F.when(db, DATABASE).otherwise(0).bitwiseOR(F.when(net, NETWORK).otherwise(0))).drop("db", "net")
+    sinks = F.when(F.col("kind") == "call", F.when(db, DATABASE).otherwise(0).bitwiseOR(F.when(net, NETWORK).otherwise(0)))
+    return rows.withColumn("sinks", sinks).drop("db", "net")
 
 
 def access_control(text: Column) -> Column:
     return F.exists(T.identifiers(text), lambda w: T.ascii_lower(w).rlike("^auth$|auth$|^authoriz|permission|policy|role|guard|middleware"))
 
 
-def call_graph(nodes: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def functions_of(nodes: DataFrame) -> DataFrame:
+    """(path, scope_id, caller, authorized, is_source) of the functions."""
+    flat = F.lower(F.regexp_replace("text", "\\s+", ""))
+    source = flat.rlike("return[^;\\n]*(" + "|".join(re.escape(t) for t in TAINT_TEXT) + ")")
+    return nodes.where("kind = 'function'").select("path", F.col("node_id").alias("scope_id"), F.col("name").alias("caller"), access_control(F.col("text")).alias("authorized"), source.alias("is_source"))
+
+
+def call_graph(scopes: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """functions (name, sinks, authorized, is_source) and calls (path, caller, terminal, in_return)."""
-    scopes = nodes.where("kind = 'function'").select("path", F.col("node_id").alias("scope_id"), F.col("name").alias("caller"), F.col("text").alias("body"))
-    inner = facts.join(scopes.select("path", "scope_id", "caller"), ["path", "scope_id"])
+    inner = calls.join(scopes.select("path", "scope_id", "caller"), ["path", "scope_id"])
     direct = inner.groupBy("path", "scope_id").agg(F.bit_or("sinks").alias("sinks"))
-    flat = F.lower(F.regexp_replace("body", "\\s+", ""))
-    source = flat.rlike("return[^;\\n]*(" + "|".join(re.escape(t) for t in TAINT_TEXT) + ")")
-    f = scopes.join(direct, ["path", "scope_id"], "left").select(F.col("caller").alias("name"), F.coalesce("sinks", F.lit(0)).alias("sinks"), access_control(F.col("body")).alias("authorized"), source.alias("is_source"))
+    f = scopes.join(direct, ["path", "scope_id"], "left").select(F.col("caller").alias("name"), F.coalesce("sinks", F.lit(0)).alias("sinks"), "authorized", "is_source")
     return f, inner.select("path", "caller", "terminal", "in_return")
 
 
+def matches() -> dict[str, Column]:
+    """When a node is a finding of a rule: columns over nodes with their call facts, ``wrapped`` sinks, flows and ``guards``."""
+    looped, name, last, method, kind = F.col("loop_depth") > 0, F.col("name"), F.col("terminal"), F.col("method"), F.col("kind")
+    call = kind == "call"
+    sinks = F.col("sinks").bitwiseOR(F.coalesce("wrapped", F.lit(0)))
+    is_db, is_net = sinks.bitwiseAND(DATABASE) > 0, sinks.bitwiseAND(NETWORK) > 0
+    receiver = lambda words: F.arrays_overlap(F.split(F.lower("name"), "[.:$>-]+"), F.array(*(F.lit(w) for w in words)))
+    maybe_db = receiver(DB_RECEIVERS) & method.isin([m for m in DB_METHODS if m != "open"])
+    maybe_net = (name == "fetch") | F.startswith(name, F.lit("reqwest::")) | (receiver(NET_RECEIVERS) & method.isin(NET_VERBS))
+    flowing = lambda sink, reached: call & ~F.col("literal") & (F.col("sink") == sink) & (F.col("reached") if reached else ~F.col("reached"))
+    low = F.lower("name")
+    unsafe = low.rlike(UNSAFE) | last.isin(UNSAFE_CALLS) | ((low == "yaml.load") & ~F.contains(F.lower("text"), F.lit("safeloader")))
+    guarded = access_control(F.col("text")) | F.coalesce(F.arrays_overlap(T.identifiers(F.col("text")), F.col("guards")), F.lit(False))
+    large = (F.col("end_line") - F.col("start_line") + 1 >= LITERAL_LINES) | (F.col("size") >= LITERAL_ELEMENTS)
+    return {
+        "FG-ALG-001": looped & ~F.col("bounded") & ((kind == "loop") | (call & (F.col("size") > 0) & _iterates())),
+        "FG-ALG-002": call & looped & _by_family(LOOKUPS, last),
+        "FG-ALG-003": call & looped & last.isin(SORTS),
+        "FG-DB-001": call & looped & is_db,
+        "FG-DB-002": call & looped & ~is_db & maybe_db,
+        "FG-NET-001": call & looped & is_net,
+        "FG-NET-002": call & looped & ~is_net & maybe_net,
+        "FG-DB-005": call & maybe_db & F.col("text").rlike(lexical.SELECT_ALL),
+        "FG-CON-001": call & (((name == "Promise.all") & F.col("holds_map")) | (last == "join_all")),
+        "FG-CPLX-001": (kind == "function") & (F.col("branches") + 1 > COMPLEXITY),
+        "FG-SEC-001": (kind == "string") & F.col("text").rlike(lexical.CREDENTIAL),
+        "FG-SEC-002": flowing("command", False),
+        "FG-SEC-003": flowing("command", True),
+        "FG-SEC-007": flowing("path", True),
+        "FG-SEC-006": flowing("html", True) | ((kind == "assign") & F.col("reached")),
+        "FG-SEC-004": kind.isin("call", "assign") & F.col("text").rlike(lexical.WEAK_CRYPTO),
+        "FG-SEC-005": call & unsafe & (low != "json.deserialize"),
+        "FG-AUTH-001": call & low.rlike(ROUTE) & ~guarded,
+        "FG-ERR-001": (kind == "handler") & (F.col("size") == 0),
+        "FG-ARCH-001": (kind == "collection") & F.col("family").isin("javascript", "python") & F.col("outermost") & large,
+        "FG-PARSE-001": kind == "error",
+    }
+
+
 def findings(files: DataFrame, sources: list[str] = (), sanitizers: list[str] = (), nodes: DataFrame | None = None, include_tests: bool = False) -> DataFrame:
     """All findings of the syntax and lexical rules over files (path, content), before policy.
 
-    The node table is made once and written (or given as ``nodes``); every syntax rule is a filter or a
-    join on it.  ``.sql`` files and texts that may hold secrets go through the line rules.
+    The node table (or ``nodes``) is read once to add what calls are known to
+    touch, and that is written; functions and calls are then taken from it for
+    the summaries, and one last pass over it tries all rules on each node.
+    ``.sql`` files and texts that may hold secrets go through the line rules.
     """
     from ..sources import syntax
 
     files = files.select("path", "content") if include_tests else files.where(~is_test_path(F.col("path"))).select("path", "content")
-    n = cut(syntax.nodes(files), "nodes") if nodes is None else nodes.join(files.select("path").distinct(), "path", "left_semi")
+    n = syntax.nodes(files) if nodes is None else nodes.join(files.select("path").distinct(), "path", "left_semi")
     marks = cut(symbols(files), "symbols")
-    facts = cut(call_facts(n, marks), "calls")
-    functions, calls = call_graph(n, facts)
-    defined = n.where("kind = 'function'").select("path", F.col("name").alias("symbol"), F.lit("local").alias("class"))
-    local = marks.where("class = 'local'").unionByName(defined).distinct()
-    state = summaries(functions, calls)
-    here = local.select("path", F.col("symbol").alias("terminal")).join(state.withColumnRenamed("name", "terminal"), "terminal")
-    wrap = here.select("path", "terminal", F.col("sinks").alias("wrapped"))
-    facts = facts.join(wrap, ["path", "terminal"], "left").withColumn("sinks", F.col("sinks").bitwiseOR(F.coalesce("wrapped", F.lit(0))))
-    flow = cut(flows(files, list(sources), list(sanitizers), here.where("is_source").select("path", F.col("terminal").alias("symbol"))), "flows")
-
-    looped, name, last, method = F.col("loop_depth") > 0, F.col("name"), F.col("terminal"), F.col("method")
-    receiver = lambda words: F.arrays_overlap(F.split(F.lower("name"), "[.:$>-]+"), F.array(*(F.lit(w) for w in words)))
-    is_db, is_net = F.col("sinks").bitwiseAND(DATABASE) > 0, F.col("sinks").bitwiseAND(NETWORK) > 0
-    maybe_db = receiver(DB_RECEIVERS) & method.isin([m for m in DB_METHODS if m != "open"])
-    maybe_net = (name == "fetch") | F.startswith(name, F.lit("reqwest::")) | (receiver(NET_RECEIVERS) & method.isin(NET_VERBS))
-    out: list[DataFrame] = []
-
-    def emit(rule: str, rows: DataFrame, end: bool = False) -> None:
-        meta = next(r for r in RULES if r[0] == rule)
-        out.append(rows.select(
-            F.lit(rule).alias("rule_id"), F.lit(meta[3]).alias("title"), F.lit(meta[1]).alias("severity"), F.lit(meta[2]).alias("confidence"), F.lit(False).alias("blocking"), "path", F.col("start_line").alias("line"),
-            (F.col("end_line") if end else F.lit(None)).cast("long").alias("end_line"), T.truncated(F.regexp_replace("text", "\\s+", " "), 240).alias("evidence"), F.lit(f"Review: {meta[3].lower()}").alias("recommendation"), F.col("node_id").cast("long").alias("seq"),
-        ))
-
-    loops = n.where("kind = 'loop'").unionByName(facts.where(F.expr("size > 0") & _iterates()).select(n.columns))
-    emit("FG-ALG-001", loops.where(looped & ~F.col("bounded")))
-    emit("FG-ALG-002", facts.where(looped & _by_family(LOOKUPS, last)))
-    emit("FG-ALG-003", facts.where(looped & last.isin(SORTS)))
-    emit("FG-DB-001", facts.where(looped & is_db))
-    emit("FG-DB-002", facts.where(looped & ~is_db & maybe_db))
-    emit("FG-NET-001", facts.where(looped & is_net))
-    emit("FG-NET-002", facts.where(looped & ~is_net & maybe_net))
-    emit("FG-DB-005", facts.where(maybe_db & F.col("text").rlike(lexical.SELECT_ALL)))
-    maps = facts.where("terminal = 'map'").select("path", F.col("node_id").alias("inner_id"))
-    below = facts.where("name = 'Promise.all'").join(maps, (facts["path"] == maps["path"]) & (F.col("inner_id") > F.col("node_id")) & (F.col("inner_id") <= F.col("last_id")), "left_semi")
-    emit("FG-CON-001", below.unionByName(facts.where("terminal = 'join_all'")))
-    branches = n.where("kind = 'branch' AND scope_id IS NOT NULL").groupBy("path", "scope_id").agg(F.count("*").alias("branches"))
-    functions_ = n.where("kind = 'function'").drop("scope_id").withColumn("scope_id", F.col("node_id"))
-    emit("FG-CPLX-001", functions_.join(branches.where(F.col("branches") + 1 > COMPLEXITY), ["path", "scope_id"]), end=True)
-    secret = n.where("kind = 'string'").where(F.col("text").rlike(lexical.CREDENTIAL)).withColumn("text", F.lit(lexical.REDACTED))
-    emit("FG-SEC-001", secret)
-    flowing = facts.where("NOT literal").join(flow, ["path", "node_id"])
-    emit("FG-SEC-002", flowing.where("sink = 'command' AND NOT reached"))
-    emit("FG-SEC-003", flowing.where("sink = 'command' AND reached"))
-    emit("FG-SEC-007", flowing.where("sink = 'path' AND reached"))
-    emit("FG-SEC-006", flowing.where("sink = 'html' AND reached"))
-    emit("FG-SEC-006", n.where("kind = 'assign'").join(flow.where("reached"), ["path", "node_id"]))
-    weak = n.where("kind IN ('call', 'assign')").where(F.col("text").rlike(lexical.WEAK_CRYPTO))
-    inner = weak.select(F.col("path").alias("p"), F.col("node_id").alias("i"))
-    emit("FG-SEC-004", weak.join(inner, (F.col("path") == F.col("p")) & (F.col("i") > F.col("node_id")) & (F.col("i") <= F.col("last_id")), "left_anti"))
-    low = F.lower("name")
-    unsafe = low.rlike(UNSAFE) | last.isin(UNSAFE_CALLS) | ((low == "yaml.load") & ~F.contains(F.lower("text"), F.lit("safeloader")))
-    emit("FG-SEC-005", facts.where(unsafe & (low != "json.deserialize")))
-    route = low.rlike(ROUTE)
+    n = cut(with_calls(n, marks), "nodes")
+    scopes = cut(functions_of(n), "functions")
+    functions, calls = call_graph(scopes, n.where("kind = 'call'").select("path", "scope_id", "terminal", "in_return", "sinks"))
+    local = marks.where("class = 'local'").select("path", "symbol").unionByName(scopes.select("path", F.col("caller").alias("symbol"))).distinct()
+    here = cut(local.select("path", F.col("symbol").alias("terminal")).join(summaries(functions, calls).withColumnRenamed("name", "terminal"), "terminal"), "known")
+    flow = flows(files, list(sources), list(sanitizers), here.where("is_source").select("path", F.col("terminal").alias("symbol")))
     guards = here.where("authorized").groupBy("path").agg(F.collect_set("terminal").alias("guards"))
-    open_ = facts.where(route & ~access_control(F.col("text"))).join(guards, "path", "left").where(~F.coalesce(F.arrays_overlap(T.identifiers(F.col("text")), F.col("guards")), F.lit(False)))
-    emit("FG-AUTH-001", open_)
-    emit("FG-ERR-001", n.where("kind = 'handler' AND size = 0"))
-    big = n.where("kind = 'collection' AND family IN ('javascript', 'python')")
-    outer = big.select(F.col("path").alias("p"), F.col("node_id").alias("i"), F.col("last_id").alias("l"))
-    outermost = big.join(outer, (F.col("path") == F.col("p")) & (F.col("i") < F.col("node_id")) & (F.col("l") >= F.col("node_id")), "left_anti")
-    emit("FG-ARCH-001", outermost.where((F.col("end_line") - F.col("start_line") + 1 >= LITERAL_LINES) | (F.col("size") >= LITERAL_ELEMENTS)))
-    emit("FG-PARSE-001", n.where("kind = 'error'").withColumn("text", F.col("argument")))
-    line = F.col("line")
-    as_node = [line.alias("start_line"), line.alias("end_line"), line.alias("node_id")]
+    seen = n.join(here.where("sinks > 0").select("path", "terminal", F.col("sinks").alias("wrapped")), ["path", "terminal"], "left").join(flow, ["path", "node_id"], "left").join(guards, "path", "left")
+    hits = F.array_compact(F.array(*(F.when(c, F.lit(rule)) for rule, c in matches().items())))
+    evidence = F.when(F.col("kind") == "error", F.col("argument")).otherwise(F.col("text"))
+    seen = seen.select("path", F.col("start_line").alias("line"), "end_line", "node_id", "last_id", evidence.alias("text"), hits.alias("hits")).where(F.size("hits") > 0)
+    seen = seen.withColumn("text", T.truncated(F.regexp_replace("text", "\\s+", " "), 240)).select("*", F.explode("hits").alias("rule_id")).drop("hits")
+    seen = cut(seen, "matches")
+    # of nested calls with weak cryptography the inner one counts
+    inner = seen.where("rule_id = 'FG-SEC-004'").select(F.col("path").alias("p"), F.col("node_id").alias("i"), F.col("rule_id").alias("r"))
+    found = seen.join(inner, (F.col("path") == F.col("p")) & (F.col("rule_id") == F.col("r")) & (F.col("i") > F.col("node_id")) & (F.col("i") <= F.col("last_id")), "left_anti")
+    secret = F.when(F.col("rule_id") == "FG-SEC-001", F.lit(lexical.REDACTED)).otherwise(F.col("text"))
+    found = found.select("rule_id", "path", "line", F.when(F.col("rule_id") == "FG-CPLX-001", F.col("end_line")).alias("end_line"), secret.alias("evidence"), F.col("node_id").cast("long").alias("seq"))
     sql = files.where(F.coalesce(extension(F.col("path")) == "sql", F.lit(False)))
-    emit("FG-DB-005", lexical.match_lines(sql, "path", "content", lexical.SELECT_ALL, shown=True).select("path", *as_node, F.col("hit").alias("text")))
-    emit("FG-SEC-001", lexical.credential_lines(lines(files.where(is_secret_text(F.col("path"))))).select("path", *as_node, F.col("evidence").alias("text")))
-    return reduce(DataFrame.unionByName, out).to(files.sparkSession.createDataFrame([], FINDING).schema)
+    line = lambda rule, text: [F.lit(rule).alias("rule_id"), "path", "line", F.lit(None).cast("long").alias("end_line"), T.truncated(F.regexp_replace(text, "\\s+", " "), 240).alias("evidence"), F.col("line").alias("seq")]
+    found = found.unionByName(lexical.match_lines(sql, "path", "content", lexical.SELECT_ALL, shown=True).select(line("FG-DB-005", "hit")))
+    found = found.unionByName(lexical.credential_lines(lines(files.where(is_secret_text(F.col("path"))))).select(line("FG-SEC-001", "evidence")))
+    of = lambda k: F.create_map(*(F.lit(x) for r in RULES for x in (r[0], r[k])))[F.col("rule_id")]
+    out = found.select("rule_id", of(3).alias("title"), of(1).alias("severity"), of(2).alias("confidence"), F.lit(False).alias("blocking"), "path", "line", "end_line", "evidence", F.concat(F.lit("Review: "), F.lower(of(3))).alias("recommendation"), "seq")
+    return out.to(files.sparkSession.createDataFrame([], FINDING).schema)
 
 
 def _iterates() -> Column:

@@ -22,7 +22,7 @@ from .files import extension, family, is_source, masked_frontmatter, masked_scri
 
 NODES = (
     "path string, family string, node_id int, parent_id int, last_id int, kind string, name string, argument string, literal boolean, size int, "
-    "start_line long, end_line long, loop_depth int, scope_id int, bounded boolean, in_return boolean, text string"
+    "start_line long, end_line long, loop_depth int, scope_id int, bounded boolean, in_return boolean, text string, branches int, outermost boolean, holds_map boolean"
 )
 #: Characters of node texts in one frame of the table.
 FRAME_TEXT = 1 << 24
@@ -410,7 +410,7 @@ def table_rows(path: str, lang: str, source: str) -> list[tuple]:
         else:
             raise SyntaxError("no backend")
     except (SyntaxError, ValueError, RecursionError) as e:
-        return [(path, lang, 0, None, 0, "error", "", str(e)[:240], True, 0, 1, 1, 0, None, False, False, "")]
+        return [(path, lang, 0, None, 0, "error", "", str(e)[:240], True, 0, 1, 1, 0, None, False, False, "", 0, True, False)]
     nodes.sort(key=lambda x: (x.start, -x.end, not x.loop))
     rows, stack = [], []
     for i, x in enumerate(nodes):
@@ -419,9 +419,13 @@ def table_rows(path: str, lang: str, source: str) -> list[tuple]:
         parent = stack[-1] if stack else None
         depth = sum(nodes[s].loop and not (nodes[s].start == x.start and nodes[s].end == x.end) for s in stack)
         scope = next((s for s in reversed(stack) if nodes[s].kind == "function"), None)
-        rows.append([path, lang, i, parent, i, x.kind, x.name, x.argument, x.literal, x.size, x.line, x.end_line, depth, scope, x.bounded, x.in_return, x.text])
+        rows.append([path, lang, i, parent, i, x.kind, x.name, x.argument, x.literal, x.size, x.line, x.end_line, depth, scope, x.bounded, x.in_return, x.text, 0, not any(nodes[s].kind == x.kind for s in stack), False])
+        maps = x.kind == "call" and terminal(x.name) == "map"
         for s in stack:
             rows[s][4] = i
+            rows[s][19] |= maps
+        if x.kind == "branch" and scope is not None:
+            rows[scope][17] += 1
         stack.append(i)
     return [tuple(r) for r in rows]
 
@@ -446,6 +450,8 @@ def nodes(files: DataFrame) -> DataFrame:
 
     ``last_id`` closes the interval of a node's descendants, ``loop_depth``
     counts the loops and iteration calls around it, ``scope_id`` is its function.
+    ``branches`` are a function's own, ``outermost`` says that no node around it is
+    of its kind, ``holds_map`` that a call named map is inside.
     ``text`` and ``argument`` are whole, as rules judge them: a file's rows have
     its text once for each level of nesting.
     """
