@@ -42,3 +42,11 @@ def test_stream_equals_the_fold(spark):
     e = spark.read.parquet(f"{SF}/events.parquet").select(F.col("user_id").cast("string"), "event_id", _millis("ts"), "event_type", F.col("value") > 10)
     want = {r[:2]: r[2:] for r in sessions.fold([tuple(r) for r in e.collect()], window=3600 * 1000)}
     assert got == want
+
+
+def test_ordered_streams_equal_plain_loops(spark):
+    from vetra.plans import source_catalog
+
+    rows = [tuple(r) for r in source_catalog.task_events(spark, SF).collect()]
+    assert sorted(map(tuple, registry.queries()["stop_evaluations"](spark, SF).collect())) == sorted(source_catalog.evaluated(rows))
+    assert sorted(map(tuple, registry.queries()["task_states"](spark, SF).collect())) == sorted(source_catalog.followed(rows))

@@ -84,3 +84,20 @@ def test_branches_and_loops_of_braces():
     assert n("c", "int f(int a) { return a ? g(a) : 0; }", "branch") == 1
     assert n("csharp", "class A { int? B; int F(int? a) { return a ?? 1; } }", "branch") == 0
     assert depth("cpp", "void f() { do { for (;;) { go(); } } while (1); }", "go") == [2]
+
+
+@pytest.mark.parametrize(
+    ("lang", "text", "name", "arguments"),
+    [
+        ("java", "class A { public static int run(int[] values, final Map<String, B> m) throws E, F { return go(values); } }", "run", "values,String,m"), ("java", "class A { A(int x) { go(x); } }", "A", "x"), ("csharp", "class A { async Task<int> Run(int a = 1) { go(a); } }", "Run", "a"),
+        ("c", "int run(const char *p, int n) { return go(p); }", "run", "p,n"), ("cpp", "int A::run(int a) const noexcept { return go(a); }", "run", "a"), ("dart", "Future<int> run(int a) async { return go(a); }", "run", "a"),
+    ],
+)
+def test_functions_of_typed_languages(lang, text, name, arguments):
+    got = [(r[6], r[7]) for r in rows(lang, text) if r[5] == "function"]
+    assert got == [(name, arguments)] and kinds(lang, text, "call") == ["go"]
+
+
+@pytest.mark.parametrize(("lang", "text"), [("java", "class A { void f() { synchronized (x) { go(); } if (a) { } Runnable r = new B() { }; } }"), ("csharp", "class A { void F() { using (var x = y()) { go(); } lock (z) { } } }"), ("c", "void f() { switch (g()) { } while (h()) { } }")])
+def test_statements_are_no_functions(lang, text):
+    assert len(kinds(lang, text, "function")) == 1

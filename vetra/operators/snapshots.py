@@ -107,6 +107,12 @@ def runs(marks: np.ndarray) -> tuple[list[int], list[int]]:
     return (np.flatnonzero(edges == 1) + 1).tolist(), np.flatnonzero(edges == -1).tolist()
 
 
+def _lines(text: str) -> list[str]:
+    """Lines with their breaks; only a line feed is one."""
+    *whole, rest = text.split("\n")
+    return [x + "\n" for x in whole] + ([rest] if rest else [])
+
+
 def changed_ranges(files: DataFrame, previous: DataFrame) -> DataFrame:
     """scope (path, start_line, end_line): the lines of (path, content) that a shortest edit script from ``previous`` adds.
 
@@ -123,7 +129,7 @@ def changed_ranges(files: DataFrame, previous: DataFrame) -> DataFrame:
             rows: list[tuple[str, int, int]] = []
             for path, now, then in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 known: dict[str, int] = {}
-                number = lambda s: np.array([known.setdefault(x, len(known)) for x in (s or "").splitlines(keepends=True)], np.int64)  # noqa: B023, E731
+                number = lambda s: np.array([known.setdefault(x, len(known)) for x in _lines(s or "")], np.int64)  # noqa: B023, E731
                 a, b = number(then), number(now)
                 rows += [(path, s, e) for s, e in zip(*runs(added(a, b)))]
             cols = list(zip(*rows)) if rows else [(), (), ()]

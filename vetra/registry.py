@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog, code_catalog, facts_catalog  # noqa: F401 - the others add their queries to the first one's
+from .plans import catalog, code_catalog, facts_catalog, source_catalog  # noqa: F401 - the others add their queries to the first one's
 
 
 def queries() -> dict:

@@ -126,6 +126,10 @@ def python_nodes(source: str) -> list[Node]:
 
 # ---- braces ------------------------------------------------------------------------
 
+#: Languages whose functions begin with a type or a name, words that may stand between their head and body, and statements that look like one (fixed values).
+TYPED = {"java", "csharp", "c", "cpp", "dart"}
+_BETWEEN = {"throws", "const", "noexcept", "override", "final", "async", "sync", "mutable", "volatile", "where"}
+_STATEMENTS = {"synchronized", "using", "lock", "foreach", "fixed", "try", "sizeof", "typeof", "decltype", "alignas", "when", "assert"}
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 _NO_CALL = {"if", "for", "while", "switch", "catch", "match", "return", "function", "fn", "func", "loop", "do", "else", "await", "new", "typeof", "in", "of", "import", "super"}
 
@@ -221,7 +225,12 @@ def braced_nodes(source: str, lang: str) -> list[Node]:
                     close = pair[j + 1]
                     name = source[toks[i][2] : toks[j][3]]
                     block = close + 1 < n and toks[close + 1][1] == "{" and lang == "javascript" and before in ("{", "}", ";", "async", "static")
-                    if block:
+                    body = _typed_body(toks, close, n) if lang in TYPED and toks[j][1] not in _STATEMENTS and before not in ("=", "return", "(", ",", ".", "=>", "?") else None
+                    if body is not None:
+                        inside = source[toks[j + 1][3] : toks[close][2]]
+                        names = [re.findall(r"[A-Za-z_$][\w$]*", part.split("=")[0]) for part in inside.split(",")]
+                        node("function", i, pair[body], name=toks[j][1], argument=",".join(x[-1] for x in names if x))
+                    elif block:
                         inside = source[toks[j + 1][3] : toks[close][2]]
                         node("function", i, pair[close + 1], name=name, argument=",".join(re.findall(r"[A-Za-z_$][\w$]*", inside)))
                     else:
@@ -254,6 +263,15 @@ def braced_nodes(source: str, lang: str) -> list[Node]:
     return out
 
 
+def _typed_body(toks: list[tuple], close: int, n: int) -> int | None:
+    """The bracket that opens a function's body after its head, or None if that is no head."""
+    k = close + 1
+    if k < n and toks[k][1] in _BETWEEN:
+        while k < n and (toks[k][0] == "word" or toks[k][1] in (",", ".", "<", ">")):
+            k += 1
+    return k if k < n and toks[k][1] == "{" else None
+
+
 def _call(node, toks, pair, source: str, i: int, open_: int, close: int, name: str, lang: str) -> None:
     first, k = "", open_ + 1
     while k < close and toks[k][1] != ",":
