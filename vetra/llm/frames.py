@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -72,15 +73,21 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     return place
 
 
-#: Folders of the tables that :func:`written` made and nothing has discarded, in order.
-_made: list[str] = []
+class _Made(threading.local):
+    """Folders of the tables that :func:`written` made and nothing has discarded, in order; each thread, so each run, has its own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again: lost executors lose nothing of it."""
     path = f"{ensure_checkpoints(df.sparkSession)}/vetra-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    _made.paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.vetra_path = path
     return out
@@ -90,8 +97,8 @@ def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder, wherever the cluster keeps it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if path in _made:
-        _made.remove(path)
+    if path in _made.paths:
+        _made.paths.remove(path)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -101,12 +108,12 @@ def discard(*frames: DataFrame) -> None:
 
 
 def tables_made() -> int:
-    return len(_made)
+    return len(_made.paths)
 
 
 def discard_since(spark: SparkSession, mark: int) -> None:
     """Removes the tables made since :func:`tables_made` gave ``mark``; what was computed from them has to be written."""
-    for path in _made[mark:]:
+    for path in _made.paths[mark:]:
         delete(spark, path)
 
 
