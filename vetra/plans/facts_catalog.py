@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -107,7 +108,7 @@ def ordered_findings(spark, sf_dir):
     out.write.parquet(path)
     out = spark.read.parquet(path)
     sizes = out.groupBy("task").agg(F.count("*").alias("n"))  # one row a task
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.task") < F.col("a.task"), "left").groupBy(F.col("a.task").alias("task")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = sizes.select("task", F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return out.join(F.broadcast(before), "task").select("seq", "rule_id", "path", "line", (F.col("at") + F.col("before") + 1).alias("place"))
 
 
