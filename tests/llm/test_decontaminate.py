@@ -62,3 +62,19 @@ def test_columns_with_the_names_of_results(spark):
     for limit in (1 << 20, 1):
         got = decontaminate.contamination(docs, bench, block_bytes=limit).collect()
         assert key((r.doc_id, r.n_words, r.n_hit) for r in got) == want
+
+
+def test_a_column_of_the_input_keeps_its_values_in_either_way(spark):
+    docs = frame(spark).selectExpr("doc_id", "text", "7 AS vetra_row")
+    bench = spark.createDataFrame([(1, awkward()[3][1])], "item_id long, text string")
+    for limit in (1 << 20, 1):
+        out = decontaminate.marked(docs, bench, block_bytes=limit)
+        assert {r.vetra_row for r in out.collect()} == {7} and out.columns[:3] == ["doc_id", "text", "vetra_row"]
+
+
+def test_a_window_of_very_many_items_and_documents_in_joins(spark):
+    shared = " ".join(f"w{i}" for i in range(12))
+    items = [(i, f"{shared} x{i}") for i in range(120)]
+    docs = [(i, f"a{i} {shared} b{i}") for i in range(150)] + [(1000, "nothing here")]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=1).collect()
+    assert key((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in got) == key((d, w, h, n) for d, w, h, n, *_ in brute(docs, items))

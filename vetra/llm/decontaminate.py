@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,6 +118,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+#: The index of the last benchmark that this worker has scanned with, by the name of its scan.
+_last: tuple = (None, None)
+
+
+def _index(name: str, block: list, span: int, gram: int) -> Index:
+    """The index of a block, built once in a worker for all its tasks of one scan."""
+    global _last
+    if _last[0] != name:
+        _last = (name, Index(block, span, gram))
+    return _last[1]
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
 
@@ -204,9 +217,13 @@ def _joined(docs: DataFrame, benchmark: DataFrame, span: int, gram: int) -> Data
     met = docs.mapInArrow(fingerprints, "vetra_row long, size int, print long, first long, last long").join(prints, ["size", "print"], "left_semi")
     asked = met.groupBy("vetra_row").agg(F.collect_list(F.struct("size", "first", "last")).alias("asked"))
     seen = docs.join(asked, "vetra_row").mapInArrow(words, "vetra_row long, size int, at long, words binary")
-    hits = seen.join(windows.select("item", "size", "words"), ["size", "words"])
+    # a window is one row with all its items, so an occurrence meets one row whatever number of items shares it, and a hot window's occurrences can be split
+    held = written(windows.groupBy("size", "words").agg(F.collect_set("item").alias("items")).withColumn("window", F.monotonically_increasing_id()), "held")
+    hits = written(seen.join(held.select("size", "words", "window"), ["size", "words"]).select("vetra_row", "at", "size", "window"), "hits")
     span_ = F.struct(F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("end"))
-    return hits.groupBy("vetra_row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(span_)).alias("spans"))
+    spans = hits.groupBy("vetra_row").agg(F.array_sort(F.collect_set(span_)).alias("spans"))
+    items = hits.select("vetra_row", "window").distinct().join(held.select("window", "items"), "window").groupBy("vetra_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return spans.join(items, "vetra_row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -236,8 +253,10 @@ def marked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int =
     size = benchmark.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 32)).first()[0] or 0
 
     def scan(block):
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block, span, gram)
+            index = _index(name, block, span, gram)
             for batch in batches:
                 n_words, spans, found = _scan(index, batch.column("text"))
                 rows = range(batch.num_rows)
@@ -255,6 +274,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int =
     if size <= block_bytes:
         block = [(r["item"], r["text"]) for r in _items(benchmark).orderBy("item", "text").collect()]
         return docs.mapInArrow(scan(block), StructType([*docs.schema.fields, *_ADDED]))
+    theirs = "vetra_row" in docs.columns
+    docs = docs.withColumnRenamed("vetra_row", "vetra_theirs") if theirs else docs
     counted = docs.withColumn("vetra_row", F.monotonically_increasing_id()).mapInArrow(scan([]), StructType([*docs.schema.fields, StructField("vetra_row", LongType()), *_ADDED]))
     counted = written(counted.drop("n_hit", "items", "spans"), "numbered")
     found = _joined(counted.select("vetra_row", "text"), benchmark, span, gram)
@@ -266,7 +287,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int =
     out = counted.join(found, "vetra_row", "left")
     spans = F.coalesce("spans", F.expr("CAST(array() AS array<struct<start: bigint, end: bigint>>)"))
     return out.select(
-        *(F.col(f.name) for f in docs.schema.fields), "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_hit"),
+        *(F.col(f.name).alias("vetra_row" if theirs and f.name == "vetra_theirs" else f.name) for f in docs.schema.fields), "n_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), spans.alias("spans"),
     )
 
