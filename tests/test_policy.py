@@ -123,3 +123,15 @@ def test_reports_of_checks_and_scopes(spark):
     assert [r[0] for r in df.select(report.scope_warning(*(F.col(c) for c in "prsd"))).collect()] == ["outside paths: x/b, y, z; outside resources: url:h; declared: src, table:t", None]
     tools = spark.createDataFrame([("git", True, "2.1"), ("cargo", True, None), ("syft", False, None)], "name string, required boolean, version string")
     assert [r.line for r in report.doctor(tools).collect()] == ["missing cargo", "ok git 2.1", "optional syft not found"]
+
+
+def test_a_hot_key_is_numbered_in_slices(spark, monkeypatch):
+    found = spark.range(3000).selectExpr("'FG-X-001' AS rule_id", "'a.py' AS path", "id AS line", "'e' AS evidence", "id AS seq", "'error' AS severity")
+    known = spark.createDataFrame([("FG-X-001", "error", "a.py", "e", 1234)], "rule_id string, severity string, path string, evidence string, count long")
+    rules_ = spark.createDataFrame([], "rule_id string, enabled boolean, severity string, block boolean")
+    assert policy.slices_of(found) == 1
+    monkeypatch.setattr(policy, "HOT_KEY", 1000)
+    n = policy.slices_of(found)
+    assert n == policy.KEY_SLICES
+    out = policy.gate(found, rules_, known, slices=n)
+    assert [r.seq for r in out.orderBy("seq").collect()] == list(range(1234, 3000))

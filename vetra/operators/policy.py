@@ -133,9 +133,19 @@ def prefixed(rows: DataFrame, repository: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(F.col(repository) == ".", F.col(name)).otherwise(F.concat_ws("/", repository, name)))
 
 
-def gate(findings: DataFrame, config: DataFrame, baseline: DataFrame, mode: str = "strict", version: int = 2, warnings_block: bool | None = None) -> DataFrame:
-    """The chain on emitted findings: first of each, overrides, baseline, blocking."""
-    out = beyond_baseline(apply_rules(first_of_each(findings), config), baseline)
+#: Findings of one baseline key from which its numbering is dealt into slices, and how many.
+HOT_KEY, KEY_SLICES = 100_000, 32
+
+
+def slices_of(findings: DataFrame, key: list[str] = ("rule_id", "path", "evidence")) -> int:
+    """How many slices the most frequent key needs: one unless it has HOT_KEY findings."""
+    most = findings.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return KEY_SLICES if most >= HOT_KEY else 1
+
+
+def gate(findings: DataFrame, config: DataFrame, baseline: DataFrame, mode: str = "strict", version: int = 2, warnings_block: bool | None = None, slices: int = 1) -> DataFrame:
+    """The chain on emitted findings: first of each, overrides, baseline, blocking; for ``slices`` see :func:`slices_of`."""
+    out = beyond_baseline(apply_rules(first_of_each(findings), config), baseline, salts=slices)
     wb = F.lit(warnings_block).cast("boolean")
     return out.withColumn("blocking", blocks(F.col("severity"), F.lit(mode), F.lit(version), wb, F.col("block"))).drop("block")
 

@@ -78,7 +78,8 @@ def run(
     if config.enabled and scope is not None and config.coverage_minimum is not None:
         found = found.unionByName(completed(measure.coverage_findings(coverage, scope, config.coverage_report, config.coverage_minimum)).select(found.columns))
     known = spark.createDataFrame([], BASELINE) if baseline is None else baseline
-    found = cut(policy.gate(found, config.rule_rows(spark), known, config.mode, config.version, config.warnings_block), "gate")
+    found = cut(found, "found")
+    found = cut(policy.gate(found, config.rule_rows(spark), known, config.mode, config.version, config.warnings_block, policy.slices_of(found)), "gate")
     if checks is not None and scope is not None:
         changed = scope.agg(F.coalesce(F.bool_or(sources.is_dependency(F.col("path"))), F.lit(False)).alias("vetra_changed"))
         checks = measure.applicable(checks.join(F.broadcast(changed), F.lit(True)), F.col("vetra_changed")).drop("vetra_changed")
