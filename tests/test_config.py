@@ -71,3 +71,15 @@ def test_repeated_lines_are_looked_for_in_large_files_and_tests_on_demand(spark)
     small = gate.scan(files, Config(max_file_bytes=1000))
     assert [(r.rule_id, r.path) for r in small.collect()] == [("FG-DRY-001", "b.ts")]
     assert "tests/c.ts" in {r.path for r in gate.scan(files, Config(include_tests=True)).where(F.col("rule_id") == "FG-ALG-001").collect()}
+
+
+def test_equal_hashes_of_other_texts_are_no_clones(spark):
+    from vetra.operators import clones
+
+    text = lambda word: "".join(f"const {word}_{i} = compute_something_long({i}, 'abcdefgh');\n" for i in range(8))
+    files = spark.createDataFrame([("a.ts", text("x")), ("b.ts", text("x") + text("z")), ("c.ts", text("y"))], "path string, content string")
+    whole = clones.duplicate_rows(clones.blocks(files, "path", "content"), "path")
+    # with one bit for each hash nearly all blocks share theirs with others
+    short = clones.blocks(files, "path", "content", bits=1)
+    assert clones.duplicate_rows(short, "path").count() > whole.count() == 3
+    assert sorted(map(tuple, clones.duplicate_rows(short, "path", files, "content").collect())) == sorted(map(tuple, whole.collect()))

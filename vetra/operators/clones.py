@@ -22,8 +22,8 @@ def normalized_lines(files: DataFrame, key: str, text: str) -> DataFrame:
     return files.select(key, F.posexplode(kept).alias("at", "x")).select(key, "at", "x.line", "x.text")
 
 
-def blocks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
-    """(key, line, h1, h2): every run of ``size`` kept lines that is long and varied enough, by 128 bits of its lines.
+def blocks(files: DataFrame, key: str, text: str, size: int = 6, bits: int = 64) -> DataFrame:
+    """(key, line, h1, h2): every run of ``size`` kept lines that is long and varied enough, by 128 bits of its lines (twice ``bits``).
 
     A line is normalised and hashed once; runs are combined from the hashes of
     their lines inside one text's array, so no window or shuffle is needed.
@@ -35,20 +35,38 @@ def blocks(files: DataFrame, key: str, text: str, size: int = 6) -> DataFrame:
     # no filter on the array: it would be pushed below and normalise every text twice
     rows = files.select(key, facts.alias("kept")).select(key, F.explode(F.when(F.size("kept") >= size, runs)).alias("run"))
     n = F.aggregate("run", F.lit(size - 1), lambda s, x: s + x["n"])  # with a line break between lines
-    rows = rows.select(key, F.col("run")[0]["line"].alias("line"), F.xxhash64("run.a").alias("h1"), F.xxhash64("run.b").alias("h2"), n.alias("n"), F.size(F.array_distinct("run.a")).alias("d"))
+    short = lambda h: F.shiftrightunsigned(h, 64 - bits) if bits < 64 else h
+    rows = rows.select(key, F.col("run")[0]["line"].alias("line"), short(F.xxhash64("run.a")).alias("h1"), short(F.xxhash64("run.b")).alias("h2"), n.alias("n"), F.size(F.array_distinct("run.a")).alias("d"))
     return rows.where((F.col("n") >= MIN_BYTES) & (F.col("d") >= MIN_DISTINCT)).drop("n", "d")
 
 
-def duplicate_rows(found: DataFrame, key: str) -> DataFrame:
+def run_texts(files: DataFrame, key: str, text: str, wanted: DataFrame, size: int = 6) -> DataFrame:
+    """(key, line, run): the normalised text of the runs of ``size`` kept lines that begin at the lines of ``wanted`` (key, line); other files aren't looked into."""
+    asked = wanted.groupBy(key).agg(F.collect_set("line").alias("asked"))  # lines of one file
+    raw = F.transform(T.lines_of(F.col(text)), lambda s, i: F.struct((i + 1).cast("long").alias("line"), T.normalized_line(s).alias("text")))
+    rows = files.select(key, text).join(asked, key).select(key, "asked", F.filter(raw, lambda x: x["text"].isNotNull()).alias("kept"))
+    at = F.filter(F.sequence(F.lit(1), F.size("kept")), lambda i: F.array_contains("asked", F.col("kept")[i - 1]["line"]))
+    rows = rows.select(key, "kept", F.explode(at).alias("i"))
+    return rows.select(key, F.col("kept")[F.col("i") - 1]["line"].alias("line"), F.array_join(F.transform(F.slice("kept", F.col("i"), F.lit(size)), lambda x: x["text"]), "\n").alias("run"))
+
+
+def duplicate_rows(found: DataFrame, key: str, files: DataFrame | None = None, text: str = "content", size: int = 6) -> DataFrame:
     """(key, line, first, first_line) of blocks whose text first stands in another file.
 
     The first occurrence of a text is a map-side minimum; a common block is one
-    aggregate row a task and a skewed join side, never one window.
+    aggregate row a task and a skewed join side, never one window.  With
+    ``files`` the texts of blocks that share a hash are compared as well, in a second pass over the files that hold such blocks.
     """
     # used twice, so written once instead of normalising all texts again
     keys = cut(found, "blocks")
-    first = keys.groupBy("h1", "h2").agg(F.min(F.struct(key, "line")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    later = keys.join(first.drop("n"), ["h1", "h2"])
+    same = ["h1", "h2"]
+    if files is not None:
+        several = keys.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        keys = cut(keys.join(several, same), "shared")
+        keys = cut(keys.join(run_texts(files, key, text, keys.select(key, "line"), size), [key, "line"]), "texts")
+        same = ["h1", "h2", "run"]
+    first = keys.groupBy(*same).agg(F.min(F.struct(key, "line")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    later = keys.join(first.drop("n"), same)
     return later.where(F.col(key) != F.col(f"f.{key}")).select(key, "line", F.col(f"f.{key}").alias("first"), F.col("f.line").alias("first_line"))
 
 
@@ -72,11 +90,11 @@ def duplicate_pairs(rows: DataFrame, key: str, focus: DataFrame | None = None) -
     return best.select(pick("x.later", "x.first").alias(key), pick("x.line", "x.first_line").alias("line"), pick("x.first", "x.later").alias("other"), pick("x.first_line", "x.line").alias("other_line"))
 
 
-def duplicate_findings(files: DataFrame, key: str, text: str, size: int = 6, focus: DataFrame | None = None) -> DataFrame:
-    """Findings of rule FG-DRY-001; nothing if ``size`` is under four."""
+def duplicate_findings(files: DataFrame, key: str, text: str, size: int = 6, focus: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """Findings of rule FG-DRY-001; nothing if ``size`` is under four.  With ``exact`` equal hashes are confirmed by text."""
     if size < 4:
         files = files.limit(0)
-    pairs = duplicate_pairs(duplicate_rows(blocks(files, key, text, size), key), key, focus)
+    pairs = duplicate_pairs(duplicate_rows(blocks(files, key, text, size), key, files if exact else None, text, size), key, focus)
     return pairs.select(
         F.lit("FG-DRY-001").alias("rule_id"), F.lit("info").alias("severity"), F.col(key).cast("string").alias("path"), "line",
         F.concat(F.lit(f"{size} normalized lines also stand at "), F.col("other").cast("string"), F.lit(":"), F.col("other_line").cast("string")).alias("evidence"),

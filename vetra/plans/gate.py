@@ -58,7 +58,7 @@ def scan(files: DataFrame, config: Config, paths: DataFrame | None = None, scope
     # repeated lines are looked for in files of any size
     code = every.where(sources.is_source(path))
     focus = None if paths is None else paths.select("path")
-    same = clones.duplicate_findings(code, "path", "content", size, focus).unionByName(clones.function_findings(clones.functions(nodes, size), size, focus))
+    same = clones.duplicate_findings(code, "path", "content", size, focus, exact=True).unionByName(clones.function_findings(clones.functions(nodes, size), size, focus))
     found = found.unionByName(completed(same).select(found.columns))
     return found if scope is None else policy.in_changed_lines(found, scope).select(found.columns)
 
