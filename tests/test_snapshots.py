@@ -54,5 +54,9 @@ def test_the_deepest_root_owns_a_file(spark):
 
 
 def test_roots_are_found(spark):
-    files = spark.createDataFrame([(p,) for p in [".git/config", "a/.git", "a/b/.git/x/.git", "c/.github/x", "d"]], "path string")
-    assert sorted(r.path for r in snapshots.discovered_roots(files).collect()) == [".", "a", "a/b"]
+    of = lambda *paths, **more: sorted(r.path for r in snapshots.discovered_roots(spark.createDataFrame([(p,) for p in paths], "path string"), **more).collect())
+    paths = ["a/.git", "a/b/.git/x/.git", "c/.github/x", "d", "vendor/.git/x", "vendor/q/.git/x", "e/vendor/q/.git", "f/g/.git/config", "ab/.git"]
+    assert of(*paths) == ["a", "ab", "f/g", "vendor"]
+    assert of(*paths, nested=True) == ["a", "a/b", "ab", "e/vendor/q", "f/g", "vendor", "vendor/q"]
+    assert of(*paths, ".git/config") == ["."]
+    assert of("x") == []

@@ -158,9 +158,24 @@ def owned(files: DataFrame, roots: DataFrame) -> DataFrame:
     return out.withColumn("inside", inside).drop("vetra_path")
 
 
-def discovered_roots(files: DataFrame, marker: str = ".git") -> DataFrame:
-    """(path) of the directories that hold a file or directory named ``marker``, ``.`` for the whole's own."""
+#: Directories that aren't searched for repositories (fixed values).
+UNSEARCHED = [".git", ".vetra", "target", "node_modules", "vendor", ".venv", "venv", "dist", "build", ".next"]
+
+
+def discovered_roots(files: DataFrame, marker: str = ".git", nested: bool = False) -> DataFrame:
+    """(path) of the directories that hold a file or directory named ``marker``, ``.`` for the whole's own.
+
+    A repository isn't searched for others, nor are the directories of
+    UNSEARCHED (one that is a repository itself counts); with ``nested`` both are.
+    """
     parts = F.split(T.portable_path(F.col("path")), "/")
     at = F.array_position(parts, marker)
-    head = F.array_join(F.slice(parts, 1, (at - 1).cast("int")), "/")
-    return files.where(at > 0).select(F.when(at == 1, ".").otherwise(head).alias("path")).distinct()
+    head = F.slice(parts, 1, (at - 1).cast("int"))
+    roots = files.where(at > 0).select(F.when(at == 1, ".").otherwise(F.array_join(head, "/")).alias("path")).distinct()
+    if nested:
+        return roots
+    above = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    roots = roots.where(~F.arrays_overlap(above, F.array(*(F.lit(x) for x in UNSEARCHED))))
+    prefixes = F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.size(above)), lambda k: F.array_join(F.slice(above, 1, k), "/")))
+    asked = roots.where("path <> '.'").select("path", F.explode(F.when(F.size(above) > 0, prefixes).otherwise(F.array(F.lit(".")))).alias("prefix"))
+    return roots.join(asked.join(roots.select(F.col("path").alias("prefix")), "prefix").select("path").distinct(), "path", "left_anti")

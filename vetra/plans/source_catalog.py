@@ -113,6 +113,15 @@ def owned_files(spark, sf_dir):
     return snapshots.owned(made, roots).select("path", "repository", "inside")
 
 
+@query("""WITH r AS (SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN 's' || page_id % 97 WHEN 1 THEN 's' || (page_id + 7) % 97 || '/t' || page_id % 3 WHEN 2 THEN 's' || (page_id + 13) % 97 || '/t1/vendor/u' END AS root FROM pages WHERE page_id % 4 < 3)
+SELECT root AS path FROM r WHERE NOT contains(root, '/vendor/') AND NOT EXISTS (SELECT 1 FROM r o WHERE starts_with(r.root, o.root || '/'))""")
+def repository_roots(spark, sf_dir):
+    key = F.col("page_id")
+    s = lambda more: F.concat(F.lit("s"), ((key + more) % 97).cast("string"))
+    path = F.when(key % 4 == 0, F.concat(s(0), F.lit("/.git/config"))).when(key % 4 == 1, F.concat(s(7), F.lit("/t"), (key % 3).cast("string"), F.lit("/.git"))).when(key % 4 == 2, F.concat(s(13), F.lit("/t1/vendor/u/.git"))).otherwise(F.concat(s(0), F.lit("/x.py")))
+    return snapshots.discovered_roots(table(spark, sf_dir, "pages").select(path.alias("path")))
+
+
 @query(f"""WITH r AS (SELECT l_suppkey, {_DAY.format('l_shipdate')} AS s, {_DAY.format('l_shipdate')} + CAST(l_quantity AS BIGINT) % 9 - 1 AS e FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 9 > 0),
 m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
 i AS (SELECT *, sum(CASE WHEN reached IS NULL OR s - 1 > reached THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
