@@ -76,3 +76,9 @@ def test_score_is_exact_beyond_64_bits(spark):
 def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert _got(collocations.op13_collocations(spark, SF)) == _brute(docs, 100, 5, 100, 2000)
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "x y z. " * 100_000, "en", "s", 1)]
+    got = [tuple(r)[2:7] for r in collocations.collocations(frame(spark, rows)).collect()]
+    assert got == [("x y z", 100_000, 100_000, 100_000, 300_000)]

@@ -67,3 +67,10 @@ def test_columns_with_the_names_of_results(spark):
     docs = frame(spark).selectExpr("*", "1 AS score", "'x' AS lang_pred", "true AS accepted", "0 AS margin")
     got = language.label(docs, language.fit(docs))
     assert got.columns[-4:] == ["lang_pred", "score", "margin", "accepted"] and got.select("lang_pred").distinct().count() > 1
+
+
+def test_every_language_of_many_has_a_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 400 * 1500)
+    rows = [(i, f"word{i % 300} other{i % 300} third", f"l{i % 300}", None, 1) for i in range(1800)]
+    got = language.fit(frame(spark, rows), 5, 1500)
+    assert len(got) == 300

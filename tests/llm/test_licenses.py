@@ -130,3 +130,8 @@ def test_expressions_of_tags(spark):
     said = ["MIT", "(MIT OR Apache-2.0)", "GPL-2.0+", "GPL-2.0-only WITH Classpath-exception-2.0", "MIT AND (ISC OR BSD-3-Clause)", "GPL-3.0", "MIT or words of no licence", "Nothing-1.0"]
     got = scan(spark, *(f"{tag}{x}\nint main() {{ this or that with care }}\n" for x in said))
     assert [set(r.licenses.split(",")) - {""} for r in got] == [{"MIT"}, {"MIT", "Apache-2.0"}, {"GPL-2.0-or-later"}, {"GPL-2.0-only"}, {"MIT", "ISC", "BSD-3-Clause"}, {"GPL-3.0-only"}, {"MIT"}, set()]
+
+
+def test_the_plan_has_no_python(spark):
+    plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapPartitions"))

@@ -98,3 +98,9 @@ def test_query_equals_its_sql(spark):
     want = con.sql(quality.ORACLE_SQL["op11_quality"])
     names = [c for c in want.columns]
     assert sorted(map(tuple, quality.op11_quality(spark, SF).select(names).collect())) == sorted(want.fetchall())
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 400_000}" for i in range(500_000)) + "\n" + "# " * 10
+    got = quality.judged(frame(spark, [(1, text, "en", "s", 1)])).first()
+    assert tuple(got[c] for c in quality._COUNTS) == (500_010, len("".join(text.split())), 10, 2, 0, 200_000 + 10)

@@ -193,3 +193,10 @@ def test_long_texts_with_many_matches(spark):
     text = " ".join(f"token = abcdef{i:010d} x" for i in range(30000))
     got = secrets.scan(frame(spark, [(1, text, None, None, 0)])).selectExpr("size(assign) AS n", "assign[29999].`end` AS e", "size(hex) AS h").first()
     assert (got.n, got.e, got.h) == (30000, len(text) - 2, 30000)
+
+
+def test_the_plans_have_no_python(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for df in (secrets.pairs_of(docs), secrets.found(docs, [0.0] * len(secrets.SYMBOLS) ** 2), secrets.scan(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapPartitions"))
