@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload
 from ..operators import clones, detect, policy, rules
+from ..operators.closure import cut
 from ..sources import files as sources
 from ..sources import syntax
 from ..sources.files import Config
@@ -165,10 +166,11 @@ def _gate(spark: SparkSession, sf_dir: str) -> gate.Gate:
     config = Config.from_toml(_SETTINGS)
     key = F.split_part("path", F.lit("."), F.lit(1)).cast("long")
     scope = files.select("path", key.alias("p_partkey")).join(part.select("p_partkey", "p_size"), "p_partkey").where("p_partkey % 7 <> 0").select("path", F.lit(1).cast("long").alias("start_line"), (F.col("p_size") % 5 + 5).cast("long").alias("end_line"))
-    known = policy.baseline_of(gate.scan(files, config).where(key % 10 == 3))
+    found = cut(gate.scan(files, config), "scanned")
+    known = policy.baseline_of(found.where(key % 10 == 3))
     hits = files.select("path", F.lit(2).cast("long").alias("line"), F.when(key % 3 == 0, 1).otherwise(0).cast("long").alias("hits"))
     checks = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (F.col("n_regionkey") == 1).alias("required"), (F.col("n_nationkey") % 2 == 0).alias("success"))
-    return gate.run(files, config, scope=scope, baseline=known, coverage=hits, checks=checks)
+    return gate.run(files, config, scope=scope, baseline=known, coverage=hits, checks=checks, scanned=found)
 
 
 @query(f"WITH {_GATE} SELECT * FROM ga")

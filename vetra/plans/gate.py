@@ -64,9 +64,9 @@ def scan(files: DataFrame, config: Config, paths: DataFrame | None = None, scope
 
 
 def run(
-    files: DataFrame, config: Config, paths: DataFrame | None = None, scope: DataFrame | None = None, baseline: DataFrame | None = None, coverage: DataFrame | None = None, checks: DataFrame | None = None,
+    files: DataFrame, config: Config, paths: DataFrame | None = None, scope: DataFrame | None = None, baseline: DataFrame | None = None, coverage: DataFrame | None = None, checks: DataFrame | None = None, scanned: DataFrame | None = None,
 ) -> Gate:
-    """Findings and verdict over files (path, content).
+    """Findings and verdict over files (path, content); ``scanned`` are their findings by :func:`scan` without a scope, if they are there already.
 
     After :func:`scan` come the coverage of changed lines (with a scope and a
     configured minimum; ``coverage`` (path, line, hits) is null where the report
@@ -74,7 +74,7 @@ def run(
     what blocks, and the summary with the results of ``checks``.
     """
     spark = files.sparkSession
-    found = scan(files, config, paths, scope)
+    found = scan(files, config, paths, scope) if scanned is None else scanned if scope is None else policy.in_changed_lines(scanned, scope).select(scanned.columns)
     if config.enabled and scope is not None and config.coverage_minimum is not None:
         found = found.unionByName(completed(measure.coverage_findings(coverage, scope, config.coverage_report, config.coverage_minimum)).select(found.columns))
     known = spark.createDataFrame([], BASELINE) if baseline is None else baseline
