@@ -32,3 +32,24 @@ def test_flows_take_calls_from_the_node_table(spark):
     assert mapped(made) == 1
     want = [("a.py", "command", False), ("a.py", "command", True), ("c.js", "html", True)]
     assert sorted((r.path, r.sink, r.reached) for r in made.collect()) == want == sorted((r.path, r.sink, r.reached) for r in rules.flows(files).collect())
+
+
+def test_pairs_are_made_at_their_shortest_distance(spark, monkeypatch):
+    from vetra.operators import closure
+
+    edges = [(i, i + 1) for i in range(20)] + [(5, 9), (20, 18), (30, 31), (31, 30), (40, 40), (2, 12)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = {}
+    for a in after:
+        front, n = after[a], 1
+        while front:
+            want.update({(a, b): n for b in front})
+            front, n = {c for b in front for c in after.get(b, ()) if (a, c) not in want}, n + 1
+    kept = []
+    plain = closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    got = closure.reach(spark.createDataFrame(edges, "src long, dst long"))
+    assert got.columns == ["src", "dst"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert {(r.src, r.dst): r.n for r in kept[-1].collect()} == want
