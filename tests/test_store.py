@@ -98,3 +98,24 @@ def test_kept_states_are_merged_and_batches_count_once(spark, tmp_path):
     # a commit that ends before its manifest leaves no trace
     (tmp_path / "log" / "run-dead").mkdir()
     assert {tuple(r) for r in store.StateLog(spark, str(tmp_path / "log"), schema).read().collect()} == kept
+
+
+def test_sarif_documents_hold_all_results_in_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    found, checks = rows(spark)
+    many = found.where("line = 3").drop("line", "evidence").crossJoin(spark.range(1000).select(F.col("id").alias("line"), F.lit('é\n"').alias("evidence")))
+    failed = checks.where("NOT success").drop("name").crossJoin(spark.range(30).select(F.concat(F.lit("check "), F.col("id")).alias("name")))
+    store.write_sarif_documents(many, failed, str(tmp_path / "all"), limit=100)
+    docs = [json.loads(p.read_text()) for p in sorted((tmp_path / "all").glob("part-*"))]
+    runs = [d["runs"][0] for d in docs]
+    results = [r for run in runs for r in run["results"]]
+    assert len(docs) >= 11 and max(len(r["results"]) for r in runs) <= 100 and {d["version"] for d in docs} == {"2.1.0"}
+    assert [r["locations"][0]["physicalLocation"]["region"]["startLine"] for r in results[:1000]] == list(range(1000))
+    assert len(results) == 1030 and all(r["ruleId"].startswith("FG-CHECK-") for r in results[1000:])
+    for run in runs:
+        own = {r["ruleId"] for r in run["results"] if r["ruleId"].startswith("FG-CHECK-")}
+        assert {r["id"] for r in run["tool"]["driver"]["rules"] if r["id"].startswith("FG-CHECK-")} == own and len(run["tool"]["driver"]["rules"]) == 25 + len(own)
+    store.write_sarif_documents(found.limit(0), checks.limit(0), str(tmp_path / "none"))
+    (doc,) = [json.loads(p.read_text()) for p in (tmp_path / "none").glob("part-*") if p.read_text()]
+    assert doc["runs"][0]["results"] == []

@@ -19,6 +19,7 @@ from ..sources.project import opened
 from .report import sarif_checks, sarif_results
 
 VERSION = 2
+_HEAD = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": '
 #: Bytes that are copied at once.
 COPY_BYTES = 8 << 20
 
@@ -176,6 +177,45 @@ def sarif_check_rules(checks: DataFrame) -> DataFrame:
     return checks.where("NOT success").select("name", F.to_json(rule).alias("rule"))
 
 
+def _in_order(findings: DataFrame, checks: DataFrame) -> DataFrame:
+    """(value, rule): all results in the order of reports, each failed check with its own rule."""
+    found = sarif_results(findings).select(F.lit(0).alias("kind"), "path", "line", "rule_id", F.col("result").alias("value"), F.lit(None).cast("string").alias("rule"))
+    own = sarif_check_rules(checks).distinct().groupBy("name").agg(F.array_sort(F.collect_list("rule")).alias("rules"))  # at most two: required or not
+    failed = sarif_checks(checks).join(own, "name", "left").select(F.lit(1).alias("kind"), F.col("name").alias("path"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("rule_id"), F.col("result").alias("value"), F.array_join("rules", ",\n").alias("rule"))
+    return found.unionByName(failed).orderBy("kind", "path", "line", "rule_id", "value").select("value", "rule")
+
+
+def write_sarif_documents(findings: DataFrame, checks: DataFrame, path: str, tool: str = "vetra", limit: int = 25_000) -> None:
+    """All results as SARIF 2.1.0 documents of at most ``limit`` results, files of the folder ``path`` whose names are in the order of reports.
+
+    Results are sorted by ranges and each task makes the documents of its range,
+    so no task has more than its part; a document has the rules of its own results.
+    """
+    spark = findings.sparkSession
+    known = [json.dumps(_rule(*r)) for r in RULES]
+
+    def document(results: list[str], rules: list[str]) -> pa.RecordBatch:
+        text = _HEAD + json.dumps(tool) + ', "rules": [\n' + ",\n".join([*known, *dict.fromkeys(rules)]) + "\n]}}, \"results\": [\n" + ",\n".join(results) + "\n]}]}"
+        return pa.RecordBatch.from_arrays([pa.array([text], pa.large_string()).cast(pa.string())], names=["value"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        results, rules = [], []
+        for batch in batches:
+            for value, rule in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                results.append(value)
+                if rule is not None:
+                    rules.append(rule)
+                if len(results) == limit:
+                    yield document(results, rules)
+                    results, rules = [], []
+        if results:
+            yield document(results, rules)
+
+    _in_order(findings, checks).mapInArrow(made, "value string").write.option("maxRecordsPerFile", 1).text(path)
+    if spark.read.text(path).isEmpty():
+        spark.createDataFrame([(document([], []).column(0)[0].as_py(),)], "value string").write.mode("append").text(path)
+
+
 def write_sarif(findings: DataFrame, checks: DataFrame, path: str, tool: str = "vetra") -> int:
     """One SARIF 2.1.0 file of any number of results, in the order of reports; its number of bytes.
 
@@ -191,7 +231,7 @@ def write_sarif(findings: DataFrame, checks: DataFrame, path: str, tool: str = "
     sarif_check_rules(checks).orderBy("name").select(F.col("rule").alias("value")).write.text(f"{parts}/rules")
     known = ",\n".join(json.dumps(_rule(*r)) for r in RULES)
     sections = [
-        ('{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": ' + json.dumps(tool) + ', "rules": [\n' + known, "rules", True),
+        (_HEAD + json.dumps(tool) + ', "rules": [\n' + known, "rules", True),
         ("\n]}}, \"results\": [\n", "results", False),
         ("\n]}]}\n", None, False),
     ]
