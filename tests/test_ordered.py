@@ -55,3 +55,20 @@ def test_task_states_and_what_is_too_late(spark, tmp_path):
     got = run(spark, tmp_path, [mixed[:6], mixed[6:], [("~end", BEGAN + timedelta(hours=1), 10**8, "stop", "{}")], [late, END]], lambda s: ordered.follow(s, "1 minute"))
     want = tasks.fold([(s, seq, kind, body) for s, _, seq, kind, body in rows])
     assert [r for r in got if r[0] != "~end"] == sorted(want)
+
+
+def test_events_of_a_batch_are_kept_in_few_calls():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    calls = []
+    note = lambda *names: SimpleNamespace(**{n: lambda *_, n=n: calls.append(n) for n in names})
+    value, kept = note("update", "clear"), note("appendValue", "appendList", "put", "clear", "updateValue", "removeKey")
+    value.exists, kept.iterator, kept.get = lambda: False, lambda: iter(()), lambda: iter(())
+    handle = SimpleNamespace(getMapState=lambda *_: kept, getListState=lambda *_: kept, getValueState=lambda *_: value, listTimers=lambda: iter(()), registerTimer=lambda _: calls.append("timer"))
+    p = ordered.OrderedFold(lambda text, seq, kind, body: ("", (seq,)), ["session", "seq", "n"])
+    p.init(handle)
+    pdf = pd.DataFrame({"at": pd.to_datetime(range(1, 501), unit="s"), "seq": range(500), "kind": "stop", "body": "{}"})
+    (out,) = p.handleInputRows(("s",), iter([pdf]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))
+    assert len(out) == 0 and len(calls) <= 4
