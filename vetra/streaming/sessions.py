@@ -88,7 +88,11 @@ def ttl_reuse(stream: DataFrame, keys: list[str], ttl: int, idle_ms: int | None
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["at", "tie"])
+        # most groups are small, so what pandas costs for each of its calls counts
+        frames = list(batches)
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames)
+        if len(pdf) > 1:
+            pdf = pdf.sort_values(["at", "tie"])
         out = []
         for t in pdf["at"].tolist():
             new = last is None or t - last > ttl
@@ -97,6 +101,7 @@ def ttl_reuse(stream: DataFrame, keys: list[str], ttl: int, idle_ms: int | None
         state.update((last,))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pdf.assign(recorded=out)[[*keys, "at", "tie", "recorded"]]
+        pdf["recorded"] = out
+        yield pdf if list(pdf.columns) == schema.names else pdf[schema.names]
 
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "last long", "append", _timeout(idle_ms))
