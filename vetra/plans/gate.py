@@ -47,13 +47,15 @@ def scan(files: DataFrame, config: Config, paths: DataFrame | None = None, scope
         every = every.where(~sources.is_test_path(path))
     for part in config.extra_excludes:
         every = every.where(~F.contains("path", F.lit(part)))
+    # read by every step below, so dealt out and written once
+    every = cut(syntax.spread(every), "files")
     files = every.where(F.octet_length("content") <= config.max_file_bytes)
-    nodes = cut(syntax.nodes(files), "nodes")
-    found = rules.findings(files, list(config.taint_sources), list(config.trusted_sanitizers), nodes, config.include_tests)
+    nodes = cut(syntax.nodes(files, dealt=True), "nodes")
+    found = rules.findings(files, list(config.taint_sources), list(config.trusted_sanitizers), nodes, include_tests=True)  # tests are out already if they are to be
     shown = files if paths is None else files.join(paths.select("path").distinct(), "path", "left_semi")
     if paths is not None:
         found = found.join(paths.select("path").distinct(), "path", "left_semi")
-    found = policy.suppress(found, policy.suppressions(sources.lines(shown)))
+    found = policy.suppress(found, policy.suppressions(sources.lines(shown.where(F.contains("content", F.lit(policy.MARKER))))))
     size = config.duplicate_block_lines
     # repeated lines are looked for in files of any size
     code = every.where(sources.is_source(path))
@@ -74,6 +76,7 @@ def run(
     what blocks, and the summary with the results of ``checks``.
     """
     spark = files.sparkSession
+    scope = None if scope is None else cut(scope, "scope")  # read by up to four steps
     found = scan(files, config, paths, scope) if scanned is None else scanned if scope is None else policy.in_changed_lines(scanned, scope).select(scanned.columns)
     if config.enabled and scope is not None and config.coverage_minimum is not None:
         found = found.unionByName(completed(measure.coverage_findings(coverage, scope, config.coverage_report, config.coverage_minimum)).select(found.columns))
