@@ -117,6 +117,15 @@ def test_an_idle_session_begins_anew_and_one_with_a_later_event_goes_on(spark, t
     assert {r[1]: r[2] for r in got if r[0] != "~end"} == {1: "active", 2: "active", 4: "active", 6: "none", 7: "active"}
 
 
+def test_a_malformed_event_changes_nothing():
+    begun, _ = tasks.step(tasks.Task(), "start", {"objective": "o", "todos": ["a", "b"]})
+    before = json.dumps(begun.__dict__)
+    for kind, body in [("todo", {"done": [1, 3]}), ("todo", {"add": ["c"], "done": [2, 4]}), ("todo", {"add": ["c"], "done": ["x"]}), ("todo", {}), ("ready", {"evidence": ["e"]}), ("start", {}), ("what", {})]:
+        begun, message = tasks.step(begun, kind, body)
+        assert message == "unknown" or message.startswith("error: ")
+        assert json.dumps(begun.__dict__) == before
+
+
 def test_events_are_written_by_the_tasks_that_read_them(spark, tmp_path):
     """Five sets of files, not five files of one task each."""
     from vetra.plans import source_catalog

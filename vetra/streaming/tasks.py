@@ -94,10 +94,10 @@ def todo(task: Task, body: dict) -> Task:
     added, done = _items(body.get("add"), ITEMS - len(task.todos)), [int(i) for i in body.get("done") or []]
     if not added and not done:
         raise ValueError("nothing to update")
+    if not all(1 <= i <= len(task.todos) + len(added) for i in done):
+        raise ValueError("no such item")
     task.todos += [{"text": t, "done": False} for t in added]
     for i in done:
-        if not 1 <= i <= len(task.todos):
-            raise ValueError("no such item")
         task.todos[i - 1]["done"] = True
     task.status, task.evidence, task.confidence = "active", [], None
     return task
@@ -159,8 +159,7 @@ def stop(task: Task, limit: int = 3) -> tuple[Task, str]:
 
 
 def step(task: Task, kind: str, body: dict, limit: int = 3) -> tuple[Task, str]:
-    """(task, message) after an event; a malformed one changes nothing."""
-    before = Task(**json.loads(json.dumps(asdict(task))))
+    """(task, message) after an event; a malformed one changes nothing, as each kind looks at all of it first."""
     try:
         if kind == "start":
             return start(task, body), "started"
@@ -170,9 +169,9 @@ def step(task: Task, kind: str, body: dict, limit: int = 3) -> tuple[Task, str]:
             return ready(task, body), "ready"
         if kind == "stop":
             return stop(task, limit)
-        return before, "unknown"
+        return task, "unknown"
     except (ValueError, TypeError) as e:
-        return before, f"error: {e}"
+        return task, f"error: {e}"
 
 
 def fold(rows: list[tuple], limit: int = 3) -> list[tuple]:
